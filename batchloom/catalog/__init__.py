@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ["reporting"]
+_GROUPS = ["reporting", "inputs"]
 
 
 def load() -> None:
