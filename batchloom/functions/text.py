@@ -25,8 +25,8 @@ def replace_all(c: Column, pairs: Iterable[tuple[str | Column, str | Column]]) -
     """Replace literal texts one after the other; a null value leaves the text as it is."""
     for token, value in pairs:
         token = F.lit(token) if isinstance(token, str) else token
-        value = F.lit(value) if isinstance(value, str) else value
-        c = F.coalesce(F.replace(c, token, value), c)
+        value = F.lit(value) if isinstance(value, str) else F.coalesce(value, token)
+        c = F.replace(c, token, value)
     return c
 
 
