@@ -143,6 +143,11 @@ TASK_LOGS = """fx_task_logs AS (
   FROM (SELECT doc_id % (SELECT max(user_id) + 1 FROM events) AS u, text FROM documents))"""
 
 
+def encoded(body: Column) -> Column:
+    """Base64 text on one line."""
+    return F.replace(F.base64(body.cast("binary")), F.lit("\r\n"), F.lit(""))
+
+
 def messages(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """Every event as a task message; every thirteenth carries no attributes.
 
@@ -176,7 +181,7 @@ def messages(spark: SparkSession, sf: str, events: DataFrame | None = None) -> D
     return e.select(
         c("event_id").alias("key"),
         F.when(c("event_id") % 13 != 0, attributes).alias("attributes"),
-        F.base64(body.cast("binary")).alias("data"),
+        encoded(body).alias("data"),
     )
 
 
@@ -209,7 +214,7 @@ def job_messages(spark: SparkSession, sf: str, orders: DataFrame | None = None)
     return o.select(
         c("o_orderkey").alias("key"),
         attributes.alias("attributes"),
-        F.base64(body.cast("binary")).alias("data"),
+        encoded(body).alias("data"),
     )
 
 
