@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_GROUPS = ["reporting", "inputs", "launching", "events", "scheduling"]
+_GROUPS = ["reporting", "inputs", "launching", "events", "scheduling", "streams"]
 
 
 def load() -> None:

@@ -106,9 +106,10 @@ TASKS_STATUS = f"""fx_tasks_status AS (
   FROM events)"""
 
 
-def day_status(spark: SparkSession, sf: str) -> DataFrame:
+def day_status(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
     """Status rows at whole days, so that many times are equal, and with null task ids."""
-    return table(spark, sf, "events").select(
+    e = table(spark, sf, "events") if events is None else events
+    return e.select(
         text("job-", F.expr("user_id div 10")).alias("job_id"),
         F.when(c("user_id") % 7 != 0, task_id("user_id")).alias("task_id"),
         status_name().alias("status"),

@@ -143,8 +143,8 @@ _OBJECTS = """stored AS (
   FROM fx_objects)"""
 
 
-def _stored(spark, sf):
-    pages = fx.table(spark, sf, "pages").select("page_id", "url")
+def _stored(spark, sf, pages=None):
+    pages = fx.table(spark, sf, "pages") if pages is None else pages
     uri = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://", "gs://")
     key = c("page_id")
     named = pages.select(

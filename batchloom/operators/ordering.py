@@ -18,13 +18,6 @@ from batchloom.session import materialized
 BUCKET_BITS = 16  # positions per bucket: 65,536
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str], mark: str) -> Column:
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[mark + n])
-    return cond
-
-
 def _sum_before(
     df: DataFrame,
     value: Column,
@@ -33,21 +26,27 @@ def _sum_before(
     order: Sequence[str],
     name: str,
 ) -> DataFrame:
-    """Add the sum of ``value`` over all earlier rows of the group, bucket by bucket."""
-    keys = [*group, bucket]
-    sizes = df.groupBy(*keys).agg(F.sum(value).alias("__size"))
-    earlier = Window.partitionBy(*group).orderBy(bucket).rowsBetween(
-        Window.unboundedPreceding, -1
+    """Add the sum of ``value`` over all earlier rows of the group, bucket by bucket.
+
+    Group and bucket are joined as one struct: nulls match each other, and the
+    join and the window share one partitioning. Only buckets behind the first of
+    their group have an offset, so the joined table holds large groups only.
+    """
+    keyed = df.withColumn("__key", F.struct(*group, bucket))
+    sizes = keyed.groupBy("__key").agg(F.sum(value).alias("__size"))
+    earlier = (
+        Window.partitionBy(*[F.col("__key")[g] for g in group])
+        .orderBy(F.col("__key")[bucket])
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = sizes.select(
-        *[F.col(k).alias("__o_" + k) for k in keys],
-        F.coalesce(F.sum("__size").over(earlier), F.lit(0)).alias("__offset"),
-    )
-    joined = df.join(offsets, _same(df, offsets, keys, "__o_"), "inner")
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(
+        F.col("__key").alias("__at"), F.sum("__size").over(earlier).alias("__offset")
+    ).filter(F.col("__offset") != 0)
+    joined = keyed.join(offsets, keyed["__key"] == offsets["__at"], "left")
+    inside = Window.partitionBy("__key").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
     )
-    total = F.col("__offset") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    total = F.coalesce("__offset", F.lit(0)) + F.coalesce(F.sum(value).over(inside), F.lit(0))
     return joined.select(*df.columns, total.cast("bigint").alias(name))
 
 

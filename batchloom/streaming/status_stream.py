@@ -16,7 +16,7 @@ from batchloom.operators.joins import enrich_events, with_verdict
 from batchloom.plans.status import status_rows, task_notifications, verdict_rows
 from batchloom.sinks.tables import write_batch
 from batchloom.sources.events import task_events
-from batchloom.streaming.runner import start
+from batchloom.streaming.runner import append_rows, start
 
 
 @dataclass(frozen=True)
@@ -41,9 +41,25 @@ def deduplicated(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def enriched_stream(events: DataFrame, job_array: DataFrame) -> DataFrame:
-    """Stream of events with their task columns; unknown tasks stay."""
-    return enrich_events(events, job_array)
+def append_status(
+    messages: DataFrame,
+    path: str,
+    checkpoint: str,
+    clock: Callable[[DataFrame], Column] | None = None,
+    once: bool = False,
+) -> StreamingQuery:
+    """Plain append of every event to the status log, without verification."""
+    events = task_events(messages.filter(F.col("attributes").isNotNull()))
+    rows = status_rows(events, clock(events) if clock else F.current_timestamp())
+    return append_rows(rows, path, checkpoint, once)
+
+
+def append_enriched(
+    messages: DataFrame, job_array: DataFrame, path: str, checkpoint: str, once: bool = False
+) -> StreamingQuery:
+    """Append every event with its task columns; events of unknown tasks stay."""
+    events = task_events(messages.filter(F.col("attributes").isNotNull()))
+    return append_rows(enrich_events(events, job_array), path, checkpoint, once)
 
 
 def ingest_status(
@@ -57,6 +73,7 @@ def ingest_status(
     verdict_delay: int = 1,
     project: str = "",
     region: str = "",
+    message_clock: Column | None = None,
     once: bool = False,
 ) -> StreamingQuery:
     """Store every event; check each success against its logs and store the verdict.
@@ -83,7 +100,11 @@ def ingest_status(
                     events.filter(F.col("status") == K.FAILED)
                 )
                 texts = task_notifications(
-                    told, job_array(), F.current_timestamp(), project, region
+                    told,
+                    job_array(),
+                    F.current_timestamp() if message_clock is None else message_clock,
+                    project,
+                    region,
                 )
                 write_batch(texts, sinks.notifications, batch_id)
         finally:
