@@ -8,17 +8,28 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from batchloom.constants import WS
+from batchloom.constants import WS_CHARS, WS_RUN
 
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing white space, Unicode spaces included."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def tokens(c: Column) -> Column:
     """Words of a line; an array of one empty text for a blank line."""
-    return F.split(strip(c), f"{WS}+")
+    return F.split(strip(c), WS_RUN)
+
+
+def is_blank(c: Column) -> Column:
+    """True where a text has nothing but white space."""
+    return strip(c) == ""
+
+
+def once(c: Column, name: str) -> Column:
+    """A generated column holding ``c``: filters and projections above read its
+    value instead of computing the expression again."""
+    return F.explode(F.array(c)).alias(name)
 
 
 def replace_all(c: Column, pairs: Iterable[tuple[str | Column, str | Column]]) -> Column:

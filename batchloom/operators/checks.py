@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom import constants as K
+from batchloom.functions.text import once
 
 
 def split_on(df: DataFrame, ok: Column, reason: str) -> tuple[DataFrame, DataFrame]:
@@ -21,8 +22,10 @@ def with_attributes(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def two_fields(rows: DataFrame, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows with at least (or exactly) two tokens, and the rest."""
+    kept = [c for c in rows.columns if c != "tokens"]
+    split = rows.select(*kept, once(F.col("tokens"), "tokens"))
     size = F.size("tokens")
-    return split_on(rows, (size == 2) if exact else (size >= 2), "expected two fields")
+    return split_on(split, (size == 2) if exact else (size >= 2), "expected two fields")
 
 
 def normal_input_type(c: Column) -> Column:
