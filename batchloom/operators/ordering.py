@@ -40,9 +40,9 @@ def _sum_before(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = sizes.select(
-        F.col("__key").alias("__at"), F.sum("__size").over(earlier).alias("__offset")
+        F.col("__key").alias("__offset_of"), F.sum("__size").over(earlier).alias("__offset")
     ).filter(F.col("__offset") != 0)
-    joined = keyed.join(offsets, keyed["__key"] == offsets["__at"], "left")
+    joined = keyed.join(offsets, keyed["__key"] == offsets["__offset_of"], "left")
     inside = Window.partitionBy("__key").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
     )
