@@ -98,16 +98,32 @@ def successors(job_list: DataFrame) -> DataFrame:
     """For every label of (pos, label, config_uri): the entry listed after it.
 
     The first place of a repeated label decides. The last entry has no successor.
+    Inside a bucket the next row is found by a window; behind its last row comes
+    the head of the next bucket, from the small table of bucket heads.
     """
-    placed = row_index(job_list, "pos", name="place")
-    first = placed.groupBy("label").agg(F.min("place").alias("place"))
-    following = placed.select(
-        (F.col("place") - 1).alias("__before"),
-        F.col("label").alias("next_label"),
-        F.col("config_uri").alias("next_config_uri"),
+    entry = F.struct("pos", "label", "config_uri")
+    placed = job_list.select(
+        "pos", "label", "config_uri",
+        F.shiftright(F.col("pos").cast("bigint"), BUCKET_BITS).alias("__bucket"),
     )
-    return first.join(following, first["place"] == following["__before"], "left").select(
-        "label", "next_label", "next_config_uri"
+    heads = placed.groupBy("__bucket").agg(F.min(entry).alias("__head"))
+    behind = heads.select(
+        F.col("__bucket").alias("__of"),
+        F.lead("__head").over(Window.orderBy("__bucket")).alias("__head"),
+    )
+    inside = Window.partitionBy("__bucket").orderBy("pos")
+    following = F.coalesce(F.lead(entry).over(inside), F.col("__head"))
+    steps = placed.join(behind, placed["__bucket"] == behind["__of"], "left").select(
+        "label", F.struct("pos", following.alias("next")).alias("step")
+    )
+    return (
+        steps.groupBy("label")
+        .agg(F.min("step")["next"].alias("next"))
+        .select(
+            "label",
+            F.col("next.label").alias("next_label"),
+            F.col("next.config_uri").alias("next_config_uri"),
+        )
     )
 
 

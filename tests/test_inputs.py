@@ -120,6 +120,23 @@ def test_row_index_by_name(spark):
         assert [got[group, n] for n in mine] == list(range(len(mine)))
 
 
+@pytest.mark.parametrize("bits", [1, 3, 16])
+def test_successors_over_buckets(spark, bits, monkeypatch):
+    monkeypatch.setattr(ordering, "BUCKET_BITS", bits)
+    rng = random.Random(bits)
+    places = sorted(rng.sample(range(200), 60))
+    labels = [f"l{rng.randrange(25)}" for _ in places]
+    df = spark.createDataFrame(
+        [(p, x, f"c{p}") for p, x in zip(places, labels)], "pos long, label string, config_uri string"
+    )
+    got = {r.label: (r.next_label, r.next_config_uri) for r in ordering.successors(df).collect()}
+    want = {}
+    for i, x in enumerate(labels):
+        after = (labels[i + 1], f"c{places[i + 1]}") if i + 1 < len(labels) else (None, None)
+        want.setdefault(x, after)
+    assert got == want
+
+
 def test_successors(spark):
     labels = ["job1", "job2", "job1", "", "job3"]
     df = spark.createDataFrame(
