@@ -11,6 +11,7 @@ from batchloom.catalog.registry import query
 from batchloom.functions import commands, paths
 from batchloom.functions.status import short_id
 from batchloom.functions.text import fill_tokens, ordered_entries, replace_in_entries, replace_in_map
+from batchloom.plans.submit import create_jobs, run_configs
 from batchloom.plans.task_array import Launcher, cram_tasks, fastq_tasks, prepared_jobs, task_array
 
 LAUNCHER = Launcher(account="sa@p1", host="https://host/api", app="app-1")
@@ -459,3 +460,101 @@ UNION ALL SELECT job_id, 'expected two fields' FROM broken""",
 )
 def job_array_rejects(spark, sf):
     return task_array(_jobs(spark, sf), _job_samples(spark, sf), LAUNCHER)[1]
+
+
+# --- from batch configs to task rows ---------------------------------------------------------
+
+# One request per supplier: its manifest holds fifteen customers, its input path
+# 150 orders. Some requests lack one of the two or name an unknown run config.
+_REQUESTS = """requests AS (
+  SELECT s_suppkey AS k, 'uid-' || s_suppkey AS job_id, 'job-' || s_suppkey AS job_name, s_name AS job_label,
+    CASE WHEN s_suppkey % 7 = 3 THEN 'bam' WHEN s_suppkey % 4 = 1 THEN 'fastq' ELSE 'cram' END AS input_type,
+    CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'gs://in/s' || s_suppkey || '.txt' END AS input_list,
+    CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'gs://b/d' || s_suppkey END AS input_path,
+    CASE WHEN s_suppkey % 11 = 4 THEN NULL ELSE s_nationkey END AS cfg FROM supplier),
+inputs AS (
+  SELECT job_id, 0 AS source, c_custkey AS pos, 'NA' || c_custkey AS sample_id, 's3://in/' || c_custkey || '.x' AS path
+  FROM requests JOIN customer ON k = c_custkey // 15 WHERE input_list IS NOT NULL
+  UNION ALL
+  SELECT job_id, 1, row_number() OVER (PARTITION BY job_id ORDER BY name), regexp_replace(regexp_extract(name, '([^/]*)$', 1), '[.][^.]*$', ''),
+    's3://b/' || name
+  FROM requests JOIN (SELECT o_orderkey // 150 AS d, 'd' || (o_orderkey // 150) || '/o' || o_orderkey
+      || CASE WHEN o_orderkey % 2 = 0 THEN '.cram' ELSE '.gz' END AS name FROM orders) o ON o.d = k
+  WHERE input_path IS NOT NULL AND ((input_type = 'cram' AND ends_with(name, '.cram')) OR (input_type = 'fastq' AND ends_with(name, '.gz')))),
+ok AS (SELECT * FROM requests WHERE input_type <> 'bam' AND cfg IS NOT NULL),
+numbered AS (SELECT ok.*, sample_id, path, row_number() OVER (PARTITION BY ok.job_id ORDER BY source, pos) AS i
+  FROM ok JOIN inputs ON ok.job_id = inputs.job_id)"""
+_CREATED = fx.with_(
+    [_REQUESTS],
+    """SELECT job_id, job_name, job_label, i - 1 AS batch_task_index,
+  to_json({'SAMPLE_ID': sample_id, 'INPUT_PATH': path, 'OUTPUT_PATH': 's3://o/' || cfg || '/' || sample_id || '/2024-03-05-06-07-08'})::VARCHAR AS variables,
+  sample_id, path AS input_path, input_type, 's3://o/' || cfg || '/' || sample_id || '/2024-03-05-06-07-08' AS output_path,
+  '--api-host h' || cfg || ' --machine nx1 --dragen-app app-1 --google-sa sa@p1 --   --cram-input ' || path
+    || '  -r ref' || cfg || ' --output-directory s3://o/' || cfg || '/' || sample_id || '/2024-03-05-06-07-08 ' AS command,
+  TIMESTAMP '2024-03-05 06:07:08' AS timestamp
+FROM numbered WHERE input_type = 'cram'
+UNION ALL
+SELECT job_id, any_value(job_name), any_value(job_label), 0::BIGINT,
+  to_json({'INPUT_PATH': string_agg(' -' || i || ' ' || path || ' ', '' ORDER BY i), 'OUTPUT_PATH': 's3://o/' || any_value(cfg) || '/${SAMPLE_ID}/2024-03-05-06-07-08'})::VARCHAR,
+  NULL, string_agg(' -' || i || ' ' || path || ' ', '' ORDER BY i), 'fastq', 's3://o/' || any_value(cfg) || '/${SAMPLE_ID}/2024-03-05-06-07-08',
+  '--api-host h' || any_value(cfg) || ' --machine nx1 --dragen-app app-1 --google-sa sa@p1 --   ' || string_agg(' -' || i || ' ' || path || ' ', '' ORDER BY i)
+    || '  -r ref' || any_value(cfg) || ' --output-directory s3://o/' || any_value(cfg) || '/${SAMPLE_ID}/2024-03-05-06-07-08 ',
+  TIMESTAMP '2024-03-05 06:07:08'
+FROM numbered WHERE input_type = 'fastq' GROUP BY job_id""",
+)
+
+
+def _created(spark, sf):
+    key = c("s_suppkey")
+    kind = F.when(key % 7 == 3, "bam").when(key % 4 == 1, "fastq").otherwise("cram")
+    requests = fx.table(spark, sf, "supplier").select(
+        text("uid-", key).alias("job_id"),
+        text("job-", key).alias("job_name"),
+        c("s_name").alias("job_label"),
+        F.lit("2024-03-05 06:07:08").cast("timestamp_ntz").alias("submitted"),
+        kind.alias("input_type"),
+        F.when(key % 5 != 0, text("gs://in/s", key, ".txt")).alias("input_list"),
+        F.when(key % 3 != 0, text("gs://b/d", key)).alias("input_path"),
+        F.when(key % 11 == 4, "gs://cfg/none.json")
+        .otherwise(text("gs://cfg/", c("s_nationkey"), ".json"))
+        .alias("config"),
+    )
+    nation = c("n_nationkey")
+    configs = fx.table(spark, sf, "nation").select(
+        text("gs://cfg/", nation, ".json").alias("uri"),
+        text(
+            '{"dragen_options": {"-r": "ref', nation, '", "--output-directory": "s3://o/', nation,
+            '/${SAMPLE_ID}/<date>"}, "jarvice_options": {"api_host": "h', nation, '"}}',
+        ).alias("text"),
+    )
+    cust = c("c_custkey")
+    rows = fx.table(spark, sf, "customer").select(
+        text("gs://in/s", F.expr("c_custkey div 15"), ".txt").alias("uri"),
+        cust.alias("line_no"),
+        F.array(text("NA", cust), text("gs://in/", cust, ".x")).alias("tokens"),
+    )
+    order = c("o_orderkey")
+    ending = F.when(order % 2 == 0, ".cram").otherwise(".gz")
+    listing = fx.table(spark, sf, "orders").select(
+        F.lit("b").alias("bucket"),
+        text("d", F.expr("o_orderkey div 150"), "/o", order, ending).alias("name"),
+    )
+    return create_jobs(requests, run_configs(configs), rows, listing, LAUNCHER)
+
+
+@query("create_batch_jobs", _CREATED)
+def create_batch_jobs(spark, sf):
+    return _created(spark, sf)[0]
+
+
+@query(
+    "create_batch_jobs_rejects",
+    fx.with_(
+        [_REQUESTS],
+        """SELECT job_id, 'unsupported input type' AS reason FROM requests WHERE input_type = 'bam'
+UNION ALL SELECT job_id, 'run config not found' FROM requests WHERE input_type <> 'bam' AND cfg IS NULL
+UNION ALL SELECT job_id, 'no input files' FROM ok WHERE job_id NOT IN (SELECT job_id FROM inputs)""",
+    ),
+)
+def create_batch_jobs_rejects(spark, sf):
+    return _created(spark, sf)[1]
