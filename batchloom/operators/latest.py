@@ -36,6 +36,18 @@ def latest_status_ranked(status: DataFrame) -> DataFrame:
     )
 
 
+def latest_counts(status: DataFrame) -> DataFrame:
+    """Distinct latest rows with their number of copies, in one scan.
+
+    Equal rows are counted before and after the first shuffle, so a large group
+    of copies is one row; the ranking then drops all but the latest rows of a
+    task on each side of the second shuffle, so a task with very many rows
+    moves only a few.
+    """
+    counted = status.groupBy(*status.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return latest_status_ranked(counted)
+
+
 def first_match(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key: the first in an explicit order, combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

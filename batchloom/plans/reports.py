@@ -9,7 +9,7 @@ from batchloom import constants as K
 from batchloom.functions.status import task_index
 from batchloom.operators.checks import created_between, optional_equal
 from batchloom.operators.joins import join_tasks
-from batchloom.operators.latest import latest_status
+from batchloom.operators.latest import latest_counts
 
 
 def _wanted_tasks(
@@ -23,6 +23,23 @@ def _wanted_tasks(
     )
 
 
+FEW_VALUES = 1000  # most values that become a pushed-down IN filter
+
+
+def _few_values(df: DataFrame, column: str) -> list | None:
+    """Distinct values of a column, or None when they are more than a few."""
+    rows = df.select(column).distinct().limit(FEW_VALUES + 1).collect()
+    return None if len(rows) > FEW_VALUES else [r[0] for r in rows]
+
+
+def _having(status: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
+    """Status rows whose value is wanted: by a scan filter if few, else by a join."""
+    values = _few_values(wanted, column)
+    if values is not None:
+        return status.filter(F.col(column).isin(values))
+    return status.join(wanted.select(column).distinct(), column, "left_semi")
+
+
 def _status_of(status: DataFrame, tasks: DataFrame, sample_id: str) -> DataFrame:
     """For one sample: only status rows of tasks that can appear in its report.
 
@@ -30,12 +47,9 @@ def _status_of(status: DataFrame, tasks: DataFrame, sample_id: str) -> DataFrame
     """
     if sample_id == "":
         return status
-    names = (
-        join_tasks(status.select("job_id", "task_id"), tasks.select("job_id", "batch_task_index"))
-        .select(F.col("task_id").alias("__wanted"))
-        .distinct()
-    )
-    return status.join(names, status["task_id"] == names["__wanted"], "left_semi")
+    of_jobs = _having(status.select("job_id", "task_id"), "job_id", tasks)
+    names = join_tasks(of_jobs.distinct(), tasks.select("job_id", "batch_task_index"))
+    return _having(status, "task_id", names.select("task_id")).select(status.columns)
 
 
 def count_report(
@@ -55,11 +69,7 @@ def count_report(
         "job_id", "batch_task_index"
     )
     rows = status.select("job_id", "task_id", "status", "timestamp")
-    latest = (
-        latest_status(_status_of(rows, tasks, sample_id))
-        .groupBy("job_id", "task_id", "status")
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
+    latest = latest_counts(_status_of(rows, tasks, sample_id))
     joined = join_tasks(latest, tasks)
 
     def copies_if(*names: str):
@@ -98,7 +108,7 @@ def samples_report(
         "timestamp",
     )
     rows = status.select("job_id", "task_id", "status", "timestamp")
-    latest = latest_status(_status_of(rows, tasks, sample_id)).distinct()
+    latest = latest_counts(_status_of(rows, tasks, sample_id)).drop("copies")
     report = (
         join_tasks(latest, tasks)
         .dropDuplicates(
@@ -155,7 +165,8 @@ def sample_report(
         "output_path",
         "timestamp",
     )
-    report = join_tasks(status.select("job_id", "task_id", "status", "timestamp"), tasks).select(
+    rows = status.select("job_id", "task_id", "status", "timestamp")
+    report = join_tasks(_status_of(rows, tasks, sample_id), tasks).select(
         F.col("j_job_name").alias("job_name"),
         F.col("j_job_label").alias("job_label"),
         F.col("j_sample_id").alias("sample_id"),
@@ -170,7 +181,7 @@ def sample_report(
         return report
     return (
         report.withColumn("__tie", F.monotonically_increasing_id())
-        .orderBy("last_status_time", "job_name", "task_id", "status", "__tie")
+        .orderBy("last_status_time", "__tie")  # a busy second is cut in several ranges
         .drop("__tie")
     )
 

@@ -255,3 +255,38 @@ def test_job_directory_lookups(spark, tmp_path):
     jobs = warehouse.job_directory(spark, path)
     assert warehouse.job_by_name(jobs, "n").first().job_uid == "u"
     assert warehouse.job_by_uid(jobs, "u").first().labels == {"k": "v"}
+
+
+def test_create_jobs_from_configs(spark):
+    from batchloom.plans import submit
+
+    body = json.dumps({K.OPTIONS_KEY: json.loads(OPTS), K.LAUNCHER_KEY: {"api_host": "HH", "stub": "s"}})
+    configs = submit.run_configs(
+        spark.createDataFrame([("gs://c/a.json", body), ("gs://c/bad.json", "{oops")], "uri string, text string")
+    )
+    requests = spark.createDataFrame(
+        [
+            ("j1", "n1", "L", "2024-01-02 03:04:05", "CRAM", "gs://in/l.txt", "gs://b/d", "gs://c/a.json"),
+            ("j2", "n2", None, "2024-01-02 03:04:05", "fastq", "gs://in/l.txt", None, "gs://c/a.json"),
+            ("j3", "n3", "L", "2024-01-02 03:04:05", "cram", "gs://in/l.txt", None, "gs://c/bad.json"),
+            ("j4", "n4", "L", "2024-01-02 03:04:05", "fastq-list", "gs://in/l.txt", None, "gs://c/a.json"),
+            ("j5", "n5", "L", "2024-01-02 03:04:05", "cram", None, "gs://b/none", "gs://c/a.json"),
+        ],
+        "job_id string, job_name string, job_label string, submitted string, input_type string,"
+        " input_list string, input_path string, config string",
+    ).withColumn("submitted", F.col("submitted").cast("timestamp_ntz"))
+    rows = spark.createDataFrame(
+        [("gs://in/l.txt", 3, ["B", "gs://b/B"]), ("gs://in/l.txt", 2, ["A", "gs://b/A"])],
+        "uri string, line_no long, tokens array<string>",
+    )
+    listing = spark.createDataFrame([("b", "d/x.cram"), ("b", "d/y.gz")], "bucket string, name string")
+    tasks, down = submit.create_jobs(requests, configs, rows, listing, LAUNCHER)
+    got = tasks.orderBy("job_id", "batch_task_index").collect()
+    assert [(r.job_id, r.batch_task_index, r.sample_id, r.input_path) for r in got] == [
+        ("j1", 0, "A", "s3://b/A"), ("j1", 1, "B", "s3://b/B"), ("j1", 2, "x", "s3://b/d/x.cram"),
+        ("j2", 0, None, " -1 s3://b/A  -2 s3://b/B "),
+    ]
+    assert all(r.command.startswith("--api-host HH --machine nx1 ") for r in got)
+    assert {r.job_id: r.reason for r in down.collect()} == {
+        "j3": "run config not found", "j4": "unsupported input type", "j5": "no input files",
+    }

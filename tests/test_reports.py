@@ -137,6 +137,14 @@ def test_latest_is_per_task_over_all_jobs(spark):
     assert reports.count_report(log, tasks, sample_id="A").first().TOTAL == 0
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_one_sample_by_filter_or_by_join(dry_run, monkeypatch, few):
+    monkeypatch.setattr(reports, "FEW_VALUES", few)
+    assert tuple(reports.count_report(*dry_run, sample_id="NA3").first()) == (1, 0, 1, 0, 1, 0)
+    assert reports.sample_report(*dry_run, sample_id="NA22").count() == 2
+    assert reports.samples_report(*dry_run, sample_id="none").count() == 0
+
+
 def test_rows_equal_in_output_stay_when_their_keys_differ(spark):
     same = dict(created=T0, path="s3://d/x")
     tasks = [array_row("u", 0, "A", "l", **same), array_row("v", 0, "A", "l", **same)]
