@@ -10,20 +10,27 @@ from batchloom.functions.status import task_index
 from batchloom.operators.checks import created_between, optional_equal
 from batchloom.operators.joins import join_tasks
 from batchloom.operators.latest import latest_counts
+from batchloom.session import materialized
 
 
 def _wanted_tasks(
     job_array: DataFrame, sample_id: str, label: str, after: str, before: str
-) -> DataFrame:
-    """Tasks that pass every given filter. An absent filter adds no predicate."""
-    return job_array.filter(
+) -> tuple[DataFrame, bool]:
+    """Tasks that pass every given filter, and whether any filter was given.
+
+    An absent filter adds no predicate.
+    """
+    tasks = job_array.filter(
         optional_equal("sample_id", sample_id)
         & optional_equal("job_label", label)
         & created_between("timestamp", after, before)
     )
+    given = (sample_id, label, after, before) != ("", "", K.REPORT_AFTER, K.REPORT_BEFORE)
+    return tasks, given
 
 
 FEW_VALUES = 1000  # most values that become a pushed-down IN filter
+BROADCAST_NAMES = 100_000  # most task ids that are broadcast
 
 
 def _few_values(df: DataFrame, column: str) -> list | None:
@@ -32,24 +39,25 @@ def _few_values(df: DataFrame, column: str) -> list | None:
     return None if len(rows) > FEW_VALUES else [r[0] for r in rows]
 
 
-def _having(status: DataFrame, column: str, wanted: DataFrame) -> DataFrame:
-    """Status rows whose value is wanted: by a scan filter if few, else by a join."""
-    values = _few_values(wanted, column)
-    if values is not None:
-        return status.filter(F.col(column).isin(values))
-    return status.join(wanted.select(column).distinct(), column, "left_semi")
-
-
-def _status_of(status: DataFrame, tasks: DataFrame, sample_id: str) -> DataFrame:
-    """For one sample: only status rows of tasks that can appear in its report.
+def _status_of(status: DataFrame, tasks: DataFrame, filtered: bool) -> DataFrame:
+    """For a filtered report: only status rows of tasks that can appear in it.
 
-    All rows of such a task are kept, so its latest time does not change.
+    All rows of such a task are kept, so its latest time does not change. Task
+    ids become a scan filter if few, a broadcast semi join up to a counted
+    bound; beyond either bound the whole log goes on, with the same result.
     """
-    if sample_id == "":
+    jobs = _few_values(tasks, "job_id") if filtered else None
+    if jobs is None:
         return status
-    of_jobs = _having(status.select("job_id", "task_id"), "job_id", tasks)
-    names = join_tasks(of_jobs.distinct(), tasks.select("job_id", "batch_task_index"))
-    return _having(status, "task_id", names.select("task_id")).select(status.columns)
+    of_jobs = status.select("job_id", "task_id").filter(F.col("job_id").isin(jobs)).distinct()
+    joined = join_tasks(of_jobs, tasks.select("job_id", "batch_task_index"))
+    names = materialized(joined.select("task_id").distinct(), "task-ids")
+    count = names.count()
+    if count <= FEW_VALUES:
+        return status.filter(F.col("task_id").isin([r[0] for r in names.collect()]))
+    if count <= BROADCAST_NAMES:
+        return status.join(F.broadcast(names), "task_id", "left_semi").select(status.columns)
+    return status
 
 
 def count_report(
@@ -65,11 +73,12 @@ def count_report(
     SUCCEEDED counts tasks that have a verdict; a task still waiting for its
     verdict is in TOTAL only.
     """
-    tasks = _wanted_tasks(job_array, sample_id, label, after, before).select(
+    wanted, filtered = _wanted_tasks(job_array, sample_id, label, after, before)
+    tasks = wanted.select(
         "job_id", "batch_task_index"
     )
     rows = status.select("job_id", "task_id", "status", "timestamp")
-    latest = latest_counts(_status_of(rows, tasks, sample_id))
+    latest = latest_counts(_status_of(rows, tasks, filtered))
     joined = join_tasks(latest, tasks)
 
     def copies_if(*names: str):
@@ -96,7 +105,8 @@ def samples_report(
     ordered: bool = True,
 ) -> DataFrame:
     """Latest status of every sample. Rows are distinct per job and task."""
-    tasks = _wanted_tasks(job_array, sample_id, label, after, before).select(
+    wanted, filtered = _wanted_tasks(job_array, sample_id, label, after, before)
+    tasks = wanted.select(
         "job_id",
         "batch_task_index",
         "job_name",
@@ -108,7 +118,7 @@ def samples_report(
         "timestamp",
     )
     rows = status.select("job_id", "task_id", "status", "timestamp")
-    latest = latest_counts(_status_of(rows, tasks, sample_id)).drop("copies")
+    latest = latest_counts(_status_of(rows, tasks, filtered)).drop("copies")
     report = (
         join_tasks(latest, tasks)
         .dropDuplicates(
@@ -155,7 +165,8 @@ def sample_report(
     ordered: bool = True,
 ) -> DataFrame:
     """Every status change, usually of one sample, in time order."""
-    tasks = _wanted_tasks(job_array, sample_id, label, after, before).select(
+    wanted, filtered = _wanted_tasks(job_array, sample_id, label, after, before)
+    tasks = wanted.select(
         "job_id",
         "batch_task_index",
         "job_name",
@@ -166,7 +177,7 @@ def sample_report(
         "timestamp",
     )
     rows = status.select("job_id", "task_id", "status", "timestamp")
-    report = join_tasks(_status_of(rows, tasks, sample_id), tasks).select(
+    report = join_tasks(_status_of(rows, tasks, filtered), tasks).select(
         F.col("j_job_name").alias("job_name"),
         F.col("j_job_label").alias("job_label"),
         F.col("j_sample_id").alias("sample_id"),

@@ -137,9 +137,12 @@ def test_latest_is_per_task_over_all_jobs(spark):
     assert reports.count_report(log, tasks, sample_id="A").first().TOTAL == 0
 
 
-@pytest.mark.parametrize("few", [0, 1000])
-def test_one_sample_by_filter_or_by_join(dry_run, monkeypatch, few):
+@pytest.mark.parametrize("few, names", [(0, 0), (1, 0), (1, 50), (1000, 50)])
+def test_filters_narrow_the_log_in_every_way(dry_run, monkeypatch, few, names):
     monkeypatch.setattr(reports, "FEW_VALUES", few)
+    monkeypatch.setattr(reports, "BROADCAST_NAMES", names)
+    assert tuple(reports.count_report(*dry_run, label="job0").first()) == (20, 0, 20, 0, 20, 0)
+    assert tuple(reports.count_report(*dry_run, after="2023-10-07 03:22:00").first()) == (1, 0, 0, 1, 0, 0)
     assert tuple(reports.count_report(*dry_run, sample_id="NA3").first()) == (1, 0, 1, 0, 1, 0)
     assert reports.sample_report(*dry_run, sample_id="NA22").count() == 2
     assert reports.samples_report(*dry_run, sample_id="none").count() == 0
