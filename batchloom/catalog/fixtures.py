@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchloom import constants as K
+
 SUCCESS = ["License", "license"]
 
 
@@ -230,7 +232,7 @@ def jobs_directory(spark: SparkSession, sf: str) -> DataFrame:
     key = c("c_custkey")
     label = F.when(key % 11 == 0, F.lit("")).otherwise(text("Supplier-", key % 150))
     labels = F.when(
-        key % 5 != 0, F.create_map(F.lit("dragen-job"), label, F.lit("team"), c("c_mktsegment"))
+        key % 5 != 0, F.create_map(F.lit(K.JOB_LABEL_KEY), label, F.lit("team"), c("c_mktsegment"))
     ).otherwise(F.create_map(F.lit("team"), c("c_mktsegment")))
     return table(spark, sf, "customer").select(
         text("job-", key).alias("job_name"), text("uid-", key).alias("job_uid"), labels.alias("labels")

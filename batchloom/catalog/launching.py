@@ -347,7 +347,10 @@ samples AS (
 broken AS (
   SELECT DISTINCT s.job_id FROM samples s JOIN dated j ON j.job_id = s.job_id
   WHERE j.input_type = 'fastq' AND s.path IS NULL)"""
-_HEAD = "'--api-host https://host/api --machine ' || machine || ' --dragen-app app-1 --google-sa sa@p1 --  '"
+_HEAD = (
+    f"'--api-host https://host/api --machine ' || machine || ' {K.APP_FLAG} app-1"
+    " --google-sa sa@p1 --  '"
+)
 _OUT = "'s3://out/' || c_nationkey || '/'"
 _CRAM_ROWS = f"""cram_rows AS (
   SELECT j.*, s.sample_id, replace(s.path, 'gs://', 's3://') AS input_path,
@@ -489,7 +492,7 @@ _CREATED = fx.with_(
     """SELECT job_id, job_name, job_label, i - 1 AS batch_task_index,
   to_json({'SAMPLE_ID': sample_id, 'INPUT_PATH': path, 'OUTPUT_PATH': 's3://o/' || cfg || '/' || sample_id || '/2024-03-05-06-07-08'})::VARCHAR AS variables,
   sample_id, path AS input_path, input_type, 's3://o/' || cfg || '/' || sample_id || '/2024-03-05-06-07-08' AS output_path,
-  '--api-host h' || cfg || ' --machine nx1 --dragen-app app-1 --google-sa sa@p1 --   --cram-input ' || path
+  '--api-host h' || cfg || ' --machine nx1 @APP@ app-1 --google-sa sa@p1 --   --cram-input ' || path
     || '  -r ref' || cfg || ' --output-directory s3://o/' || cfg || '/' || sample_id || '/2024-03-05-06-07-08 ' AS command,
   TIMESTAMP '2024-03-05 06:07:08' AS timestamp
 FROM numbered WHERE input_type = 'cram'
@@ -497,10 +500,10 @@ UNION ALL
 SELECT job_id, any_value(job_name), any_value(job_label), 0::BIGINT,
   to_json({'INPUT_PATH': string_agg(' -' || i || ' ' || path || ' ', '' ORDER BY i), 'OUTPUT_PATH': 's3://o/' || any_value(cfg) || '/${SAMPLE_ID}/2024-03-05-06-07-08'})::VARCHAR,
   NULL, string_agg(' -' || i || ' ' || path || ' ', '' ORDER BY i), 'fastq', 's3://o/' || any_value(cfg) || '/${SAMPLE_ID}/2024-03-05-06-07-08',
-  '--api-host h' || any_value(cfg) || ' --machine nx1 --dragen-app app-1 --google-sa sa@p1 --   ' || string_agg(' -' || i || ' ' || path || ' ', '' ORDER BY i)
+  '--api-host h' || any_value(cfg) || ' --machine nx1 @APP@ app-1 --google-sa sa@p1 --   ' || string_agg(' -' || i || ' ' || path || ' ', '' ORDER BY i)
     || '  -r ref' || any_value(cfg) || ' --output-directory s3://o/' || any_value(cfg) || '/${SAMPLE_ID}/2024-03-05-06-07-08 ',
   TIMESTAMP '2024-03-05 06:07:08'
-FROM numbered WHERE input_type = 'fastq' GROUP BY job_id""",
+FROM numbered WHERE input_type = 'fastq' GROUP BY job_id""".replace("@APP@", K.APP_FLAG),
 )
 
 
@@ -523,8 +526,8 @@ def _created(spark, sf):
     configs = fx.table(spark, sf, "nation").select(
         text("gs://cfg/", nation, ".json").alias("uri"),
         text(
-            '{"dragen_options": {"-r": "ref', nation, '", "--output-directory": "s3://o/', nation,
-            '/${SAMPLE_ID}/<date>"}, "jarvice_options": {"api_host": "h', nation, '"}}',
+            '{"', K.OPTIONS_KEY, '": {"-r": "ref', nation, '", "--output-directory": "s3://o/', nation,
+            '/${SAMPLE_ID}/<date>"}, "', K.LAUNCHER_KEY, '": {"api_host": "h', nation, '"}}',
         ).alias("text"),
     )
     cust = c("c_custkey")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from batchloom import constants as K
 from batchloom.catalog import fixtures as fx
 from batchloom.catalog.fixtures import c, text
 from batchloom.catalog.registry import query
@@ -13,7 +14,6 @@ from batchloom.sources.configs import trigger_fields
 from batchloom.sources.events import job_events
 from batchloom.sources.job_lists import TWO_FIELDS, job_list_rows
 from batchloom.sources.manifests import split_lines
-from batchloom.constants import WS
 
 # --- job lists -------------------------------------------------------------------------
 
@@ -41,7 +41,7 @@ def _sql_field(first: int) -> str:
     rest = part.format(TWO_FIELDS, first + 1)
     plain = part.format(TWO_FIELDS, first + 2)
     whole = f"""replace({quoted}, '""', '"') || {rest} || {plain}"""
-    return f"regexp_replace({whole}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"regexp_replace({whole}, '^{K.WS}+|{K.WS}+$', '', 'g')"
 
 
 @query(
@@ -103,7 +103,9 @@ def job_lookup(spark, sf):
 
 
 _TRIGGER = r"""'gs://cfg/' || regexp_extract(next_config_uri, '^gs://cfg/(.*)/[^/]*$', 1) || '/START_PIPELINE' AS target_uri,
-  to_json({'dragen-job': next_label, 'config': regexp_extract(next_config_uri, '([^/]*)$', 1)})::VARCHAR AS body"""
+  to_json({'@LABEL@': next_label, 'config': regexp_extract(next_config_uri, '([^/]*)$', 1)})::VARCHAR AS body""".replace(
+    "@LABEL@", K.JOB_LABEL_KEY
+)
 
 
 @query(
@@ -136,17 +138,20 @@ def schedule_triggers(spark, sf):
 _OBJECTS = """stored AS (
   SELECT page_id, bucket, CASE page_id % 5 WHEN 0 THEN name || '/START_PIPELINE' WHEN 1 THEN 'START_PIPELINE'
     WHEN 2 THEN name || '/x_START_PIPELINE' ELSE 'd' || page_id || '/START_PIPELINE' END AS name,
-    CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '{"dragen-job": "L' || page_id || '", "config": "c' || page_id || '.json"}'
-      WHEN 2 THEN '{"dragen-job": "L' || page_id || '"}' WHEN 3 THEN '{"config": "c.json"}'
-      WHEN 4 THEN '{"dragen-job": "L", "config"' WHEN 5 THEN NULL ELSE ' ' END AS content,
+    CASE page_id % 7 WHEN 0 THEN '' WHEN 1 THEN '{"@LABEL@": "L' || page_id || '", "config": "c' || page_id || '.json"}'
+      WHEN 2 THEN '{"@LABEL@": "L' || page_id || '"}' WHEN 3 THEN '{"config": "c.json"}'
+      WHEN 4 THEN '{"@LABEL@": "L", "config"' WHEN 5 THEN NULL ELSE ' ' END AS content,
     CASE WHEN page_id % 2 = 0 THEN 'd' || page_id || '/jobs.csv' ELSE name || '/jobs.csv' END AS list_name
-  FROM fx_objects)"""
+  FROM fx_objects)""".replace(
+    "@LABEL@", K.JOB_LABEL_KEY
+)
 
 
 def _stored(spark, sf, pages=None):
     pages = fx.table(spark, sf, "pages") if pages is None else pages
     uri = F.regexp_replace(F.regexp_replace("url", "[?#].*$", ""), "^https?://", "gs://")
     key = c("page_id")
+    label = f'{{"{K.JOB_LABEL_KEY}": '
     named = pages.select(
         "page_id",
         F.regexp_extract(uri, "^gs://([^/]+)/?(.*)$", 1).alias("bucket"),
@@ -160,10 +165,10 @@ def _stored(spark, sf, pages=None):
     )
     content = (
         F.when(key % 7 == 0, "")
-        .when(key % 7 == 1, text('{"dragen-job": "L', key, '", "config": "c', key, '.json"}'))
-        .when(key % 7 == 2, text('{"dragen-job": "L', key, '"}'))
+        .when(key % 7 == 1, text(label, '"L', key, '", "config": "c', key, '.json"}'))
+        .when(key % 7 == 2, text(label, '"L', key, '"}'))
         .when(key % 7 == 3, '{"config": "c.json"}')
-        .when(key % 7 == 4, '{"dragen-job": "L", "config"')
+        .when(key % 7 == 4, label + '"L", "config"')
         .when(key % 7 == 6, " ")
     )
     listed = F.when(key % 2 == 0, text("d", key, "/jobs.csv")).otherwise(
@@ -202,7 +207,7 @@ def trigger_parse(spark, sf):
 
 _ROUTED = """contents AS (SELECT bucket, name, max(content) AS content FROM stored WHERE content IS NOT NULL GROUP BY ALL),
 parsed AS (SELECT bucket, name, content,
-    CASE WHEN json_valid(content) THEN json_extract_string(content, '$."dragen-job"') END AS label,
+    CASE WHEN json_valid(content) THEN json_extract_string(content, '$."@LABEL@"') END AS label,
     CASE WHEN json_valid(content) THEN json_extract_string(content, '$.config') END AS config FROM contents),
 gated AS (SELECT s.bucket, s.name, coalesce(p.content, '') AS content, p.label, p.config,
     regexp_replace(s.name, '[^/]*$', '') AS folder
@@ -216,7 +221,9 @@ seen AS (SELECT g.*, l.list_name IS NOT NULL AND content = '' AS by_list,
 routed AS (SELECT bucket, name, CASE WHEN by_list THEN 'list' ELSE 'config' END AS route,
     CASE WHEN by_list THEN NULL ELSE label END AS job_label,
     base || CASE WHEN by_list THEN 'jobs.csv' WHEN label IS NOT NULL AND config IS NOT NULL THEN config
-      ELSE 'batch_config.json' END AS target FROM seen)"""
+      ELSE 'batch_config.json' END AS target FROM seen)""".replace(
+    "@LABEL@", K.JOB_LABEL_KEY
+)
 
 
 def _routed(spark, sf):
