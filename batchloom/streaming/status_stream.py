@@ -13,7 +13,7 @@ from batchloom import constants as K
 from batchloom.functions.status import payload_text, payload_time
 from batchloom.operators.checks import with_attributes
 from batchloom.operators.joins import enrich_events, with_verdict
-from batchloom.plans.status import status_rows, task_notifications, verdict_rows
+from batchloom.plans.status import status_rows, task_notifications
 from batchloom.sinks.tables import write_batch
 from batchloom.sources.events import task_events
 from batchloom.streaming.runner import append_rows, start
@@ -48,7 +48,10 @@ def append_status(
     clock: Callable[[DataFrame], Column] | None = None,
     once: bool = False,
 ) -> StreamingQuery:
-    """Plain append of every event to the status log, without verification."""
+    """Plain append of every event to the status log, without verification.
+
+    Messages without attributes are no events; :func:`ingest_status` keeps them.
+    """
     events = task_events(messages.filter(F.col("attributes").isNotNull()))
     rows = status_rows(events, clock(events) if clock else F.current_timestamp())
     return append_rows(rows, path, checkpoint, once)
@@ -85,29 +88,25 @@ def ingest_status(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
+        good, bad = with_attributes(batch)
+        events = task_events(good)
+        succeeded = events.filter(F.col("status") == K.SUCCEEDED).drop("status")
+        # Kept for the two sinks below, so the logs are scanned once per batch.
+        judged = with_verdict(succeeded, logs(), patterns, "status").persist()
         try:
-            good, bad = with_attributes(batch)
-            events = task_events(good)
             stamp = clock(events) if clock else F.current_timestamp()
-            rows = status_rows(events, stamp)
-            verdicts = verdict_rows(rows, logs(), patterns, verdict_delay)
-            write_batch(rows.unionByName(verdicts), sinks.status, batch_id)
+            later = stamp + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(verdict_delay))
+            rows = status_rows(events, stamp).unionByName(status_rows(judged, later))
+            write_batch(rows, sinks.status, batch_id)
             if sinks.rejects:
                 write_batch(bad, sinks.rejects, batch_id)
             if sinks.notifications and job_array:
-                ended = events.filter(F.col("status") == K.SUCCEEDED).drop("status")
-                told = with_verdict(ended, logs(), patterns, "status").unionByName(
-                    events.filter(F.col("status") == K.FAILED)
-                )
-                texts = task_notifications(
-                    told,
-                    job_array(),
-                    F.current_timestamp() if message_clock is None else message_clock,
-                    project,
-                    region,
-                )
+                told = judged.unionByName(events.filter(F.col("status") == K.FAILED))
+                now = F.current_timestamp() if message_clock is None else message_clock
+                texts = task_notifications(told, job_array(), now, project, region)
                 write_batch(texts, sinks.notifications, batch_id)
         finally:
+            judged.unpersist()
             batch.unpersist()
 
     return start(messages, each, checkpoint, once)
