@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from batchloom.catalog import registry
 from tests.conftest import SMALL
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = {name: run for name, run in entry.queries().items() if name in registry.QUERIES}
+ORACLES = registry.ORACLES
 
 
 def rows_of(table):
