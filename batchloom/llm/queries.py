@@ -33,5 +33,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in [op2_mixing, op4_url_filter, op9_pii, op10_secrets]}
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm import ngram_join
+
+    return ngram_join.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm import decontaminate
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.digest(docs, _table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm import line_rules
+
+    return line_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+QUERIES = {f.__name__: f for f in [op1_ngram_join, op2_mixing, op4_url_filter, op5_decontamination, op6_line_rules, op9_pii, op10_secrets]}
 ORACLES: dict[str, str] = {}

@@ -7,7 +7,8 @@ is a beta distribution around its parent's mean, worth ``strength`` pages:
     mean(node) = (bad(node) + strength * mean(parent)) / (n(node) + strength)
 
 starting from the rate of all labelled pages. ``strength`` is estimated for each
-level from the spread of the children around their parents (method of moments).
+level from the spread of the children around their parents (method of moments),
+and is at most the number of pages behind the parent's mean.
 A host is blocked when the lower bound of its posterior, mean - z * deviation,
 exceeds ``max_bad_rate``: a host with few labels has a wide posterior and passes.
 
@@ -100,13 +101,13 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, max_strength: float = 1000
     per_host = outcomes.groupBy(*LEVELS).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     nodes = hosts.select(*LEVELS).distinct().join(per_host, LEVELS, "left").fillna(0, ["n", "bad"])
     rate = (F.sum("bad") + 1.0) / (F.sum("n") + 2.0)
-    root = nodes.groupBy(F.lit(1).alias("one")).agg(rate.alias("mean")).select("mean")
+    root = nodes.agg(F.struct(rate.alias("mean"), (F.coalesce(F.sum("n"), F.lit(0)) + 2.0).alias("weight")).alias("root")).scalar()
     parents, keys = None, []
     for level in LEVELS:
         keys = [*keys, level]
         counts = nodes.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
         if parents is None:
-            at = counts.withColumn("prior", F.coalesce(root.scalar(), F.lit(0.5)))
+            at = counts.withColumn("prior", F.coalesce(root["mean"], F.lit(0.5))).withColumn("behind", root["weight"])
         else:
             at = counts.join(parents, keys[:-1])
         # Var(bad/n) = m(1-m)/n * (1 + (n-1) * rho); rho = 1 / (strength + 1).
@@ -116,11 +117,12 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, max_strength: float = 1000
         pairs = F.sum(F.when(seen, spread * (F.col("n") - 1)))
         rho = at.agg((excess / pairs).alias("rho")).scalar()
         bounded = F.greatest(F.lit(1.0 / (max_strength + 1)), F.least(F.coalesce(rho, F.lit(0.0)), F.lit(0.5)))
-        strength = 1.0 / bounded - 1.0
+        # A prior is not worth more pages than there are behind its mean.
+        strength = F.least(1.0 / bounded - 1.0, F.col("behind"))
         weight = F.col("n") + F.col("strength")
         mean = (F.col("bad") + F.col("strength") * F.col("prior")) / weight
         at = at.withColumn("strength", strength).select(*keys, mean.alias("mean"), weight.alias("weight"))
-        parents = at.select(*keys, F.col("mean").alias("prior"))
+        parents = at.select(*keys, F.col("mean").alias("prior"), F.col("weight").alias("behind"))
     deviation = F.sqrt(F.col("mean") * (1 - F.col("mean")) / (F.col("weight") + 1))
     return at.select("host", "mean", deviation.alias("deviation"))
 
