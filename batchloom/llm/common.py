@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import tempfile
+import zipfile
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from batchloom.session import materialized
 
@@ -32,3 +38,33 @@ def row_key(*columns: str) -> Column:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder; later steps all see these rows."""
     return materialized(df, name)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application.
+
+    Tasks can then import it wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root = os.path.dirname(package)
+    path = os.path.join(tempfile.mkdtemp(prefix="code-"), f"{os.path.basename(package)}-{app}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    out.write(file, os.path.relpath(file, root))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
+def map_batches(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` with a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)

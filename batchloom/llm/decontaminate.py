@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm import textscan
-from batchloom.llm.common import row_key, stored
+from batchloom.llm.common import map_batches, row_key, stored
 
 WINDOW = 10
 MAX_HASHES = 8_000_000
@@ -59,7 +59,7 @@ def _item_windows(window: int):
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """All windows of the benchmark: item_id, n (words), hash, window."""
     rows = benchmark.select(F.col("item_id").cast("string"), "text")
-    return rows.mapInArrow(_item_windows(window), "item_id string, n int, hash bigint, window binary").distinct()
+    return map_batches(rows, _item_windows(window), "item_id string, n int, hash bigint, window binary").distinct()
 
 
 _HITS = pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("window", pa.binary())]))
@@ -109,7 +109,7 @@ def scanned(docs: DataFrame, windows: DataFrame, max_hashes: int = MAX_HASHES) -
         table = part.toArrow()
         sizes, hashes = table["n"].to_numpy(), table["hash"].to_numpy().view(np.uint64)
         wanted = spark.sparkContext.broadcast({int(n): np.sort(hashes[sizes == n]) for n in np.unique(sizes)})
-        scan = rows.mapInArrow(_scan(wanted, block), schema)
+        scan = map_batches(rows, _scan(wanted, block), schema)
         out = scan if out is None else out.unionByName(scan)
     return out
 
@@ -163,7 +163,7 @@ class Decontaminator:
         cuts = self.hits.select(F.col("key").alias("__key"), F.col("ranges").alias("__ranges"))
         joined = keyed.join(cuts, "__key", "left").drop("__key")
         hit = joined.where(F.col("__ranges").isNotNull())
-        cut = hit.mapInArrow(_cut, hit.schema)
+        cut = map_batches(hit, _cut, hit.schema)
         both = joined.where(F.col("__ranges").isNull()).unionByName(cut)
         if "n_chars" in names:
             both = both.withColumn("n_chars", F.when(F.col("__ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm import textscan
-from batchloom.llm.common import row_key, stored
+from batchloom.llm.common import map_batches, row_key, stored
 
 _PLAIN = textscan.byte_table(textscan.not_blank, lower=False)
 _LINE = bytes(0x30 if 0x30 <= b <= 0x39 else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -101,7 +101,7 @@ def measured(docs: DataFrame) -> DataFrame:
         f"key binary, doc_id {types['doc_id']}, source {types['source']}, text_key bigint, n_words bigint, word_chars bigint, "
         "n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, lines array<struct<hash:bigint,words:int>>"
     )
-    return rows.mapInArrow(_measure, schema)
+    return map_batches(rows, _measure, schema)
 
 
 def common_lines(rows: DataFrame, max_docs: int, max_share: float) -> DataFrame:
@@ -167,5 +167,5 @@ def cleaned(docs: DataFrame, max_docs: int = 10, max_share: float = 0.02) -> Dat
     per_doc = each.join(common, same).groupBy(F.col("key").alias("__key")).agg(F.collect_list("line_hash").alias("__common"))
     joined = docs.withColumn("__key", row_key("doc_id", "source", "text")).join(per_doc, "__key", "left").drop("__key")
     hit = joined.where(F.col("__common").isNotNull())
-    both = joined.where(F.col("__common").isNull()).unionByName(hit.mapInArrow(_strip, hit.schema))
+    both = joined.where(F.col("__common").isNull()).unionByName(map_batches(hit, _strip, hit.schema))
     return both.select(*[F.col(f"`{c}`") for c in docs.columns])

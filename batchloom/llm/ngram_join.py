@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm import textscan
-from batchloom.llm.common import row_key, stored
+from batchloom.llm.common import map_batches, row_key, stored
 from batchloom.llm.components import components
 
 SHARE = 0.25
@@ -295,7 +295,7 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     lists = stored(index_lists(nodes, percent), "index-lists")
     wanted = spark.sparkContext.broadcast(node_filter(lists.select("node").distinct()))
     texts = docs.select("text").where(F.col("text").isNotNull())
-    whole = texts.mapInArrow(_whole_sets(n, wanted), "node bigint, tokens array<bigint>").dropDuplicates(["node"])
+    whole = map_batches(texts, _whole_sets(n, wanted), "node bigint, tokens array<bigint>").dropDuplicates(["node"])
     whole = stored(whole.join(lists.select("node").distinct(), "node"), "whole-sets")
     answers = stored(leader_answers(lists, whole, percent), "leader-answers")
     link = F.col("overlap") >= needed(F.col("size_a"), F.col("size_b"), percent)
@@ -319,7 +319,7 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(row_key("doc_id", "text").alias("key"), "doc_id", "text")
-    sets = rows.mapInArrow(_first_tokens(n, percent), f"key binary, doc_id {id_type}, size bigint, node bigint, tokens array<bigint>")
+    sets = map_batches(rows, _first_tokens(n, percent), f"key binary, doc_id {id_type}, size bigint, node bigint, tokens array<bigint>")
     sets = stored(sets, "shingle-sets")
     nodes = sets.where(F.col("node").isNotNull()).select("node", "size", "tokens").dropDuplicates(["node"])
     labels = linked_nodes(nodes, docs, n, percent)

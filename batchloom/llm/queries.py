@@ -52,5 +52,38 @@ def op6_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judged(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
-QUERIES = {f.__name__: f for f in [op1_ngram_join, op2_mixing, op4_url_filter, op5_decontamination, op6_line_rules, op9_pii, op10_secrets]}
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm import warc
+
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm import language_id
+
+    return language_id.digest(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm import chat
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], rows.schema)
+    return chat.digest(rows.unionByName(probe))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in [
+        op1_ngram_join, op2_mixing, op3_warc, op4_url_filter, op5_decontamination, op6_line_rules, op7_language_id,
+        op8_chat, op9_pii, op10_secrets, pipeline,
+    ]
+}
 ORACLES: dict[str, str] = {}
