@@ -12,13 +12,17 @@ Two documents link when 100 * |X and Y| >= percent * |X or Y|.
    whose first tokens are all its own links with nothing and is dropped here.
 3. Answers of a list's leader (the set with the fewest tokens of its own): its
    overlap with every set of the list is computed, one comparison per set.
-4. Answers of all others are derived from these. With overlaps c(X), c(Y) with
-   the same leader, |X and Y| is at least c(X) + c(Y) - |leader| and at most
-   c(X) + |Y| - c(Y) and c(Y) + |X| - c(X). Pairs that this decides are not
-   compared; pairs already connected are not looked at.
-5. Lists are cut into blocks by size and position. A pair of blocks is skipped
-   when their sizes, their positions (what is left behind them is too short) or
-   their one common component rule out every pair.
+4. Answers of all others are derived from these. Of sets near the same leader
+   only the differences to it are looked at: what two sets share of these, with
+   their overlaps with the leader, is what they share at all. An index of the
+   differences finds the pairs that can still link; in a group of near copies
+   these are few, however large the group is. Other pairs of a list: with
+   overlaps c(X), c(Y) with its leader, |X and Y| is at least
+   c(X) + c(Y) - |leader| and at most c(X) + |Y| - c(Y) and c(Y) + |X| - c(X), which
+   proves or rules out most. Pairs already connected are not looked at.
+5. For these, lists are cut into blocks by size, position and overlap. A pair of
+   blocks is skipped when their sizes, their positions (what is left behind them
+   is too short), their overlaps or their one common component rule out all pairs.
 
 Only connected components are returned, so links inside a component need no row.
 
@@ -48,7 +52,8 @@ from batchloom.llm.components import components
 SHARE = 0.25
 _LIMIT = int(SHARE * 2**64)
 _TABLE = textscan.byte_table(textscan.not_blank, lower=True)
-BLOCK_ROWS = 64  # most entries of a block
+BLOCK_ROWS = 64  # entries of a block, about
+NEAR_PERCENT = 40  # similarity from which a set's differences to its leader are listed
 FILTER_WORDS = 1 << 20  # 64-bit words of the node filter: 8 MB, whatever the corpus
 
 
@@ -195,98 +200,187 @@ def index_lists(nodes: DataFrame, percent: int) -> DataFrame:
     return at.select(F.col("x.token").alias("token"), "node", "size", (F.col("own") + F.col("i")).alias("pos"), "own")
 
 
-def overlaps(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Sizes of the intersections of pairs (a, b) of nodes: a, b, overlap."""
+def _with_sets(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     left = whole.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b"))
     right = whole.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a"))
-    return (
-        pairs.join(left, "b")
-        .join(right, "a")
-        .select("a", "b", F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long").alias("overlap"))
-    )
+    return pairs.join(left, "b").join(right, "a")
+
+
+def _overlap() -> Column:
+    return F.size(F.array_intersect("tokens_a", "tokens_b")).cast("long")
+
+
+def overlaps(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with the size of their intersection, ``overlap``."""
+    return _with_sets(pairs, whole).select(*pairs.columns, _overlap().alias("overlap"))
+
+
+def most_differing(size: Column, percent: int) -> Column:
+    """Most tokens that a set and any set that links to it do not share."""
+    other = F.floor(100 * size / percent).cast("long")
+    return size + other - 2 * needed(size, other, percent)
 
 
 def leader_answers(lists: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Overlaps of the leader of each list with the sets of the list, each pair once.
 
+    Columns a (leader), b, size_a, size_b, overlap, near and delta. For a set
+    near its leader, ``delta`` is the begin of what tells the two apart: the
+    set's other tokens, then the leader's that it lacks, each by hash.
     Leaders are the same in most lists of a group of near copies, since they are
     ranked by the share of tokens of their own.
     """
-    rank = F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("node"), F.col("size").alias("size"))
-    leaders = lists.groupBy("token").agg(F.min(rank).alias("lead"))
+    leaders = lists.groupBy("token").agg(F.min(_rank()).alias("lead"))
     pairs = (
         lists.join(leaders, "token")
         .where((F.col("node") != F.col("lead.node")) & sizes_fit(F.col("size"), F.col("lead.size"), percent))
         .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.size").alias("size_a"), F.col("size").alias("size_b"))
         .distinct()
     )
-    answers = overlaps(pairs.select("a", "b"), whole)
-    return pairs.join(answers, ["a", "b"])
+    apart = F.concat(F.array_except("tokens_b", "tokens_a"), F.array_except("tokens_a", "tokens_b"))
+    delta = F.slice(apart, F.lit(1), (most_differing(F.col("size_b"), percent) + 1).cast("int"))
+    found = _with_sets(pairs, whole).select(*pairs.columns, _overlap().alias("overlap"), delta.alias("delta"))
+    near = 100 * F.col("overlap") >= NEAR_PERCENT * (F.col("size_a") + F.col("size_b") - F.col("overlap"))
+    return found.withColumn("near", near).withColumn("delta", F.when(near, F.col("delta")))
 
 
-def derived_pairs(lists: DataFrame, answers: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components that the leaders' answers don't rule out.
+def _rank() -> Column:
+    return F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("node"), F.col("size").alias("size"))
 
-    Columns a, b, linked: true if the answers prove the link, else null.
+
+def labelled_answers(answers: DataFrame, labels: DataFrame) -> DataFrame:
+    """Near answers of leaders whose near sets are not all in one component."""
+    label = labels.select(F.col("node").alias("b"), "label")
+    near = answers.where("near").join(label, "b", "left").withColumn("label", F.coalesce("label", "b"))
+    mixed = near.groupBy("a").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return near.join(mixed.where(F.col("low") != F.col("high")).select("a"), "a")
+
+
+def pairs_by_delta(near: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components near one leader that may link: a, b, sizes.
+
+    With c the overlap with the leader L, the overlap of X and Y is that of their
+    differences to L, less |L| - c(X) - c(Y). Two sets that link, of which one
+    does not link with L, share a token of these differences, and at the first
+    they share, enough is left behind it on both sides. Tokens that L lacks come
+    first; they are few sets' own, so sets that differ from L in their own ways
+    never meet.
     """
-    label = labels.select("node", "label")
-    entries = lists.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # Lists of one component have no more to say.
-    open_lists = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    open_lists = open_lists.where(F.col("low") != F.col("high")).select("token")
-    rank = F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("node"), F.col("size").alias("size"))
-    entries = entries.join(open_lists, "token")
-    leaders = entries.groupBy("token").agg(F.min(rank).alias("lead"))
+    entries = near.select(
+        F.col("a").alias("leader"), F.col("b").alias("node"), F.col("size_a").alias("lead_size"), F.col("size_b").alias("size"),
+        "overlap", "label", F.posexplode("delta").alias("pos", "token"),
+    )
+    # A token of L as the first common one: both sets must hold enough of L.
+    of_leader = F.col("pos") >= F.col("size") - F.col("overlap")
+    entries = entries.where(~of_leader | (100 * F.col("overlap") >= percent * F.col("size")))
+    left = F.col("size") + F.col("lead_size") - 2 * F.col("overlap") - F.col("pos")
+    entries = entries.select("leader", "token", "lead_size", F.struct("node", "size", "overlap", "label", left.alias("left")).alias("e"))
+    x = entries.withColumnRenamed("e", "p")
+    y = entries.select("leader", "token", F.col("e").alias("q"))
+    p, q = F.col("p"), F.col("q")
+    wanted = needed(p["size"], q["size"], percent) + F.col("lead_size") - p["overlap"] - q["overlap"]
+    met = x.alias("x").join(
+        y.alias("y"),
+        (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token")) & (p["node"] < q["node"])
+        & (p["label"] != q["label"]) & sizes_fit(p["size"], q["size"], percent) & (F.least(p["left"], q["left"]) >= wanted),
+    )
+    return met.select(p["node"].alias("a"), q["node"].alias("b"), (p["size"] + q["size"]).alias("sizes")).distinct()
+
+
+def pairs_by_block(lists: DataFrame, answers: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components and without a common home: a, b, sizes, linked.
+
+    ``linked`` is true if the leader's answers prove the link. A set's home is
+    the near leader that it is most similar to; pairs of one home are left to
+    ``pairs_by_delta``.
+    """
+    similar = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
+    home = answers.where("near").groupBy(F.col("b").alias("node")).agg(F.max(F.struct(similar.alias("s"), F.col("a").alias("a")))["a"].alias("home"))
+    own_home = answers.select(F.col("a").alias("node")).distinct().withColumn("leads", F.lit(True))
+    entries = (
+        lists.join(labels.select("node", "label"), "node", "left")
+        .join(home, "node", "left")
+        .join(own_home, "node", "left")
+        .withColumn("label", F.coalesce("label", "node"))
+        .withColumn("home", F.when(F.col("leads"), F.col("node")).otherwise(F.coalesce("home", "node")))
+    )
+    # Lists of one component, or of one home, have no more to say.
+    whole_lists = entries.groupBy("token").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.min("home").alias("home_low"), F.max("home").alias("home_high"),
+        F.min(_rank()).alias("lead"),
+    )
+    whole_lists = whole_lists.where((F.col("low") != F.col("high")) & (F.col("home_low") != F.col("home_high"))).select("token", "lead")
     known = answers.select(F.col("a").alias("leader"), F.col("b").alias("node"), "overlap")
     entries = (
-        entries.join(leaders, "token")
+        entries.join(whole_lists, "token")
         .withColumn("leader", F.col("lead.node"))
         .join(known, ["leader", "node"], "left")
         .withColumn("overlap", F.when(F.col("node") == F.col("leader"), F.col("size")).otherwise(F.col("overlap")))
-        .select("token", "node", "size", "pos", "label", "overlap", F.col("lead.size").alias("lead_size"))
+        .select("token", "node", "size", "pos", "label", "home", "overlap", F.col("lead.size").alias("lead_size"))
     )
-    # Blocks: entries of one list that are near in size and position, a bounded
-    # number each. Sizes in one class differ by less than a factor of two.
-    size_class = F.floor(F.log2(F.col("size"))).cast("int")
-    cell = entries.withColumn("size_class", size_class).withColumn("pos_class", F.floor(F.log2(F.col("pos") + 1)).cast("int"))
-    counts = cell.groupBy("token", "size_class", "pos_class").agg(F.count("*").alias("rows"))
-    salted = cell.join(counts, ["token", "size_class", "pos_class"]).withColumn(
-        "salt", F.pmod(F.xxhash64("label", F.shiftright("node", 40)), F.ceil(F.col("rows") / (BLOCK_ROWS // 2)))
+    # Blocks: entries of one list that are near in size, position and overlap with
+    # the leader, a bounded number each. Those of one home lie together.
+    cell = entries.select(
+        "*",
+        F.floor(F.log2(F.col("size")) * 4).cast("int").alias("size_class"),
+        F.floor(F.log2(F.col("pos") + 1)).cast("int").alias("pos_class"),
+        F.floor(10 * F.col("overlap") / F.col("size")).cast("int").alias("overlap_class"),
     )
-    blocks = salted.groupBy("token", "size_class", "pos_class", "salt", "lead_size").agg(
-        F.collect_list(F.struct("node", "size", "pos", "label", "overlap")).alias("rows"),
+    classes = ["token", "size_class", "pos_class", "overlap_class"]
+    counts = cell.groupBy(*classes).agg(F.count("*").alias("rows"))
+    c = counts.select(*[F.col(k).alias(f"c_{k}") for k in classes], "rows")
+    same = [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in classes]
+    salted = cell.join(c, same).withColumn("salt", F.pmod(F.xxhash64("home"), F.ceil(F.col("rows") / BLOCK_ROWS)))
+    salted = salted.withColumn("part", F.when(F.col("rows") > BLOCK_ROWS, F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BLOCK_ROWS))).otherwise(0))
+    away = F.col("size") - F.col("overlap")
+    blocks = salted.groupBy(*classes, "salt", "part", "lead_size").agg(
+        F.collect_list(F.struct("node", "size", "pos", "label", "home", "overlap")).alias("rows"),
         F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("pos"),
         F.min("label").alias("label_low"), F.max("label").alias("label_high"),
+        F.min("home").alias("home_low"), F.max("home").alias("home_high"),
+        F.max("overlap").alias("held"), F.max(away).alias("away"),
     )
-    block = F.struct("size_class", "pos_class", "salt")
-    blocks = blocks.withColumn("id", block)
+    blocks = blocks.withColumn("id", F.struct("size_class", "pos_class", "overlap_class", "salt", "part"))
     x, y = blocks.alias("x"), blocks.drop("lead_size").alias("y")
-    one_label = (
-        (F.col("x.label_low") == F.col("x.label_high"))
-        & (F.col("y.label_low") == F.col("y.label_high"))
-        & (F.col("x.label_low") == F.col("y.label_low"))
+
+    def one(name: str) -> Column:
+        low, high = F.col(f"x.{name}_low"), F.col(f"x.{name}_high")
+        return (low == high) & (F.col(f"y.{name}_low") == low) & (F.col(f"y.{name}_high") == low)
+
+    # What is left behind the positions, and what the leader's answers allow,
+    # bound the overlap of all pairs of two blocks from above.
+    room = F.least(
+        F.col("x.high") - F.col("x.pos"), F.col("y.high") - F.col("y.pos"),
+        F.col("x.held") + F.col("y.away"), F.col("y.held") + F.col("x.away"),
     )
-    # What is left behind the positions bounds the overlap from above.
-    room = F.least(F.col("x.high") - F.col("x.pos"), F.col("y.high") - F.col("y.pos"))
-    skip = one_label | (room < needed(F.col("x.low"), F.col("y.low"), percent)) | (
-        (100 * F.col("x.high") < percent * F.col("y.low")) | (100 * F.col("y.high") < percent * F.col("x.low"))
+    skip = (
+        one("label") | one("home") | (room < needed(F.col("x.low"), F.col("y.low"), percent))
+        | (100 * F.col("x.high") < percent * F.col("y.low")) | (100 * F.col("y.high") < percent * F.col("x.low"))
     )
     met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") <= F.col("y.id")) & ~skip)
-    rows = met.select(F.explode("x.rows").alias("p"), F.col("y.rows").alias("others"), F.col("lead_size"))
-    rows = rows.select("p", "lead_size", F.explode("others").alias("q"))
-    p, q = F.col("p"), F.col("q")
-    least = needed(p["size"], q["size"], percent)
-    at_most = F.least(p["size"] - p["pos"], q["size"] - q["pos"], p["overlap"] + q["size"] - q["overlap"], q["overlap"] + p["size"] - p["overlap"])
-    at_least = p["overlap"] + q["overlap"] - F.col("lead_size")
-    pairs = rows.where((p["label"] != q["label"]) & sizes_fit(p["size"], q["size"], percent) & (at_most >= least))
-    return (
-        pairs.select(
-            F.least(p["node"], q["node"]).alias("a"), F.greatest(p["node"], q["node"]).alias("b"),
-            (p["size"] + q["size"]).alias("sizes"), F.coalesce(at_least >= least, F.lit(False)).alias("linked"),
+
+    def possible(p: Column, q: Column) -> Column:
+        at_most = F.least(
+            p["size"] - p["pos"], q["size"] - q["pos"],
+            p["overlap"] + q["size"] - q["overlap"], q["overlap"] + p["size"] - p["overlap"],
         )
-        .groupBy("a", "b", "sizes")
-        .agg(F.max("linked").alias("linked"))
-    )
+        return (
+            (p["label"] != q["label"]) & (p["home"] != q["home"]) & sizes_fit(p["size"], q["size"], percent)
+            & (at_most >= needed(p["size"], q["size"], percent))
+        )
+
+    def pair(p: Column, q: Column) -> Column:
+        at_least = p["overlap"] + q["overlap"] - F.col("lead_size")
+        return F.struct(
+            F.least(p["node"], q["node"]).alias("a"), F.greatest(p["node"], q["node"]).alias("b"), (p["size"] + q["size"]).alias("sizes"),
+            F.coalesce(at_least >= needed(p["size"], q["size"], percent), F.lit(False)).alias("linked"),
+        )
+
+    def with_others(p: Column) -> Column:
+        return F.transform(F.filter(F.col("y.rows"), lambda q: possible(p, q)), lambda q: pair(p, q))
+
+    pairs = met.select(F.explode(F.flatten(F.transform(F.col("x.rows"), with_others))).alias("pair")).select("pair.*")
+    return pairs.groupBy("a", "b", "sizes").agg(F.max("linked").alias("linked"))
 
 
 def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -301,12 +395,13 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     link = F.col("overlap") >= needed(F.col("size_a"), F.col("size_b"), percent)
     links = answers.where(link).select("a", "b")
     labels = components(links)
-    pairs = stored(derived_pairs(lists, answers, labels, percent), "derived-pairs")
+    near = pairs_by_delta(labelled_answers(answers, labels), percent).withColumn("linked", F.lit(False))
+    far = pairs_by_block(lists, answers.drop("delta"), labels, percent)
+    pairs = stored(far.unionByName(near), "derived-pairs")
     proved = pairs.where("linked").select("a", "b")
-    rest = pairs.where(~F.col("linked"))
-    compared = rest.join(overlaps(rest.select("a", "b"), whole), ["a", "b"])
+    rest = overlaps(pairs.where(~F.col("linked")).select("a", "b", "sizes").distinct(), whole)
     least = F.floor((F.lit(percent) * F.col("sizes") + F.lit(100 + percent - 1)) / F.lit(100 + percent)).cast("long")
-    more = compared.where(F.col("overlap") >= least).select("a", "b")
+    more = rest.where(F.col("overlap") >= least).select("a", "b")
     stars = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
     return components(stars.unionByName(proved).unionByName(more))
 
