@@ -61,43 +61,56 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = 3
     return split.select("source", F.col("source_size").cast("long").alias("source_size"), target.alias("target"))
 
 
-def apportioned(parties: DataFrame, group: list[str], name: list[str], votes: str, seats: Column) -> DataFrame:
-    """Sainte-Lague seats of every party of each group; ``seats`` per group.
+def _joined_by(rows: DataFrame, side: DataFrame, keys: list[str]) -> DataFrame:
+    """``side``, with keys named ``__<key>``, joined by keys that may be null."""
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return rows.join(side, same, "left").drop(*[f"__{c}" for c in keys])
+
+
+def apportioned(parties: DataFrame, group: list[str], name: list[str], votes: str) -> DataFrame:
+    """Sainte-Lague seats (column ``quota``) of every party of each group.
 
-    ``parties`` has a row per party. Seats start from rounding; the difference
-    to the wanted sum is made up by the next highest, or the lowest quotients.
+    ``parties`` has a row per party, and ``seats`` of its group. Seats start from
+    rounding; the difference to the wanted sum, at most half the parties, is made
+    up by the next highest, or the lowest quotients. Of each party only the
+    quotients are ranked that reach the poorest party's next one.
     """
-    all_of = Window.partitionBy(*group)
-    rounded = F.floor(F.col(votes) * F.col("__seats") / F.col("__votes") + 0.5)
-    base = (
-        parties.withColumn("__seats", seats.cast("long"))
-        .withColumn("__votes", F.sum(votes).over(all_of))
-        .withColumn("__base", F.when(F.col("__votes") > 0, rounded).otherwise(0).cast("long"))
-        .withColumn("__missing", F.when(F.col("__votes") > 0, F.col("__seats") - F.sum("__base").over(all_of)).otherwise(0))
+    v, keys = F.col(votes), [*group, *name]
+
+    def per_group(rows: DataFrame, *sums: Column) -> DataFrame:
+        return rows.groupBy(*[F.col(c).alias(f"__{c}") for c in group]).agg(*sums)
+
+    rows = _joined_by(parties, per_group(parties, F.sum(votes).alias("__votes")), group)
+    rounded = F.floor(v * F.col("seats") / F.col("__votes") + 0.5)
+    rows = rows.withColumn("__base", F.when(F.col("__votes") > 0, rounded).otherwise(0).cast("long"))
+    following = F.when(v > 0, v / (2 * F.col("__base") + 1))
+    last = F.when(F.col("__base") > 0, v / (2 * F.col("__base") - 1))
+    sums = per_group(
+        rows, F.sum("__base").alias("__given"), F.min(following).alias("__least"), F.max(last).alias("__most")
     )
-    # Quotients beside the rounding: the next ones when seats are missing, the
-    # last ones given when there are too many.
-    steps = F.when(F.col("__missing") > 0, F.sequence(F.lit(1), F.col("__missing").cast("int"))).when(
-        F.col("__missing") < 0,
-        F.sequence(F.lit(1), F.least(-F.col("__missing"), F.greatest(F.col("__base"), F.lit(1))).cast("int")),
+    rows = _joined_by(rows, sums, group).withColumn(
+        "__missing", F.when(F.col("__votes") > 0, F.col("seats") - F.col("__given")).otherwise(0)
     )
-    change = base.where(F.col("__missing") != 0).select(*group, *name, "__missing", "__base", votes, F.explode(steps).alias("__i"))
-    seat = F.when(F.col("__missing") > 0, F.col("__base") + F.col("__i")).otherwise(F.col("__base") - F.col("__i") + 1)
-    quotient = F.when(seat >= 1, F.col(votes) / (2 * seat - 1))
-    best = F.when(F.col("__missing") > 0, -quotient).otherwise(quotient)
-    names = [F.col(n).asc_nulls_last() for n in name]
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(best.asc_nulls_last(), *names, "__i"))
-    keys = [*group, *name]
+    more = F.floor((v / F.col("__least") + 1) / 2) - F.col("__base") + 1
+    fewer = F.col("__base") - F.floor((v / F.col("__most") + 1) / 2) + 1
+    steps = F.least(F.abs("__missing"), F.when(F.col("__missing") > 0, more).otherwise(F.least(fewer, F.col("__base"))))
+    steps = F.greatest(steps, F.lit(0)).cast("int")
+    change = rows.where((F.col("__missing") != 0) & (v > 0) & (steps > 0)).select(
+        *keys, "__missing", "__base", votes, F.explode(F.sequence(F.lit(1), steps)).alias("__i")
+    )
+    adds = F.col("__missing") > 0
+    seat = F.when(adds, F.col("__base") + F.col("__i")).otherwise(F.col("__base") - F.col("__i") + 1)
+    quotient = v / (2 * seat - 1)
+    order = [F.when(adds, -quotient).otherwise(quotient), *[F.col(n).asc_nulls_last() for n in name], "__i"]
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
     given = (
-        change.where(quotient.isNotNull())
-        .withColumn("__rank", rank)
+        change.withColumn("__rank", rank)
         .where(F.col("__rank") <= F.abs("__missing"))
         .groupBy(*[F.col(c).alias(f"__{c}") for c in keys])
         .agg(F.sum(F.signum("__missing")).cast("long").alias("__change"))
     )
-    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
     quota = F.col("__base") + F.coalesce(F.col("__change"), F.lit(0))
-    return base.join(given, same, "left").select(*parties.columns, quota.alias("quota"))
+    return _joined_by(rows, given, keys).select(*[c for c in parties.columns if c != "seats"], quota.alias("quota"))
 
 
 def selected(
@@ -105,14 +118,15 @@ def selected(
     weights: Sequence[int] = WEIGHTS,
     repeats: int = 3,
     block_tokens: int = 16,
-    shard_tokens: int = 4_000_000,
+    shard_tokens: int = 1_000_000,
     seed: int = 17,
 ) -> DataFrame:
     """Tokens taken of each row; ``rows`` has key, source, size, maybe more."""
-    goal = targets(rows, weights, repeats).withColumn("one", F.lit(1))
+    blocks = rows.select(F.round(F.sum("size") / block_tokens).cast("long").alias("n")).scalar()
+    goal = targets(rows, weights, repeats).withColumn("all", F.lit(1)).withColumn("seats", blocks)
+    goal = apportioned(goal, ["all"], ["source"], "target").drop("all")
     n_shards = F.ceil(F.col("source_size") / shard_tokens).cast("long")
-    goal = apportioned(goal, ["one"], ["source"], "target", F.round(F.sum("source_size").over(Window.partitionBy("one")) / block_tokens))
-    goal = stored(goal.withColumn("shards", F.greatest(n_shards, F.lit(1))).drop("one"), "mixing-targets")
+    goal = stored(goal.withColumn("shards", F.greatest(n_shards, F.lit(1))), "mixing-targets")
     g = goal.withColumnRenamed("source", "g_source")
     placed = (
         rows.join(g, F.col("source").eqNullSafe(F.col("g_source")))
@@ -120,8 +134,8 @@ def selected(
         .withColumn("order", F.xxhash64(F.lit(seed), "key"))
         .withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "key"), F.col("shards")))
     )
-    per_shard = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("source_quota"))
-    shards = apportioned(per_shard, ["source"], ["shard"], "shard_size", F.col("source_quota"))
+    per_shard = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("seats"))
+    shards = apportioned(per_shard, ["source"], ["shard"], "shard_size")
     s = shards.select(F.col("source").alias("s_source"), F.col("shard").alias("s_shard"), "shard_size", F.col("quota").alias("blocks"))
     line = Window.partitionBy("source", "shard").orderBy("order", "key").rowsBetween(Window.unboundedPreceding, -1)
     lined = placed.withColumn("begin", F.coalesce(F.sum("size").over(line), F.lit(0)))

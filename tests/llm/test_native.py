@@ -145,8 +145,9 @@ def test_mix_keeps_columns_and_equal_rows(spark, odd):
 def test_seats_are_those_of_highest_quotients(spark):
     votes = [("a", 53.0), ("b", 24.0), ("c", 23.0), ("d", 0.5), ("e", 0.0)]
     table = spark.createDataFrame([("g", *v) for v in votes], "g string, name string, votes double")
-    for seats in (1, 2, 7, 10, 23, 100):
-        got = {r.name: r.quota for r in mixing.apportioned(table, ["g"], ["name"], "votes", F.lit(seats)).collect()}
+    for seats in (1, 2, 3, 7, 10, 23, 100, 1001):
+        found = mixing.apportioned(table.withColumn("seats", F.lit(seats)), ["g"], ["name"], "votes")
+        got = {r.name: r.quota for r in found.collect()}
         quotients = sorted(((-v / (2 * j - 1), n) for n, v in votes if v for j in range(1, seats + 1)))[:seats]
         want = {n: sum(q[1] == n for q in quotients) for n, _ in votes}
         assert got == want, seats
