@@ -170,7 +170,7 @@ def latest_status_window(spark, sf):
 )
 def limit_rows(spark, sf):
     orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return reports.shown(orders.orderBy("o_orderkey"))
+    return reports.shown(orders.orderBy("o_orderkey"), 10_000)
 
 
 @query(

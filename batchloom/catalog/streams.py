@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from batchloom import schemas
 from batchloom.catalog import fixtures as fx
 from batchloom.catalog.events import _JOB_LINK, _LOG, _OK
 from batchloom.catalog.fixtures import c
@@ -11,9 +12,11 @@ from batchloom.catalog.registry import query
 from batchloom.catalog.scheduling import _OBJECTS, _ROUTED, _STEPS, _TRIGGER, _stored
 from batchloom.functions.status import payload_time
 from batchloom.session import run_folder
+from batchloom.sinks import tables
+from batchloom.sinks.tables import read_table
 from batchloom.sources.events import read_stream, task_events
 from batchloom.sources.warehouse import tasks_status
-from batchloom.streaming import job_stream, latest_view, status_stream
+from batchloom.streaming import job_stream, latest_view, runner, status_stream
 
 
 def _stream(spark, sf, name):
@@ -71,7 +74,7 @@ def stream_enrich(spark, sf):
     status_stream.append_enriched(
         _task_messages(spark, sf), fx.job_array(spark, sf), out, checkpoint, once=True
     ).awaitTermination()
-    return spark.read.parquet(out).drop("region", "payload")
+    return read_table(spark, out).drop("region", "payload")
 
 
 def _ingest(spark, sf, name):
@@ -113,7 +116,7 @@ FROM fx_messages WHERE NOT has_attributes""",
     ),
 )
 def stream_rejects(spark, sf):
-    return spark.read.parquet(_ingest(spark, sf, "rejects").rejects).select("data", "reason")
+    return read_table(spark, _ingest(spark, sf, "rejects").rejects).select("data", "reason")
 
 
 @query(
@@ -144,7 +147,7 @@ FROM ended T LEFT JOIN fx_job_array J ON T.job_id = J.job_id
     ),
 )
 def stream_notifications(spark, sf):
-    texts = spark.read.parquet(_ingest(spark, sf, "texts").notifications)
+    texts = read_table(spark, _ingest(spark, sf, "texts").notifications)
     return texts.select("job_id", "task_id", "status", "text")
 
 
@@ -160,23 +163,96 @@ def stream_latest_status(spark, sf):
     out, checkpoint = _folders(spark, "latest")
     rows = fx.day_status(spark, sf, _stream(spark, sf, "events"))
     latest_view.follow_latest(rows, out, checkpoint, once=True).awaitTermination()
-    return latest_view.latest_view(tasks_status(spark, out))
+    compacted = out + "-compacted"
+    latest_view.compact_view(tasks_status(spark, out), compacted)
+    return latest_view.latest_view(tasks_status(spark, compacted))
 
 
 @query(
     "stream_deduplicated",
     fx.with_(
         [fx.MESSAGES],
-        """SELECT DISTINCT job_id, task_id, status, payload FROM fx_messages WHERE has_attributes""",
+        """SELECT job_id, task_id, status, payload, job_name FROM (
+  SELECT DISTINCT job_id, task_id, status, payload, job_name FROM fx_messages WHERE has_attributes)
+UNION ALL SELECT NULL, NULL, NULL, payload, NULL FROM fx_messages, range(2) WHERE NOT has_attributes""",
     ),
 )
 def stream_deduplicated(spark, sf):
-    """Every message is delivered twice."""
+    """Every message is delivered twice; those without attributes all stay."""
     out, checkpoint = _folders(spark, "dedupe")
     twice = _task_messages(spark, sf).union(_task_messages(spark, sf))
-    once = status_stream.deduplicated(twice.filter(c("attributes").isNotNull()))
-    status_stream.append_rows(task_events(once), out, checkpoint, once=True).awaitTermination()
-    return spark.read.parquet(out).select("job_id", "task_id", "status", "payload")
+    once = task_events(status_stream.deduplicated(twice))
+    runner.append_rows(once, out, checkpoint, once=True).awaitTermination()
+    return read_table(spark, out).select("job_id", "task_id", "status", "payload", "job_name")
+
+
+# Rows of the day's log by two streams and a batch append, in any order.
+_THREE_TIMES = "SELECT job_id, task_id, status, timestamp FROM fx_day_status, range(3)"
+
+
+def _append_day(spark, sf, out, checkpoint):
+    rows = fx.day_status(spark, sf, _stream(spark, sf, "events"))
+    runner.append_rows(rows, out, checkpoint, once=True).awaitTermination()
+
+
+@query("append_after_stream", fx.with_([fx.DAY_STATUS], _THREE_TIMES))
+def append_after_stream(spark, sf):
+    """A stream, a batch append and a second stream fill one table."""
+    out, checkpoint = _folders(spark, "shared")
+    _append_day(spark, sf, out, checkpoint)
+    tables.append(fx.day_status(spark, sf), out, schemas.TASKS_STATUS)
+    _append_day(spark, sf, out, checkpoint + "-2")
+    return tasks_status(spark, out)
+
+
+@query(
+    "stream_restart",
+    fx.with_([fx.DAY_STATUS], "SELECT job_id, task_id, status, timestamp FROM fx_day_status, range(2)"),
+)
+def stream_restart(spark, sf):
+    """Restarted from its checkpoint a stream adds nothing; from a new one, all again."""
+    out, checkpoint = _folders(spark, "restart")
+    _append_day(spark, sf, out, checkpoint)
+    _append_day(spark, sf, out, checkpoint)
+    _append_day(spark, sf, out, checkpoint + "-new")
+    compacted = out + "-compacted"
+    tables.compact(spark, out, compacted, schemas.TASKS_STATUS)
+    return tasks_status(spark, compacted)
+
+
+# Every seventh order lacks its status.
+_GAPPED = """gapped AS (SELECT o_orderkey::VARCHAR AS job_id, o_custkey::VARCHAR AS task_id,
+  CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS status FROM orders)"""
+
+
+def _gapped(spark, sf):
+    key = c("o_orderkey")
+    return fx.table(spark, sf, "orders").select(
+        key.cast("string").alias("job_id"),
+        c("o_custkey").cast("string").alias("task_id"),
+        F.when(key % 7 != 0, c("o_orderstatus")).alias("status"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("timestamp"),
+    )
+
+
+@query("append_rejects", fx.with_([_GAPPED], "SELECT job_id, task_id FROM gapped WHERE status IS NULL"))
+def append_rejects(spark, sf):
+    out, _ = _folders(spark, "rejects")
+    return tables.append(_gapped(spark, sf), out, schemas.TASKS_STATUS).select("job_id", "task_id")
+
+
+@query(
+    "truncated_table",
+    fx.with_([_GAPPED], "SELECT job_id, task_id, status FROM gapped WHERE status IS NOT NULL"),
+)
+def truncated_table(spark, sf):
+    """Filled, truncated, and filled again."""
+    out, _ = _folders(spark, "truncated")
+    rows = _gapped(spark, sf)
+    tables.append(rows, out, schemas.TASKS_STATUS)
+    tables.truncate(spark, out, schemas.TASKS_STATUS)
+    tables.append(rows, out, schemas.TASKS_STATUS)
+    return tasks_status(spark, out).drop("timestamp")
 
 
 @query(
@@ -208,7 +284,7 @@ def stream_triggers(spark, sf):
         checkpoint,
         once=True,
     ).awaitTermination()
-    return spark.read.parquet(out).select("job_name", "target_uri", "body")
+    return read_table(spark, out).select("job_name", "target_uri", "body")
 
 
 @query("stream_routes", fx.with_([fx.LISTING, _OBJECTS, _ROUTED], "SELECT * FROM routed"))
@@ -228,4 +304,4 @@ def stream_routes(spark, sf):
         checkpoint,
         once=True,
     ).awaitTermination()
-    return spark.read.parquet(out).drop("batch_id")
+    return read_table(spark, out)

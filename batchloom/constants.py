@@ -66,7 +66,6 @@ CHUNK_RUN_OPTIONS = {
 DEFAULT_LAUNCHER_MACHINE = "nx1"
 REPORT_AFTER = "2016-12-07 08:00:00"
 REPORT_BEFORE = "2100-12-07 08:00:00"
-REPORT_ROW_CAP = 10_000
 
 # --- fixed values: notification texts ----------------------------------------
 TASK_MESSAGE = (

@@ -33,10 +33,13 @@ def enrich_events(events: DataFrame, job_array: DataFrame) -> DataFrame:
     """Events with sample, input, output, type and command; unknown tasks stay, with nulls."""
     wanted = ["sample_id", "input_path", "output_path", "input_type", "command"]
     have = [c for c in wanted if c in job_array.columns]
+    keyed = events.withColumn("__index", task_index(F.col("task_id")))
     tasks = job_array.select(
         F.col("job_id").alias("__job"), F.col("batch_task_index").alias("__number"), *have
     )
-    keyed = events.withColumn("__index", task_index(F.col("task_id")))
+    if not events.isStreaming:  # tasks of these events only, before they are joined
+        own = keyed.select(F.col("job_id").alias("__job"), F.col("__index").alias("__number"))
+        tasks = tasks.join(own.distinct(), ["__job", "__number"], "left_semi")
     return keyed.join(
         tasks,
         (keyed["job_id"] == tasks["__job"]) & (keyed["__index"] == tasks["__number"]),
@@ -46,10 +49,9 @@ def enrich_events(events: DataFrame, job_array: DataFrame) -> DataFrame:
 
 def task_info(job_array: DataFrame, job_id: str, task_id: str) -> DataFrame:
     """Point lookup of one task: sample, input, output, type and command."""
-    spark = job_array.sparkSession
-    index = spark.range(1).select(task_index(F.lit(task_id)).alias("i")).first()["i"]
+    index = task_index(F.lit(task_id))  # folds to a constant, so the filter is pushed down
     return (
-        job_array.filter((F.col("job_id") == job_id) & (F.col("batch_task_index") == F.lit(index)))
+        job_array.filter((F.col("job_id") == job_id) & (F.col("batch_task_index") == index))
         .select("sample_id", "input_path", "output_path", "input_type", "command")
         .orderBy("sample_id", "input_path", "output_path", "input_type", "command")
         .limit(1)
@@ -74,6 +76,16 @@ def task_log_lines(logs: DataFrame, job_uid: str, task_id: str, pattern: str) ->
     )
 
 
+def logs_of(logs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Log lines of the given tasks, found before any line is looked at.
+
+    The keys are few next to the logs, so Spark can broadcast them once their
+    size is known, or filter the scan of the logs by them.
+    """
+    keys = tasks.select(F.col("job_id").alias("job_uid"), "task_id").distinct()
+    return logs.join(keys, ["job_uid", "task_id"], "left_semi").select(logs.columns)
+
+
 def _log_keys(tasks: DataFrame, hits: DataFrame):
     return (tasks["job_id"] == hits["job_uid"]) & (tasks["task_id"] == hits["task_id"])
 
@@ -93,8 +105,8 @@ def unverified(tasks: DataFrame, logs: DataFrame, patterns: list[str] | None = N
 def with_verdict(
     tasks: DataFrame, logs: DataFrame, patterns: list[str] | None = None, name: str = "verdict"
 ) -> DataFrame:
-    """Every task with its verdict, from one join."""
-    hits = success_tasks(logs, patterns).withColumn("__hit", F.lit(True))
+    """Every task with its verdict. Only lines of these tasks are matched."""
+    hits = success_tasks(logs_of(logs, tasks), patterns).withColumn("__hit", F.lit(True))
     return tasks.join(hits, _log_keys(tasks, hits), "left").select(
         *[tasks[c] for c in tasks.columns], verdict(F.col("__hit").isNotNull()).alias(name)
     )

@@ -37,15 +37,25 @@ def latest_status_ranked(status: DataFrame) -> DataFrame:
 
 
 def latest_counts(status: DataFrame) -> DataFrame:
-    """Distinct latest rows with their number of copies, in one scan.
+    """Distinct latest rows with their number of copies.
 
-    Equal rows are counted before and after the first shuffle, so a large group
-    of copies is one row; the ranking then drops all but the latest rows of a
-    task on each side of the second shuffle, so a task with very many rows
-    moves only a few.
+    Only the survivors are counted. Newest times are combined before their
+    shuffle, and a large group of copies is split by the join and added up
+    before the last one.
     """
-    counted = status.groupBy(*status.columns).agg(F.count(F.lit(1)).alias("copies"))
-    return latest_status_ranked(counted)
+    newest = latest_status(status)
+    return newest.groupBy(*newest.columns).agg(F.count(F.lit(1)).alias("copies"))
+
+
+def latest_distinct(status: DataFrame) -> DataFrame:
+    """Distinct latest rows of (job_id, task_id, status, timestamp).
+
+    Every combination of the others keeps its newest time first, combined before
+    the shuffle, so the log itself is never moved: a few rows per task are.
+    """
+    keys = [c for c in status.columns if c != "timestamp"]
+    newest = status.groupBy(*keys).agg(F.max("timestamp").alias("timestamp"))
+    return latest_status_ranked(newest).select(*status.columns)
 
 
 def first_match(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

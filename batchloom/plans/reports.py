@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom import constants as K
-from batchloom.functions.status import task_index
+from batchloom.functions.status import task_index, task_index_text
 from batchloom.operators.checks import created_between, optional_equal
 from batchloom.operators.joins import join_tasks
-from batchloom.operators.latest import latest_counts
-from batchloom.session import materialized
+from batchloom.operators.latest import latest_counts, latest_distinct
 
 
 def _wanted_tasks(
@@ -29,35 +28,23 @@ def _wanted_tasks(
     return tasks, given
 
 
-FEW_VALUES = 1000  # most values that become a pushed-down IN filter
-BROADCAST_NAMES = 100_000  # most task ids that are broadcast
-
-
-def _few_values(df: DataFrame, column: str) -> list | None:
-    """Distinct values of a column, or None when they are more than a few."""
-    rows = df.select(column).distinct().limit(FEW_VALUES + 1).collect()
-    return None if len(rows) > FEW_VALUES else [r[0] for r in rows]
-
-
 def _status_of(status: DataFrame, tasks: DataFrame, filtered: bool) -> DataFrame:
     """For a filtered report: only status rows of tasks that can appear in it.
 
-    All rows of such a task are kept, so its latest time does not change. Task
-    ids become a scan filter if few, a broadcast semi join up to a counted
-    bound; beyond either bound the whole log goes on, with the same result.
+    The task ids of the wanted tasks are found by one semi join on job and index;
+    then all rows of these ids are kept, under whatever job, so the latest time
+    of a task does not change. Spark picks the form of both joins.
     """
-    jobs = _few_values(tasks, "job_id") if filtered else None
-    if jobs is None:
+    if not filtered:
         return status
-    of_jobs = status.select("job_id", "task_id").filter(F.col("job_id").isin(jobs)).distinct()
-    joined = join_tasks(of_jobs, tasks.select("job_id", "batch_task_index"))
-    names = materialized(joined.select("task_id").distinct(), "task-ids")
-    count = names.count()
-    if count <= FEW_VALUES:
-        return status.filter(F.col("task_id").isin([r[0] for r in names.collect()]))
-    if count <= BROADCAST_NAMES:
-        return status.join(F.broadcast(names), "task_id", "left_semi").select(status.columns)
-    return status
+    wanted = tasks.select(
+        F.col("job_id").alias("__job"), F.col("batch_task_index").cast("string").alias("__index")
+    )
+    own = (F.col("job_id") == F.col("__job")) & (task_index_text(F.col("task_id")) == F.col("__index"))
+    names = status.select("job_id", "task_id").join(wanted, own, "left_semi")
+    return status.join(names.select("task_id").distinct(), "task_id", "left_semi").select(
+        status.columns
+    )
 
 
 def count_report(
@@ -118,7 +105,7 @@ def samples_report(
         "timestamp",
     )
     rows = status.select("job_id", "task_id", "status", "timestamp")
-    latest = latest_counts(_status_of(rows, tasks, filtered)).drop("copies")
+    latest = latest_distinct(_status_of(rows, tasks, filtered))
     report = (
         join_tasks(latest, tasks)
         .dropDuplicates(
@@ -197,8 +184,8 @@ def sample_report(
     )
 
 
-def shown(report: DataFrame, rows: int = K.REPORT_ROW_CAP) -> DataFrame:
-    """What a console shows of a report."""
+def shown(report: DataFrame, rows: int) -> DataFrame:
+    """The first rows of a report, as many as the caller asks for."""
     return report.limit(rows)
 
 

@@ -1,11 +1,22 @@
-"""Appends to warehouse tables. A table is a folder of parquet files."""
+"""Writes to warehouse tables. A table is a folder of parquet files.
+
+Every writer uses one layout, ``writer=<id>/batch_id=<n>[/day=<date>]``: batch
+appends, streams and compaction can share a table, and readers see all rows. A
+stream's id is that of its checkpoint, so a new checkpoint, or a second stream,
+never replaces what another one wrote, and a repeated batch replaces itself.
+Tables with a ``timestamp`` are cut by day, so readers can prune days.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+FOLDERS = ["writer", "batch_id", "day"]
+
 
 def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Rows in a table's column order and types, and rows missing a required value."""
@@ -20,15 +31,42 @@ def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
 def append(df: DataFrame, path: str, schema: T.StructType) -> DataFrame:
     """Append all complete rows in one write; returns the rejected rows."""
     good, bad = conform(df, schema)
-    good.write.mode("append").parquet(path)
+    write_batch(good, path, 0, f"append-{uuid.uuid4().hex}")
     return bad
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    """Write one micro-batch to its own folder; a repeated batch replaces itself."""
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_batch(df: DataFrame, path: str, batch_id: int, writer: str) -> None:
+    """Write one batch of a writer to its own folder; a repeated batch replaces itself."""
+    folder = f"{path}/writer={writer}/batch_id={batch_id}"
+    if "timestamp" in df.columns:
+        by_day = df.withColumn("day", F.to_date("timestamp"))
+        by_day.write.mode("overwrite").partitionBy("day").parquet(folder)
+    else:
+        df.write.mode("overwrite").parquet(folder)
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """All rows of a table, whoever wrote them; ``day`` stays for pruning if there is one.
+
+    Without a schema the columns are those of the files.
+    """
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path).drop("writer", "batch_id")
+
+
+def compact(spark: SparkSession, path: str, target: str, schema: T.StructType) -> None:
+    """A copy of a table in a few files per day, in a new folder ``target``.
+
+    Readers and writers of ``path`` go on meanwhile; whoever owns the table
+    switches over when its writers stand still.
+    """
+    rows = read_table(spark, path, schema).select(*schema.fieldNames())
+    spread = rows.withColumn("__day", F.to_date("timestamp")) if "timestamp" in rows.columns else rows
+    keys = ["__day"] if "__day" in spread.columns else []
+    write_batch(spread.hint("rebalance", *keys).drop("__day"), target, 0, f"compact-{uuid.uuid4().hex}")
 
 
 def truncate(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """Replace a table by an empty one of the given schema."""
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    """Remove all rows of a table; it stays readable by its schema."""
+    nothing = spark.createDataFrame([], schema).withColumn("writer", F.lit("none"))
+    nothing.write.mode("overwrite").partitionBy("writer").parquet(path)

@@ -8,11 +8,12 @@ from pyspark.sql import types as T
 
 from batchloom import schemas
 from batchloom.operators.joins import join_tasks
+from batchloom.sinks.tables import read_table
 
 
 def _table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table by its declared columns; folder columns such as a batch number drop out."""
-    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
+    """A table by its declared columns, whoever wrote its rows."""
+    return read_table(spark, path, schema).select(*schema.fieldNames())
 
 
 def tasks_status(spark: SparkSession, path: str) -> DataFrame:

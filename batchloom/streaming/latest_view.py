@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from batchloom import schemas
 from batchloom.operators.latest import latest_status
-from batchloom.sinks.tables import write_batch
+from batchloom.sinks.tables import append
 from batchloom.streaming.runner import start
 
 KEYS = ["job_id", "task_id", "status"]
@@ -28,7 +29,7 @@ def follow_latest(
     """Write changed (job, task, status, newest time) rows per micro-batch."""
     return start(
         newest_per_status(status_stream),
-        lambda batch, batch_id: write_batch(batch, path, batch_id),
+        lambda batch, write: write(batch, path),
         checkpoint,
         once,
         mode="update",
@@ -38,3 +39,11 @@ def follow_latest(
 def latest_view(changes: DataFrame) -> DataFrame:
     """Latest status rows from the written changes; ties stay, copies are one row."""
     return latest_status(newest_per_status(changes)).select(*KEYS, "timestamp")
+
+
+def compact_view(changes: DataFrame, target: str) -> None:
+    """The newest row per task and status as a new, small table of changes.
+
+    A stream may go on writing into ``target``; later changes outdate these rows.
+    """
+    append(newest_per_status(changes).hint("rebalance"), target, schemas.TASKS_STATUS)

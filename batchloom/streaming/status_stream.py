@@ -14,9 +14,8 @@ from batchloom.functions.status import payload_text, payload_time
 from batchloom.operators.checks import with_attributes
 from batchloom.operators.joins import enrich_events, with_verdict
 from batchloom.plans.status import status_rows, task_notifications
-from batchloom.sinks.tables import write_batch
 from batchloom.sources.events import task_events
-from batchloom.streaming.runner import append_rows, start
+from batchloom.streaming.runner import Write, start
 
 
 @dataclass(frozen=True)
@@ -29,40 +28,80 @@ class StatusSinks:
 
 
 def deduplicated(messages: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Optional: drop messages delivered again within ``delay`` of event time."""
+    """Optional: drop messages delivered again within ``delay`` of their first delivery.
+
+    Copies agree in task, state, time and body; messages without one of these all
+    stay. The delay counts from arrival, so no message can come too late for it.
+    """
     a = F.col("attributes")
+    time = payload_time(payload_text(F.col("data")))
+    parts = {"__task": a["TaskUID"], "__state": a["NewTaskState"], "__time": time}
+    whole = F.lit(True)
+    for part in [*parts.values(), F.col("data")]:
+        whole = whole & part.isNotNull()
+    keyed = messages.withColumns(
+        {**parts, "__own": F.when(whole, F.lit("")).otherwise(F.uuid()), "__seen": F.current_timestamp()}
+    )
     return (
-        messages.withColumn("__task", a["TaskUID"])
-        .withColumn("__state", a["NewTaskState"])
-        .withColumn("__time", payload_time(payload_text(F.col("data"))).cast("timestamp"))
-        .withWatermark("__time", delay)
-        .dropDuplicatesWithinWatermark(["__task", "__state", "__time"])
+        keyed.withWatermark("__seen", delay)
+        .dropDuplicatesWithinWatermark([*parts, "data", "__own"])
         .select("attributes", "data")
     )
 
 
+def _events_only(
+    messages: DataFrame,
+    rows: Callable[[DataFrame], DataFrame],
+    path: str,
+    checkpoint: str,
+    once: bool,
+    rejects: str | None,
+) -> StreamingQuery:
+    def each(batch: DataFrame, write: Write) -> None:
+        good, bad = with_attributes(batch)
+        write(rows(task_events(good)), path)
+        if rejects:
+            write(bad, rejects)
+
+    return start(messages, each, checkpoint, once)
+
+
 def append_status(
     messages: DataFrame,
     path: str,
     checkpoint: str,
     clock: Callable[[DataFrame], Column] | None = None,
     once: bool = False,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Plain append of every event to the status log, without verification.
 
-    Messages without attributes are no events; :func:`ingest_status` keeps them.
+    Messages without attributes are no events; they go to ``rejects``.
     """
-    events = task_events(messages.filter(F.col("attributes").isNotNull()))
-    rows = status_rows(events, clock(events) if clock else F.current_timestamp())
-    return append_rows(rows, path, checkpoint, once)
+
+    def rows(events: DataFrame) -> DataFrame:
+        return status_rows(events, clock(events) if clock else F.current_timestamp())
+
+    return _events_only(messages, rows, path, checkpoint, once, rejects)
 
 
 def append_enriched(
-    messages: DataFrame, job_array: DataFrame, path: str, checkpoint: str, once: bool = False
+    messages: DataFrame,
+    job_array: DataFrame,
+    path: str,
+    checkpoint: str,
+    once: bool = False,
+    rejects: str | None = None,
 ) -> StreamingQuery:
-    """Append every event with its task columns; events of unknown tasks stay."""
-    events = task_events(messages.filter(F.col("attributes").isNotNull()))
-    return append_rows(enrich_events(events, job_array), path, checkpoint, once)
+    """Append every event with its task columns; events of unknown tasks stay.
+
+    Messages without attributes go to ``rejects``.
+    """
+
+    def rows(events: DataFrame) -> DataFrame:
+        return enrich_events(events, job_array)
+
+    return _events_only(messages, rows, path, checkpoint, once, rejects)
 
 
 def ingest_status(
@@ -81,12 +120,13 @@ def ingest_status(
 ) -> StreamingQuery:
     """Store every event; check each success against its logs and store the verdict.
 
-    ``logs`` and ``job_array`` are read anew per micro-batch. ``clock`` gives
+    ``logs`` and ``job_array`` are read anew per micro-batch, of which only what the
+    batch's own tasks need; a log table cut by day is best given by its last days. ``clock`` gives
     the row time (arrival by default). A verdict is stamped ``verdict_delay``
     seconds after its success row, so that it is the later of the two.
     """
 
-    def each(batch: DataFrame, batch_id: int) -> None:
+    def each(batch: DataFrame, write: Write) -> None:
         batch = batch.persist()
         good, bad = with_attributes(batch)
         events = task_events(good)
@@ -97,14 +137,14 @@ def ingest_status(
             stamp = clock(events) if clock else F.current_timestamp()
             later = stamp + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(verdict_delay))
             rows = status_rows(events, stamp).unionByName(status_rows(judged, later))
-            write_batch(rows, sinks.status, batch_id)
+            write(rows, sinks.status)
             if sinks.rejects:
-                write_batch(bad, sinks.rejects, batch_id)
+                write(bad, sinks.rejects)
             if sinks.notifications and job_array:
                 told = judged.unionByName(events.filter(F.col("status") == K.FAILED))
                 now = F.current_timestamp() if message_clock is None else message_clock
                 texts = task_notifications(told, job_array(), now, project, region)
-                write_batch(texts, sinks.notifications, batch_id)
+                write(texts, sinks.notifications)
         finally:
             judged.unpersist()
             batch.unpersist()

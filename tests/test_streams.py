@@ -11,7 +11,8 @@ from batchloom import constants as K
 from batchloom import schemas
 from batchloom.functions.status import payload_time
 from batchloom.plans.reports import count_report
-from batchloom.sinks.tables import write_batch
+from batchloom.operators.joins import with_verdict
+from batchloom.sinks.tables import append, compact, read_table, truncate, write_batch
 from batchloom.sources.events import message_stream, object_stream
 from batchloom.sources.warehouse import tasks_status
 from batchloom.streaming import job_stream, latest_view, status_stream
@@ -72,8 +73,8 @@ def test_status_stream_end_to_end(spark, tmp_path, tables_):
         ("u-group0-1", "SUCCEEDED", 6), ("u-group0-1", "VERIFIED_FAILED", 7),
         ("u-group0-2", "FAILED", 7), ("x-group0-9", "FAILED", 7),
     ]
-    assert spark.read.parquet(sinks.rejects).count() == 1
-    texts = {(r.task_id, r.status): r.text for r in spark.read.parquet(sinks.notifications).collect()}
+    assert read_table(spark, sinks.rejects).count() == 1
+    texts = {(r.task_id, r.status): r.text for r in read_table(spark, sinks.notifications).collect()}
     assert set(texts) == {
         ("u-group0-0", "VERIFIED_OK"), ("u-group0-1", "VERIFIED_FAILED"), ("u-group0-2", "FAILED"),
         ("x-group0-9", "FAILED"),
@@ -110,19 +111,65 @@ def test_latest_view_follows_the_log(spark, tmp_path):
 def test_redelivered_messages(spark, tmp_path):
     source = tmp_path / "in"
     one = message("u", 0, "RUNNING", 1)
-    put(source, "a.json", [one, one, message("u", 0, "RUNNING", 2)])
+    bare = [{"data": base64.b64encode(f"m{i % 3}".encode()).decode()} for i in range(9)]
+    other = {**one, "data": base64.b64encode(b"another body, timestamp=2024-01-01T00:00:01Z").decode()}
+    put(source, "a.json", [one, one, message("u", 0, "RUNNING", 2), other, *bare])
     unique = status_stream.deduplicated(message_stream(spark, str(source)))
-    out = str(tmp_path / "out")
-    status_stream.append_status(unique, out, str(tmp_path / "cp"), once=True).awaitTermination()
-    assert tasks_status(spark, out).count() == 2
+    out, bad = str(tmp_path / "out"), str(tmp_path / "bad")
+
+    def run():
+        status_stream.append_status(unique, out, str(tmp_path / "cp"), once=True, rejects=bad).awaitTermination()
+        return tasks_status(spark, out).count()
+
+    assert run() == 3 and read_table(spark, bad).count() == 9
+    # Hours older than all before, yet not lost; again, and dropped.
+    late = message("v", 0, "RUNNING", 1)
+    late["data"] = base64.b64encode(b"x, timestamp=2023-12-31T20:00:00Z").decode()
+    put(source, "b.json", [late, one])
+    assert run() == 4
 
 
 def test_repeated_batch_replaces_itself(spark, tmp_path):
     path = str(tmp_path / "t")
     for _ in range(2):
-        write_batch(spark.range(3), path, 7)
-    write_batch(spark.range(2), path, 8)
-    assert spark.read.parquet(path).count() == 5
+        write_batch(spark.range(3), path, 7, "w")
+    write_batch(spark.range(2), path, 8, "w")
+    write_batch(spark.range(4), path, 7, "v")
+    assert read_table(spark, path).count() == 9 and read_table(spark, path).columns == ["id"]
+
+
+def test_no_writer_hides_the_rows_of_another(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "t")
+    put(source, "a.json", [message("u", i, "RUNNING", i) for i in range(3)])
+
+    def stream(checkpoint):
+        status_stream.append_status(
+            message_stream(spark, str(source)), path, str(tmp_path / checkpoint), once=True, rejects=str(tmp_path / "bad")
+        ).awaitTermination()
+        return tasks_status(spark, path).count()
+
+    assert stream("one") == 3
+    rows = spark.createDataFrame([("j", "t", "RUNNING", datetime(2024, 1, d)) for d in (1, 2)], schemas.TASKS_STATUS)
+    assert append(rows, path, schemas.TASKS_STATUS).count() == 0
+    assert tasks_status(spark, path).count() == 5
+    put(source, "b.json", [message("u", 7, "RUNNING", 7), {"data": "eA=="}])
+    assert stream("one") == 6
+    assert stream("new") == 10
+    assert read_table(spark, str(tmp_path / "bad")).count() == 2
+    compact(spark, path, str(tmp_path / "small"), schemas.TASKS_STATUS)
+    assert tasks_status(spark, str(tmp_path / "small")).count() == 10
+    day = read_table(spark, path, schemas.TASKS_STATUS).where("day = '2024-01-02'")
+    assert day.count() == 1 and "PartitionFilters: [isnotnull(day" in day._jdf.queryExecution().executedPlan().toString()
+    truncate(spark, path, schemas.TASKS_STATUS)
+    assert tasks_status(spark, path).count() == 0
+
+
+def test_only_lines_of_the_batch_are_matched(spark, tables_):
+    logs, _ = tables_
+    tasks = spark.createDataFrame([("u", "u-group0-0")], "job_id string, task_id string")
+    plan = with_verdict(tasks, logs)._jdf.queryExecution().optimizedPlan().toString()
+    # The keys meet the logs below the distinct; lines are matched on the way there.
+    assert "LeftSemi" in plan and plan.index("Aggregate") < plan.index("LeftSemi")
 
 
 def test_job_chain_and_routes(spark, tmp_path):
@@ -138,9 +185,9 @@ def test_job_chain_and_routes(spark, tmp_path):
         message_stream(spark, str(source)), lambda: jobs, lambda: job_list, out, str(tmp_path / "cp"),
         notifications=texts, project="p", region="r", once=True,
     ).awaitTermination()
-    row = spark.read.parquet(out).first()
+    row = read_table(spark, out).first()
     assert (row.target_uri, json.loads(row.body)[K.JOB_LABEL_KEY]) == ("gs://b/d/" + K.TRIGGER_FILE, "two")
-    assert spark.read.parquet(texts).first().text.startswith("_Job_ execution *SUCCEEDED*")
+    assert read_table(spark, texts).first().text.startswith("_Job_ execution *SUCCEEDED*")
 
     put(tmp_path / "objects", "a.json", [{"bucket": "b", "name": f"d/{K.TRIGGER_FILE}"}, {"bucket": "b", "name": "x"}])
     empty = spark.createDataFrame([], "bucket string, name string, content string")
@@ -149,4 +196,4 @@ def test_job_chain_and_routes(spark, tmp_path):
         object_stream(spark, str(tmp_path / "objects")), lambda: empty, lambda: empty.drop("content"),
         routes, str(tmp_path / "cp2"), once=True,
     ).awaitTermination()
-    assert [r.target for r in spark.read.parquet(routes).collect()] == ["d/batch_config.json"]
+    assert [r.target for r in read_table(spark, routes).collect()] == ["d/batch_config.json"]
