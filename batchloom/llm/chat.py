@@ -54,6 +54,7 @@ def pointers(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """
     ids = messages.select("tree", F.col("id").alias("parent")).withColumn("known", F.lit(True))
     parents = messages.join(ids, ["tree", "parent"], "left")
+    # Every step reads the one before twice, so it is written.
     state = stored(
         parents.select(
             "tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"),
@@ -90,10 +91,11 @@ def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:
     order = Window.partitionBy("tree").orderBy((F.col("total") / F.col("depth")).desc(), F.col("depth").desc(), "id")
     best = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
     path = best.select("tree", F.col("id").alias("leaf"), "id")
-    for jump in reversed(jumps):
+    for jump in reversed(jumps):  # each step reads the path twice, so it is written
+        path = stored(path, "chosen")
         steps = jump.withColumnRenamed("from", "id")
         path = path.unionByName(path.join(steps, ["tree", "id"]).select("tree", "leaf", F.col("to").alias("id")))
-    return path.join(figures.select("tree", "id", "depth"), ["tree", "id"])
+    return stored(path, "chosen").join(figures.select("tree", "id", "depth"), ["tree", "id"])
 
 
 def formatted(messages: DataFrame, branches: int = 1) -> DataFrame:

@@ -53,7 +53,7 @@ SHARE = 0.25
 _LIMIT = int(SHARE * 2**64)
 _TABLE = textscan.byte_table(textscan.not_blank, lower=True)
 BLOCK_ROWS = 64  # entries of a block, about
-NEAR_PERCENT = 40  # similarity from which a set's differences to its leader are listed
+NEAR_PERCENT = 50  # similarity from which a set's differences to its leader are listed
 FILTER_WORDS = 1 << 20  # 64-bit words of the node filter: 8 MB, whatever the corpus
 
 
@@ -224,9 +224,8 @@ def most_differing(size: Column, percent: int) -> Column:
 def leader_answers(lists: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Overlaps of the leader of each list with the sets of the list, each pair once.
 
-    Columns a (leader), b, size_a, size_b, overlap, near and delta. For a set
-    near its leader, ``delta`` is the begin of what tells the two apart: the
-    set's other tokens, then the leader's that it lacks, each by hash.
+    Columns a (leader), rank_a, b, size_a, size_b, overlap, near and delta. For a set
+    near its leader, ``delta`` holds the tokens that tell the two apart.
     Leaders are the same in most lists of a group of near copies, since they are
     ranked by the share of tokens of their own.
     """
@@ -234,11 +233,13 @@ def leader_answers(lists: DataFrame, whole: DataFrame, percent: int) -> DataFram
     pairs = (
         lists.join(leaders, "token")
         .where((F.col("node") != F.col("lead.node")) & sizes_fit(F.col("size"), F.col("lead.size"), percent))
-        .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.size").alias("size_a"), F.col("size").alias("size_b"))
+        .select(
+            F.col("lead.node").alias("a"), F.col("lead.share").alias("rank_a"), F.col("node").alias("b"),
+            F.col("lead.size").alias("size_a"), F.col("size").alias("size_b"),
+        )
         .distinct()
     )
-    apart = F.concat(F.array_except("tokens_b", "tokens_a"), F.array_except("tokens_a", "tokens_b"))
-    delta = F.slice(apart, F.lit(1), (most_differing(F.col("size_b"), percent) + 1).cast("int"))
+    delta = F.concat(F.array_except("tokens_b", "tokens_a"), F.array_except("tokens_a", "tokens_b"))
     found = _with_sets(pairs, whole).select(*pairs.columns, _overlap().alias("overlap"), delta.alias("delta"))
     near = 100 * F.col("overlap") >= NEAR_PERCENT * (F.col("size_a") + F.col("size_b") - F.col("overlap"))
     return found.withColumn("near", near).withColumn("delta", F.when(near, F.col("delta")))
@@ -262,24 +263,40 @@ def pairs_by_delta(near: DataFrame, percent: int) -> DataFrame:
     With c the overlap with the leader L, the overlap of X and Y is that of their
     differences to L, less |L| - c(X) - c(Y). Two sets that link, of which one
     does not link with L, share a token of these differences, and at the first
-    they share, enough is left behind it on both sides. Tokens that L lacks come
-    first; they are few sets' own, so sets that differ from L in their own ways
-    never meet.
+    they share, enough is left behind it on both sides. First in the order come
+    tokens that no two components share, which pairs cannot have in common, then
+    the others by their number of holders in the group. So sets that differ from
+    L in their own ways never meet, and few lists are long.
     """
-    entries = near.select(
+    each = near.select(
+        F.col("a").alias("leader"), F.col("b").alias("node"), "label", F.explode("delta").alias("token")
+    )
+    shared = each.groupBy("leader", "token").agg(
+        F.count("*").alias("holders"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    shared = shared.where(F.col("low") != F.col("high")).drop("low", "high")
+    useful = (
+        each.join(shared, ["leader", "token"])
+        .groupBy("leader", "node")
+        .agg(F.sort_array(F.collect_list(F.struct("holders", "token"))).alias("useful"))
+    )
+    sets = near.select(
         F.col("a").alias("leader"), F.col("b").alias("node"), F.col("size_a").alias("lead_size"), F.col("size_b").alias("size"),
-        "overlap", "label", F.posexplode("delta").alias("pos", "token"),
+        "overlap", "label",
+    )
+    n_delta = F.col("size") + F.col("lead_size") - 2 * F.col("overlap")
+    own = n_delta - F.size("useful")
+    first = F.slice("useful", F.lit(1), F.greatest(most_differing(F.col("size"), percent) + 1 - own, F.lit(0)).cast("int"))
+    listed = sets.join(useful, ["leader", "node"]).withColumn("behind", n_delta - own).withColumn("first", first)
+    entries = listed.select("leader", "lead_size", "node", "size", "overlap", "label", "behind", F.posexplode("first").alias("i", "x"))
+    entries = entries.select(
+        "leader", F.col("x.token").alias("token"), "lead_size",
+        F.struct("node", "size", "overlap", "label", (F.col("behind") - F.col("i")).alias("left")).alias("p"),
     )
-    # A token of L as the first common one: both sets must hold enough of L.
-    of_leader = F.col("pos") >= F.col("size") - F.col("overlap")
-    entries = entries.where(~of_leader | (100 * F.col("overlap") >= percent * F.col("size")))
-    left = F.col("size") + F.col("lead_size") - 2 * F.col("overlap") - F.col("pos")
-    entries = entries.select("leader", "token", "lead_size", F.struct("node", "size", "overlap", "label", left.alias("left")).alias("e"))
-    x = entries.withColumnRenamed("e", "p")
-    y = entries.select("leader", "token", F.col("e").alias("q"))
+    y = entries.select("leader", "token", F.col("p").alias("q"))
     p, q = F.col("p"), F.col("q")
     wanted = needed(p["size"], q["size"], percent) + F.col("lead_size") - p["overlap"] - q["overlap"]
-    met = x.alias("x").join(
+    met = entries.alias("x").join(
         y.alias("y"),
         (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token")) & (p["node"] < q["node"])
         & (p["label"] != q["label"]) & sizes_fit(p["size"], q["size"], percent) & (F.least(p["left"], q["left"]) >= wanted),
@@ -291,18 +308,19 @@ def pairs_by_block(lists: DataFrame, answers: DataFrame, labels: DataFrame, perc
     """Pairs of different components and without a common home: a, b, sizes, linked.
 
     ``linked`` is true if the leader's answers prove the link. A set's home is
-    the near leader that it is most similar to; pairs of one home are left to
-    ``pairs_by_delta``.
+    the first, in one order of all leaders, of the leaders near it and itself if
+    it is one; so sets of a group of near copies have one home, even those that
+    lead a list. Pairs of one home are left to ``pairs_by_delta``.
     """
-    similar = F.col("overlap") / (F.col("size_a") + F.col("size_b") - F.col("overlap"))
-    home = answers.where("near").groupBy(F.col("b").alias("node")).agg(F.max(F.struct(similar.alias("s"), F.col("a").alias("a")))["a"].alias("home"))
-    own_home = answers.select(F.col("a").alias("node")).distinct().withColumn("leads", F.lit(True))
+    leader = F.struct(F.col("rank_a").alias("rank"), F.col("a").alias("a"))
+    near = answers.where("near").select(F.col("b").alias("node"), leader.alias("leader"))
+    own = answers.select(F.col("a").alias("node"), leader.alias("leader")).distinct()
+    home = near.unionByName(own).groupBy("node").agg(F.min("leader")["a"].alias("home"))
     entries = (
         lists.join(labels.select("node", "label"), "node", "left")
         .join(home, "node", "left")
-        .join(own_home, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
-        .withColumn("home", F.when(F.col("leads"), F.col("node")).otherwise(F.coalesce("home", "node")))
+        .withColumn("home", F.coalesce("home", "node"))
     )
     # Lists of one component, or of one home, have no more to say.
     whole_lists = entries.groupBy("token").agg(
