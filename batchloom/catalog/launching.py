@@ -9,10 +9,22 @@ from batchloom.catalog import fixtures as fx
 from batchloom.catalog.fixtures import c, text
 from batchloom.catalog.registry import query
 from batchloom.functions import commands, paths
+from batchloom.functions.paths import bucket, prefix
 from batchloom.functions.status import short_id
 from batchloom.functions.text import fill_tokens, ordered_entries, replace_in_entries, replace_in_map
-from batchloom.plans.submit import create_jobs, run_configs
-from batchloom.plans.task_array import Launcher, cram_tasks, fastq_tasks, prepared_jobs, task_array
+from batchloom.plans.prepare import prepare_jobs
+from batchloom.plans.submit import create_jobs, routed_requests, run_configs
+from batchloom.plans.task_array import (
+    Launcher,
+    cram_tasks,
+    fastq_tasks,
+    prepared_jobs,
+    short_inputs,
+    task_array,
+)
+from batchloom.session import run_folder
+from batchloom.sinks.files import read_texts_table, write_texts
+from batchloom.sources.manifests import manifest_rows, split_lines
 
 LAUNCHER = Launcher(account="sa@p1", host="https://host/api", app="app-1")
 _DATE = "2024-03-05-06-07-08"
@@ -561,3 +573,65 @@ UNION ALL SELECT job_id, 'no input files' FROM ok WHERE job_id NOT IN (SELECT jo
 )
 def create_batch_jobs_rejects(spark, sf):
     return _created(spark, sf)[1]
+
+
+# --- chunked jobs, written, read back and run ---------------------------------------------------
+
+# Three lists of one file name in different folders; jobs of 50 tasks.
+@query(
+    "prepared_jobs_run",
+    """WITH numbered AS (SELECT c_custkey % 3 AS n, c_custkey, row_number() OVER (PARTITION BY c_custkey % 3 ORDER BY c_custkey) - 1 AS i
+  FROM customer),
+starts AS (SELECT n, coalesce(sum(jobs) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first_job
+  FROM (SELECT n, (count(*) + 49) // 50 AS jobs FROM numbered GROUP BY n))
+SELECT 'job' || (first_job + i // 50)::BIGINT AS job_label, (i % 50)::BIGINT AS batch_task_index, 'NA' || c_custkey AS sample_id,
+  's3://b/' || c_custkey || '.cram' AS input_path
+FROM numbered JOIN starts USING (n)""",
+)
+def prepared_jobs_run(spark, sf):
+    key = c("c_custkey")
+    uri = text("gs://in/d", key % 3, "/list.txt")
+    customers = fx.table(spark, sf, "customer")
+    inputs = customers.select((key % 3).alias("pos"), uri.alias("uri"), F.lit("gs://cfg/run.json").alias("config_uri")).distinct()
+    rows = customers.select(
+        uri.alias("uri"), key.alias("line_no"), F.array(text("NA", key), text("gs://b/", key, ".cram")).alias("tokens")
+    )
+    jobs = prepare_jobs(inputs, rows, 50, "b", "pre", "10")
+    base = run_folder(spark, "prepared")
+    write_texts(jobs["manifests"], base + "/lists", "b")
+    write_texts(jobs["configs"], base + "/configs", "b")
+    entries = jobs["job_list"].select(
+        bucket(c("config_uri")).alias("bucket"), prefix(c("config_uri")).alias("target"),
+        c("label").alias("job_label"), F.lit("config").alias("route"),
+    )
+    requests, _ = routed_requests(entries, read_texts_table(spark, base + "/configs"), F.lit("2024-03-05 06:07:08"))
+    options = f'{{"{K.OPTIONS_KEY}": {{"--output-directory": "s3://o/x"}}, "{K.LAUNCHER_KEY}": {{"api_host": "h"}}}}'
+    configs = run_configs(
+        fx.table(spark, sf, "region").limit(1).select(F.lit("gs://cfg/run.json").alias("uri"), F.lit(options).alias("text"))
+    )
+    listing = fx.table(spark, sf, "region").limit(0).select(F.lit("").alias("bucket"), F.lit("").alias("name"))
+    back = manifest_rows(split_lines(read_texts_table(spark, base + "/lists")))
+    tasks = create_jobs(requests, configs, back, listing, LAUNCHER)[0]
+    return tasks.select("job_label", "batch_task_index", "sample_id", "input_path")
+
+
+@query(
+    "short_input_rows",
+    fx.with_(
+        [_REQUESTS],
+        """SELECT job_id, c_custkey AS pos, 'expected two fields' AS reason FROM ok JOIN customer ON k = c_custkey // 15
+WHERE input_type = 'cram' AND c_custkey % 4 = 0""",
+    ),
+)
+def short_input_rows(spark, sf):
+    """Every fourth row of the manifests lacks its path."""
+    kind = F.when(c("s_suppkey") % 7 == 3, "bam").when(c("s_suppkey") % 4 == 1, "fastq").otherwise("cram")
+    jobs = fx.table(spark, sf, "supplier").filter(c("s_suppkey") % 11 != 4).select(
+        text("uid-", c("s_suppkey")).alias("job_id"), kind.alias("input_type")
+    )
+    key = c("c_custkey")
+    tokens = F.when(key % 4 == 0, F.array(text("NA", key))).otherwise(F.array(text("NA", key), text("gs://in/", key)))
+    samples = fx.table(spark, sf, "customer").select(
+        text("uid-", F.expr("c_custkey div 15")).alias("job_id"), key.alias("pos"), tokens.alias("tokens")
+    )
+    return short_inputs(jobs, samples).drop("tokens")

@@ -9,10 +9,12 @@ from batchloom.catalog import fixtures as fx
 from batchloom.catalog.fixtures import c, text
 from batchloom.catalog.registry import query
 from batchloom.operators.ordering import first_entry, successors
-from batchloom.plans import schedule
+from batchloom.plans import schedule, submit
+from batchloom.session import run_folder
 from batchloom.sources.configs import trigger_fields
 from batchloom.sources.events import job_events
-from batchloom.sources.job_lists import TWO_FIELDS, job_list_rows
+from batchloom.sinks.files import write_job_list
+from batchloom.sources.job_lists import TWO_FIELDS, job_list_rows, read_job_list
 from batchloom.sources.manifests import split_lines
 
 # --- job lists -------------------------------------------------------------------------
@@ -87,6 +89,52 @@ def first_job(spark, sf):
     return first_entry(fx.job_list(spark, sf))
 
 
+# Suppliers as the names of lists; each has the orders of some customers.
+_LISTS = """lists AS (SELECT 'list' || (o_custkey % 25) AS uri, o_orderkey AS pos,
+    'job' || (o_custkey % 40) AS label, 'gs://cfg/' || o_orderkey || '.json' AS config_uri FROM orders)"""
+
+
+def _lists(spark, sf):
+    return fx.table(spark, sf, "orders").select(
+        text("list", c("o_custkey") % 25).alias("uri"),
+        c("o_orderkey").alias("pos"),
+        text("job", c("o_custkey") % 40).alias("label"),
+        text("gs://cfg/", c("o_orderkey"), ".json").alias("config_uri"),
+    )
+
+
+@query(
+    "next_job_of_lists",
+    fx.with_(
+        [_LISTS],
+        """SELECT uri, label, next_label, next_config_uri FROM (
+  SELECT uri, label, lead(label) OVER l AS next_label, lead(config_uri) OVER l AS next_config_uri,
+    row_number() OVER (PARTITION BY uri, label ORDER BY pos) AS rn
+  FROM lists WINDOW l AS (PARTITION BY uri ORDER BY pos)) WHERE rn = 1""",
+    ),
+)
+def next_job_of_lists(spark, sf):
+    return successors(_lists(spark, sf))
+
+
+@query(
+    "job_list_round_trip",
+    fx.with_(
+        [_LISTS],
+        """SELECT label, next_label, next_config_uri FROM (
+  SELECT label, lead(label) OVER (ORDER BY pos) AS next_label, lead(config_uri) OVER (ORDER BY pos) AS next_config_uri
+  FROM (SELECT pos, label || '-' || pos AS label, config_uri FROM lists))""",
+    ),
+)
+def job_list_round_trip(spark, sf):
+    """A list of many part files, written, read back and chained."""
+    path = run_folder(spark, "list")
+    rows = _lists(spark, sf).select("pos", text(c("label"), "-", c("pos")).alias("label"), "config_uri")
+    lines = rows.withColumn("line", text(c("label"), ", ", c("config_uri")))
+    write_job_list(lines, path, parts=9)
+    return successors(read_job_list(spark, path)[0]).drop("uri")
+
+
 # --- chaining ---------------------------------------------------------------------------------
 
 @query(
@@ -252,3 +300,78 @@ FROM routed WHERE route = 'list' AND 'gs://' || bucket || '/' || target <> 'gs:/
 )
 def job_list_copy(spark, sf):
     return schedule.lists_to_copy(_routed(spark, sf), "gs://sched/jobs.csv")
+
+
+# What routes lead to: a list of three entries each, and batch configs, of which
+# every third is missing and every fifth is broken.
+_LIST_TRIGGERS = """first_entries AS (SELECT bucket, target, 'gs://' || bucket || '/' || target AS uri,
+    'a' || length(target) AS label FROM routed WHERE route = 'list')"""
+
+
+def _stored_lists(routed):
+    uri = schedule.routed_uri()
+    entries = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(x).alias("letter")) for i, x in enumerate("abc")])
+    found = routed.filter(c("route") == "list").select(uri.alias("uri"), "target").distinct()
+    return found.select("uri", "target", F.explode(entries).alias("e")).select(
+        "uri", c("e.pos").alias("pos"), text(c("e.letter"), F.length("target")).alias("label"),
+        text("gs://cfg/", c("e.letter"), "/x.json").alias("config_uri"),
+    )
+
+
+@query(
+    "routed_list_triggers",
+    fx.with_(
+        [fx.LISTING, _OBJECTS, _ROUTED, _LIST_TRIGGERS],
+        f"""SELECT uri, 'gs://cfg/a/{K.TRIGGER_FILE}' AS target_uri,
+  to_json({{'{K.JOB_LABEL_KEY}': label, '{K.TRIGGER_CONFIG_KEY}': 'x.json'}})::VARCHAR AS body FROM first_entries""",
+    ),
+)
+def routed_list_triggers(spark, sf):
+    routed = _routed(spark, sf)
+    return schedule.list_triggers(routed, _stored_lists(routed)).select("uri", "target_uri", "body")
+
+
+_CONFIG_ROUTES = """config_routes AS (SELECT DISTINCT 'gs://' || bucket || '/' || target AS config_uri, job_label,
+    length(target) AS n FROM routed WHERE route = 'config'),
+reasons AS (SELECT *, CASE WHEN n % 3 = 0 THEN 'batch config not found'
+    WHEN n % 5 = 0 THEN 'batch config not usable' END AS reason FROM config_routes)"""
+
+
+def _routed_requests(spark, sf):
+    routed = _routed(spark, sf)
+    n = F.length("target")
+    body = F.when(n % 5 == 0, "{broken").otherwise(
+        text('{"run_options": {"parallelism": ', n, '}, "input_options": {"input_type": "cram", "input_path": "gs://b/d"}}')
+    )
+    texts = (
+        routed.filter((c("route") == "config") & (n % 3 != 0))
+        .select(schedule.routed_uri().alias("uri"), body.alias("text"))
+        .distinct()
+    )
+    return submit.routed_requests(routed, texts, F.lit("2024-03-05 06:07:08"))
+
+
+@query(
+    "routed_jobs",
+    fx.with_(
+        [fx.LISTING, _OBJECTS, _ROUTED, _CONFIG_ROUTES],
+        """SELECT config_uri, job_label, TIMESTAMP '2024-03-05 06:07:08' AS submitted,
+  substr(sha256(config_uri || '|' || coalesce(job_label, '') || '|2024-03-05 06:07:08'), 1, 10) AS job_id,
+  'cram' AS input_type, 'gs://b/d' AS input_path, n::BIGINT AS parallelism FROM reasons WHERE reason IS NULL""",
+    ),
+)
+def routed_jobs(spark, sf):
+    return _routed_requests(spark, sf)[0].select(
+        "config_uri", "job_label", "submitted", "job_id", "input_type", "input_path", "parallelism"
+    )
+
+
+@query(
+    "routed_rejects",
+    fx.with_(
+        [fx.LISTING, _OBJECTS, _ROUTED, _CONFIG_ROUTES],
+        "SELECT config_uri, job_label, reason FROM reasons WHERE reason IS NOT NULL",
+    ),
+)
+def routed_rejects(spark, sf):
+    return _routed_requests(spark, sf)[1]

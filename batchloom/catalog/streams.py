@@ -186,8 +186,10 @@ def stream_deduplicated(spark, sf):
     return read_table(spark, out).select("job_id", "task_id", "status", "payload", "job_name")
 
 
-# Rows of the day's log by two streams and a batch append, in any order.
-_THREE_TIMES = "SELECT job_id, task_id, status, timestamp FROM fx_day_status, range(3)"
+# Rows of the day's log by two streams, and the complete ones by a batch append.
+_THREE_TIMES = """SELECT job_id, task_id, status, timestamp FROM fx_day_status, range(2)
+UNION ALL SELECT job_id, task_id, status, timestamp FROM fx_day_status
+WHERE job_id IS NOT NULL AND task_id IS NOT NULL AND status IS NOT NULL AND timestamp IS NOT NULL"""
 
 
 def _append_day(spark, sf, out, checkpoint):

@@ -86,6 +86,17 @@ def line_numbers(df: DataFrame, group: str, block: str, order: str, name: str) -
     return indexed.withColumn(name, F.col(name) + 1)
 
 
+def places_in_list(lines: DataFrame, part: str, of_list: Column, pos: str) -> DataFrame:
+    """Positions over the parts of lists that are cut in several files.
+
+    The parts of a list follow each other by name; ``pos`` is the place in a part.
+    The result has the list in ``part`` and the place in the list in ``pos``.
+    """
+    keyed = lines.withColumn("__list", of_list)
+    counted = _sum_before(keyed, F.lit(1), ["__list"], part, [pos], "__place")
+    return counted.withColumn(part, F.col("__list")).withColumn(pos, F.col("__place") + 1).select(*lines.columns)
+
+
 def chunks(df: DataFrame, batch_size: int, index: str = "row_index") -> DataFrame:
     """Add the chunk number and the offset of the chunk's first row."""
     number = F.expr(f"`{index}` div {int(batch_size)}")
@@ -94,32 +105,40 @@ def chunks(df: DataFrame, batch_size: int, index: str = "row_index") -> DataFram
     )
 
 
+def _list_keys(job_list: DataFrame) -> list[str]:
+    return ["uri"] if "uri" in job_list.columns else []
+
+
 def successors(job_list: DataFrame) -> DataFrame:
-    """For every label of (pos, label, config_uri): the entry listed after it.
+    """For every label of a list: the entry listed after it.
 
-    The first place of a repeated label decides. The last entry has no successor.
-    Inside a bucket the next row is found by a window; behind its last row comes
-    the head of the next bucket, from the small table of bucket heads.
+    ``job_list`` has pos, label, config_uri, and uri where there are several
+    lists; each list is on its own. The first place of a repeated label decides.
+    The last entry has no successor. Inside a bucket the next row is found by a
+    window; behind its last row comes the head of the next bucket, from the small
+    table of bucket heads.
     """
+    keys = _list_keys(job_list)
     entry = F.struct("pos", "label", "config_uri")
     placed = job_list.select(
+        F.struct(*keys, F.shiftright(F.col("pos").cast("bigint"), BUCKET_BITS).alias("bucket")).alias("__key"),
         "pos", "label", "config_uri",
-        F.shiftright(F.col("pos").cast("bigint"), BUCKET_BITS).alias("__bucket"),
     )
-    heads = placed.groupBy("__bucket").agg(F.min(entry).alias("__head"))
+    heads = placed.groupBy("__key").agg(F.min(entry).alias("__head"))
+    lists = Window.partitionBy(*[F.col("__key")[k] for k in keys])
     behind = heads.select(
-        F.col("__bucket").alias("__of"),
-        F.lead("__head").over(Window.orderBy("__bucket")).alias("__head"),
+        F.col("__key").alias("__of"), F.lead("__head").over(lists.orderBy(F.col("__key")["bucket"])).alias("__head")
     )
-    inside = Window.partitionBy("__bucket").orderBy("pos")
+    inside = Window.partitionBy("__key").orderBy("pos")
     following = F.coalesce(F.lead(entry).over(inside), F.col("__head"))
-    steps = placed.join(behind, placed["__bucket"] == behind["__of"], "left").select(
-        "label", F.struct("pos", following.alias("next")).alias("step")
+    steps = placed.join(behind, placed["__key"] == behind["__of"], "left").select(
+        *[F.col("__key")[k].alias(k) for k in keys], "label", F.struct("pos", following.alias("next")).alias("step")
     )
     return (
-        steps.groupBy("label")
+        steps.groupBy(*keys, "label")
         .agg(F.min("step")["next"].alias("next"))
         .select(
+            *keys,
             "label",
             F.col("next.label").alias("next_label"),
             F.col("next.config_uri").alias("next_config_uri"),
@@ -128,5 +147,7 @@ def successors(job_list: DataFrame) -> DataFrame:
 
 
 def first_entry(job_list: DataFrame) -> DataFrame:
-    """The first entry of an ordered list."""
-    return job_list.orderBy("pos").limit(1)
+    """The first entry of every list (of the one list, where there is no uri)."""
+    keys = _list_keys(job_list)
+    first = job_list.groupBy(*keys).agg(F.min(F.struct("pos", "label", "config_uri")).alias("e"))
+    return first.where(F.col("e").isNotNull()).select(*keys, "e.pos", "e.label", "e.config_uri")

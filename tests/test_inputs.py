@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from batchloom import constants as K
 from batchloom import schemas
 from batchloom.operators import checks, joins, ordering
+from batchloom.sinks import files
 from batchloom.sources import configs, job_lists, listings, manifests
 
 
@@ -174,8 +175,27 @@ def test_job_list_lines(spark):
 
 def test_read_job_list(spark, tmp_path):
     (tmp_path / "jobs.csv").write_text("job1, gs://b/d/c1.json\nbad\njob2, gs://b/d/c2.json\n")
-    rows = job_lists.read_job_list(spark, str(tmp_path / "jobs.csv")).orderBy("pos").collect()
-    assert [(r.pos, r.label) for r in rows] == [(1, "job1"), (3, "job2")]
+    good, bad = job_lists.read_job_list(spark, str(tmp_path / "jobs.csv"))
+    assert [(r.pos, r.label) for r in good.orderBy("pos").collect()] == [(1, "job1"), (3, "job2")]
+    assert [(r.line_no, r.line) for r in bad.collect()] == [(2, "bad")]
+
+
+def test_written_lists_of_many_parts(spark, tmp_path):
+    lists = spark.range(120).selectExpr(
+        "cast(id % 3 as string) as name", "id as pos", "concat('j', id) as label", "concat('gs://c/', id) as config_uri"
+    )
+    for name in "012":
+        rows = lists.where(f"name = '{name}'").selectExpr("*", "concat(label, ',', config_uri) as line")
+        files.write_job_list(rows, str(tmp_path / name), parts=4)
+        assert len(list((tmp_path / name).glob("part-*"))) == 4
+    good, bad = job_lists.read_job_list(spark, str(tmp_path / "*"))
+    assert bad.count() == 0 and good.select("uri").distinct().count() == 3
+    steps = ordering.successors(good).collect()
+    got = {r.label: (r.next_label, r.next_config_uri) for r in steps}
+    assert got == {
+        f"j{i}": (f"j{i + 3}", f"gs://c/{i + 3}") if i + 3 < 120 else (None, None) for i in range(120)
+    }
+    assert sorted(r.label for r in ordering.first_entry(good).collect()) == ["j0", "j1", "j2"]
 
 
 def test_listed_inputs(spark):

@@ -168,7 +168,8 @@ def test_written_jobs_read_back(spark, tmp_path):
     assert one.read_text() == K.MANIFEST_HEADER + "\n" + "".join(f"NA{i} p{i}\n" for i in range(40, 45))
     single = tmp_path / "jobs.csv"
     single.write_text(text)
-    assert read_job_list(spark, str(single)).count() == 3
+    assert read_job_list(spark, str(single))[0].count() == 3
+    assert read_job_list(spark, str(tmp_path / "jobs"))[0].count() == 3
 
 
 LIST = [
@@ -280,7 +281,8 @@ def test_create_jobs_from_configs(spark):
         "uri string, line_no long, tokens array<string>",
     )
     listing = spark.createDataFrame([("b", "d/x.cram"), ("b", "d/y.gz")], "bucket string, name string")
-    tasks, down = submit.create_jobs(requests, configs, rows, listing, LAUNCHER)
+    tasks, down, short = submit.create_jobs(requests, configs, rows, listing, LAUNCHER)
+    assert short.count() == 0
     got = tasks.orderBy("job_id", "batch_task_index").collect()
     assert [(r.job_id, r.batch_task_index, r.sample_id, r.input_path) for r in got] == [
         ("j1", 0, "A", "s3://b/A"), ("j1", 1, "B", "s3://b/B"), ("j1", 2, "x", "s3://b/d/x.cram"),
