@@ -249,6 +249,21 @@ def _rank() -> Column:
     return F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("node"), F.col("size").alias("size"))
 
 
+def star_labels(links: DataFrame) -> DataFrame:
+    """A label per linked node, so that nodes of one label are connected: node, label.
+
+    ``links`` has a (leader), rank_a, b. A node takes the first leader it links to,
+    itself included if it leads, and then that leader's own label. This is less
+    than components, and two joins.
+    """
+    leader = F.struct(F.col("rank_a").alias("rank"), F.col("a").alias("a"))
+    own = links.select(F.col("a").alias("node"), leader.alias("leader"))
+    first = own.unionByName(links.select(F.col("b").alias("node"), leader.alias("leader")))
+    first = first.groupBy("node").agg(F.min("leader")["a"].alias("mid"))
+    above = first.select(F.col("node").alias("mid"), F.col("mid").alias("label"))
+    return first.join(above, "mid").select("node", "label")
+
+
 def labelled_answers(answers: DataFrame, labels: DataFrame) -> DataFrame:
     """Near answers of leaders whose near sets are not all in one component."""
     label = labels.select(F.col("node").alias("b"), "label")
@@ -411,8 +426,8 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     whole = stored(whole.join(lists.select("node").distinct(), "node"), "whole-sets")
     answers = stored(leader_answers(lists, whole, percent), "leader-answers")
     link = F.col("overlap") >= needed(F.col("size_a"), F.col("size_b"), percent)
-    links = answers.where(link).select("a", "b")
-    labels = components(links)
+    links = answers.where(link).select("a", "rank_a", "b")
+    labels = stored(star_labels(links), "star-labels")
     near = pairs_by_delta(labelled_answers(answers, labels), percent).withColumn("linked", F.lit(False))
     far = pairs_by_block(lists, answers.drop("delta"), labels, percent)
     pairs = stored(far.unionByName(near), "derived-pairs")
@@ -420,8 +435,7 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     rest = overlaps(pairs.where(~F.col("linked")).select("a", "b", "sizes").distinct(), whole)
     least = F.floor((F.lit(percent) * F.col("sizes") + F.lit(100 + percent - 1)) / F.lit(100 + percent)).cast("long")
     more = rest.where(F.col("overlap") >= least).select("a", "b")
-    stars = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
-    return components(stars.unionByName(proved).unionByName(more))
+    return components(links.select("a", "b").unionByName(proved).unionByName(more))
 
 
 def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
