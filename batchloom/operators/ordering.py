@@ -18,6 +18,28 @@ from batchloom.session import materialized
 BUCKET_BITS = 16  # positions per bucket: 65,536
 
 
+def _offsets(sizes: DataFrame, group: Sequence[str], bucket: str, numbered: bool) -> DataFrame:
+    """Sum of the sizes of all earlier buckets of the group: __offset_of, __offset.
+
+    Buckets that are numbered by position are added up in buckets of buckets, so
+    the last window sees one row per 65,536 squared rows of a group.
+    """
+    key, before = F.col("__key"), (Window.unboundedPreceding, -1)
+    if not numbered:
+        earlier = Window.partitionBy(*[key[g] for g in group]).orderBy(key[bucket]).rowsBetween(*before)
+        return sizes.select(key.alias("__offset_of"), F.sum("__size").over(earlier).alias("__offset"))
+    above = F.struct(*[key[g].alias(g) for g in group], F.shiftright(key[bucket], BUCKET_BITS).alias("__above"))
+    placed = sizes.withColumn("__of", above)
+    tops = placed.groupBy("__of").agg(F.sum("__size").alias("__total"))
+    of = F.col("__of")
+    earlier = Window.partitionBy(*[of[g] for g in group]).orderBy(of["__above"]).rowsBetween(*before)
+    tops = tops.select(of.alias("__top"), F.sum("__total").over(earlier).alias("__before"))
+    inside = Window.partitionBy("__of").orderBy(key[bucket]).rowsBetween(*before)
+    joined = placed.join(tops, placed["__of"] == tops["__top"], "left")
+    total = F.coalesce("__before", F.lit(0)) + F.coalesce(F.sum("__size").over(inside), F.lit(0))
+    return joined.select(key.alias("__offset_of"), total.alias("__offset"))
+
+
 def _sum_before(
     df: DataFrame,
     value: Column,
@@ -25,6 +47,7 @@ def _sum_before(
     bucket: str,
     order: Sequence[str],
     name: str,
+    numbered: bool = False,
 ) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows of the group, bucket by bucket.
 
@@ -34,14 +57,7 @@ def _sum_before(
     """
     keyed = df.withColumn("__key", F.struct(*group, bucket))
     sizes = keyed.groupBy("__key").agg(F.sum(value).alias("__size"))
-    earlier = (
-        Window.partitionBy(*[F.col("__key")[g] for g in group])
-        .orderBy(F.col("__key")[bucket])
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = sizes.select(
-        F.col("__key").alias("__offset_of"), F.sum("__size").over(earlier).alias("__offset")
-    ).filter(F.col("__offset") != 0)
+    offsets = _offsets(sizes, group, bucket, numbered).filter(F.col("__offset") != 0)
     joined = keyed.join(offsets, keyed["__key"] == offsets["__offset_of"], "left")
     inside = Window.partitionBy("__key").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
@@ -55,7 +71,7 @@ def sum_before(
 ) -> DataFrame:
     """Sum of ``value`` over the rows before this one; ``pos`` is an integer order."""
     marked = df.withColumn("__bucket", F.shiftright(F.col(pos).cast("bigint"), BUCKET_BITS))
-    return _sum_before(marked, value, group, "__bucket", [pos], name).drop("__bucket")
+    return _sum_before(marked, value, group, "__bucket", [pos], name, numbered=True).drop("__bucket")
 
 
 def row_index(

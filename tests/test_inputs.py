@@ -216,6 +216,19 @@ def test_listed_inputs(spark):
     assert set(got) == {"j1", "j2"}
 
 
+def test_scratch_leaves_nothing_behind(spark, tmp_path):
+    import os
+
+    from batchloom.session import scratch, shared_folder
+
+    before = set(os.listdir(shared_folder(spark)))
+    (tmp_path / "a.txt").write_text("h\nx y\n")
+    with scratch(spark):
+        assert manifests.read_lines(spark, str(tmp_path / "a.txt")).count() == 3
+        assert len(set(os.listdir(shared_folder(spark))) - before) == 1
+    assert set(os.listdir(shared_folder(spark))) == before
+
+
 def test_list_files(spark, tmp_path):
     (tmp_path / "d").mkdir()
     (tmp_path / "d" / "a.cram").write_text("x")
