@@ -54,33 +54,33 @@ def pointers(messages: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """
     ids = messages.select("tree", F.col("id").alias("parent")).withColumn("known", F.lit(True))
     parents = messages.join(ids, ["tree", "parent"], "left")
-    # Every step reads the one before twice, so it is written.
-    state = stored(
+    first = stored(
         parents.select(
             "tree", "id", F.when(F.col("known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"),
             F.coalesce("score", F.lit(0.0)).alias("total"),
         ),
         "paths",
     )
-    largest = state.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    jumps = []
-    # After as many rounds as the largest tree has binary digits, what still
+    largest = first.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    # Messages whose pointer has reached the root are finished; only the others go
+    # on. After as many rounds as the largest tree has binary digits, what still
     # points on is on a circle or leads to one.
+    finished, going = [first.where(F.col("up").isNull())], first.where(F.col("up").isNotNull())
+    jumps: list[DataFrame] = []
     for _ in range(int(largest).bit_length()):
-        going = state.where(F.col("up").isNotNull())
         if going.isEmpty():
             break
         jumps.append(going.select("tree", F.col("id").alias("from"), F.col("up").alias("to")))
-        above = state.select("tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t"))
-        both = state.join(above, ["tree", "up"], "left")
-        state = stored(
-            both.select(
-                "tree", "id", F.col("next").alias("up"), (F.col("depth") + F.coalesce("d", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("t", F.lit(0.0))).alias("total"),
-            ),
-            "paths",
+        above = reduce(DataFrame.unionByName, [*finished, going]).select(
+            "tree", F.col("id").alias("up"), F.col("up").alias("next"), F.col("depth").alias("d"), F.col("total").alias("t")
         )
-    return state.where(F.col("up").isNull()).select("tree", "id", "depth", "total"), jumps
+        moved = going.join(above, ["tree", "up"]).select(
+            "tree", "id", F.col("next").alias("up"), (F.col("depth") + F.col("d")).alias("depth"), (F.col("total") + F.col("t")).alias("total")
+        )
+        moved = stored(moved, "paths")  # the next round reads it twice
+        finished.append(moved.where(F.col("up").isNull()))
+        going = moved.where(F.col("up").isNotNull())
+    return reduce(DataFrame.unionByName, finished).select("tree", "id", "depth", "total"), jumps
 
 
 def chosen_paths(messages: DataFrame, branches: int = 1) -> DataFrame:

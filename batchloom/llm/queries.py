@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from batchloom.llm import oracles
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,7 +26,8 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from batchloom.llm import url_filter
 
-    return url_filter.judged(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    found = url_filter.judged(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,4 +89,11 @@ QUERIES = {
         op8_chat, op9_pii, op10_secrets, pipeline,
     ]
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": oracles.WARC,
+    "op4_url_filter": oracles.URL_FILTER,
+    "op5_decontamination": oracles.DECONTAMINATION,
+    "op6_line_rules": oracles.LINE_RULES,
+    "op8_chat": oracles.CHAT,
+    "op10_secrets": oracles.SECRETS,
+}
