@@ -25,6 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -176,7 +177,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(
                 {
                     "place": [batch.column("place")[i].as_py()], "lang": [batch.column("lang")[i].as_py()],
-                    "buckets": pa.array([buckets], pa.list_(pa.int64())), "counts": pa.array([counts], pa.list_(pa.int64())),
+                    "buckets": pa.array([buckets], pa.list_(pa.int32())), "counts": pa.array([counts], pa.list_(pa.int32())),
                 }
             )
 
@@ -194,15 +195,28 @@ def sample(docs: DataFrame, per_lang: int) -> DataFrame:
     return rows.join(F.broadcast(limits), "lang").where(F.col("place") <= F.col("limit")).select("place", "lang", "text")
 
 
-def fitted(docs: DataFrame, per_lang: int = 500, max_langs: int = 400, epochs: int = 6, rate: float = 0.5, reject_share: float = 0.002, max_limit: float = 0.4, seed: int = 7) -> Model | None:
+def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
+    for chunk in column.chunks:
+        ends, values = chunk.offsets.to_numpy(), chunk.values.to_numpy()
+        for begin, end in zip(ends, ends[1:]):
+            yield values[begin:end]
+
+
+def fitted(docs: DataFrame, per_lang: int = 300, max_langs: int = 400, epochs: int = 6, rate: float = 0.5, reject_share: float = 0.002, max_limit: float = 0.4, seed: int = 7) -> Model | None:
     """A model learned from a bounded sample; None if nothing is labelled."""
     n_langs = docs.select("lang").distinct().limit(max_langs + 1).count()
     if n_langs > max_langs:
         raise ValueError(f"more than {max_langs} languages")
-    found = map_batches(sample(docs, per_lang), _features, "place bigint, lang string, buckets array<bigint>, counts array<bigint>")
-    table = found.toArrow().to_pylist()
-    table.sort(key=lambda r: (r["place"], r["lang"], r["buckets"], r["counts"]))
-    rows = [(r["lang"], np.array(r["buckets"], dtype=np.int64), np.array(r["counts"], dtype=np.int64)) for r in table]
+    found = map_batches(sample(docs, per_lang), _features, "place bigint, lang string, buckets array<int>, counts array<int>")
+    table = found.toArrow()
+    places, langs = table["place"].to_pylist(), table["lang"].to_pylist()
+    arrays = zip(_arrays(table["buckets"]), _arrays(table["counts"]))
+    # Repeated ids have equal places: the contents then set the order.
+    keyed = sorted(
+        ((p, lang, crc32(b.tobytes()), crc32(c.tobytes()), i), (lang, b, c))
+        for i, (p, lang, (b, c)) in enumerate(zip(places, langs, arrays))
+    )
+    rows = [row for _, row in keyed]
     return trained(rows, epochs, rate, reject_share, max_limit, seed) if rows else None
 
 
