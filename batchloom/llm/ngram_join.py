@@ -249,21 +249,39 @@ def _rank() -> Column:
     return F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("node"), F.col("size").alias("size"))
 
 
-def star_labels(links: DataFrame) -> DataFrame:
-    """A label per linked node, so that nodes of one label are connected: node, label.
+def first_leaders(links: DataFrame) -> DataFrame:
+    """The first leader that a node links to, itself included if it leads: node, mid.
 
-    ``links`` has a (leader), rank_a, b. A node takes the first leader it links to,
-    itself included if it leads, and then that leader's own label. This is less
-    than components, and two joins.
+    ``links`` has a (leader), rank_a, b. Leaders have one order, so the sets of a
+    group of near copies have few first leaders.
     """
     leader = F.struct(F.col("rank_a").alias("rank"), F.col("a").alias("a"))
     own = links.select(F.col("a").alias("node"), leader.alias("leader"))
-    first = own.unionByName(links.select(F.col("b").alias("node"), leader.alias("leader")))
-    first = first.groupBy("node").agg(F.min("leader")["a"].alias("mid"))
+    every = own.unionByName(links.select(F.col("b").alias("node"), leader.alias("leader")))
+    return every.groupBy("node").agg(F.min("leader")["a"].alias("mid"))
+
+
+def star_labels(first: DataFrame) -> DataFrame:
+    """A label per linked node, so that nodes of one label are connected: node, label.
+
+    It is the first leader of the first leader: less than components, and one join.
+    """
     above = first.select(F.col("node").alias("mid"), F.col("mid").alias("label"))
     return first.join(above, "mid").select("node", "label")
 
 
+def spanning(links: DataFrame, first: DataFrame) -> DataFrame:
+    """Fewer links that connect the same nodes: a, b.
+
+    Each node keeps its first leader; its other leaders are linked with that one,
+    each pair of leaders once.
+    """
+    to_first = first.where(F.col("node") != F.col("mid")).select(F.col("node").alias("a"), F.col("mid").alias("b"))
+    of_b = first.select(F.col("node").alias("b"), "mid")
+    leaders = links.join(of_b, "b").where(F.col("a") != F.col("mid")).select(F.col("mid").alias("a"), F.col("a").alias("b"))
+    return to_first.unionByName(leaders.distinct())
+
+
 def labelled_answers(answers: DataFrame, labels: DataFrame) -> DataFrame:
     """Near answers of leaders whose near sets are not all in one component."""
     label = labels.select(F.col("node").alias("b"), "label")
@@ -427,7 +445,8 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     answers = stored(leader_answers(lists, whole, percent), "leader-answers")
     link = F.col("overlap") >= needed(F.col("size_a"), F.col("size_b"), percent)
     links = answers.where(link).select("a", "rank_a", "b")
-    labels = stored(star_labels(links), "star-labels")
+    first = stored(first_leaders(links), "first-leaders")
+    labels = stored(star_labels(first), "star-labels")
     near = pairs_by_delta(labelled_answers(answers, labels), percent).withColumn("linked", F.lit(False))
     far = pairs_by_block(lists, answers.drop("delta"), labels, percent)
     pairs = stored(far.unionByName(near), "derived-pairs")
@@ -435,7 +454,7 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     rest = overlaps(pairs.where(~F.col("linked")).select("a", "b", "sizes").distinct(), whole)
     least = F.floor((F.lit(percent) * F.col("sizes") + F.lit(100 + percent - 1)) / F.lit(100 + percent)).cast("long")
     more = rest.where(F.col("overlap") >= least).select("a", "b")
-    return components(links.select("a", "b").unionByName(proved).unionByName(more))
+    return components(spanning(links, first).unionByName(proved).unionByName(more))
 
 
 def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
