@@ -2,11 +2,11 @@
 
 Lines are normalised (A-Z lower case, digits as 0, white space collapsed) and
 hashed. A line is common on its host (here: the source) when it is in more than
-``max_docs`` distinct texts and in more than ``max_share`` of the host's distinct
-texts; whole copies of a text count once. Common lines are removed, and a
-document is rejected when fewer than ``min_words`` words or less than
-``min_left`` of its words are left. Base rules reject texts of fewer than
-``min_words`` words, and those where over a fifth of the words repeat.
+``max_docs`` distinct texts, however many the host has; whole copies of a text
+count once. Common lines are removed, and a document is rejected when fewer than
+``min_words`` words or less than ``min_left`` of its words are left. Base rules
+reject texts of fewer than ``min_words`` words, and those where over a fifth of
+the words repeat.
 
 Defined cases: null and empty texts have no words and fail the base rules. A
 null source is a host. Equal rows are judged alike, each on its own. An empty
@@ -104,29 +104,21 @@ def measured(docs: DataFrame) -> DataFrame:
     return map_batches(rows, _measure, schema)
 
 
-def common_lines(rows: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """Lines above the limits: host, hash, n_texts.
+def common_lines(rows: DataFrame, max_docs: int) -> DataFrame:
+    """Lines above the limit: host, hash, n_texts.
 
     Copies of a text fall together first, then counts are added up before the
     shuffle by line, so a line of a third of all documents is one row per task.
     """
-    texts = rows.select("source", "text_key").distinct().groupBy("source").agg(F.count("*").alias("host_texts"))
     each = rows.select("source", "text_key", F.explode("lines.hash").alias("hash")).distinct()
     counts = each.groupBy("source", "hash").agg(F.count("*").alias("n_texts")).where(F.col("n_texts") > max_docs)
-    hosts = texts.withColumnRenamed("source", "host")
-    return (
-        counts.join(hosts, F.col("source").eqNullSafe(F.col("host")))
-        .where(F.col("n_texts") > max_share * F.col("host_texts"))
-        .select(F.col("source").alias("host"), "hash", "n_texts")
-    )
+    return counts.withColumnRenamed("source", "host")
 
 
-def judged(
-    docs: DataFrame, max_docs: int = 10, max_share: float = 0.02, min_words: int = 10, min_left: float = 0.3
-) -> DataFrame:
+def judged(docs: DataFrame, max_docs: int = 10, min_words: int = 10, min_left: float = 0.3) -> DataFrame:
     """A row per document: doc_id, base figures, base_failed, n_common_words, kept."""
     rows = stored(measured(docs), "line-figures")
-    common = common_lines(rows, max_docs, max_share)
+    common = common_lines(rows, max_docs)
     each = rows.select("key", "source", F.explode("lines").alias("line")).distinct().select("key", "source", "line.*")
     same = F.col("source").eqNullSafe(F.col("host")) & (F.col("hash") == F.col("line_hash"))
     removed = (
@@ -158,10 +150,10 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(i, batch.schema.field(i), pa.array(out, batch.schema.field(i).type))
 
 
-def cleaned(docs: DataFrame, max_docs: int = 10, max_share: float = 0.02) -> DataFrame:
+def cleaned(docs: DataFrame, max_docs: int = 10) -> DataFrame:
     """The documents without the common lines of their host; all columns in their order."""
     rows = stored(measured(docs), "line-figures")
-    common = common_lines(rows, max_docs, max_share)
+    common = common_lines(rows, max_docs)
     each = rows.select("key", "source", F.explode("lines.hash").alias("line_hash")).distinct()
     same = F.col("source").eqNullSafe(F.col("host")) & (F.col("hash") == F.col("line_hash"))
     per_doc = each.join(common, same).groupBy(F.col("key").alias("__key")).agg(F.collect_list("line_hash").alias("__common"))

@@ -124,6 +124,18 @@ def test_common_lines_go_and_depleted_documents_too(spark):
     assert out[100] == "own 0" and out[200] == f"{line}\nown"
 
 
+def test_limit_of_common_lines_does_not_grow_with_the_host(spark):
+    line = "this is the same menu line of every page on this host here"
+    rows = [(i, f"own text number {'x' * i} with enough words to stay here for good I say", "h") for i in range(1_000)]
+    rows += [(2_000 + i, f"{line}\nown {'x' * i}", "h") for i in range(11)]
+    rows += [(3_000 + i, f"another {line}\nown {'x' * i}", "h") for i in range(10)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: (r.n_common_words, r.kept) for r in line_rules.judged(docs).collect()}
+    assert all(got[2_000 + i] == (13, False) for i in range(11))
+    assert all(got[3_000 + i] == (0, True) for i in range(10)) and got[0] == (0, True)
+    assert {r.doc_id: r.text for r in line_rules.cleaned(docs).collect()}[2_003] == "own xxx"
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], DOC)
     bench = spark.createDataFrame([], "item_id long, text string")
