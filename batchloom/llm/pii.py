@@ -2,18 +2,21 @@
 
 Base spans are e-mail addresses, IPv4 addresses, card numbers and phone
 numbers. The values found are the protected entities of the corpus. A term (a
-word in a line with an entity) is measured by how much of the entity's
-information it discloses:
+run of letters, marks and digits outside all base spans, in the line of an entity
+or at most ``window`` lines above or below) is measured by how much of the
+entity's information it discloses:
 
     disclosure(t, e) = PMI(t; e) / IC(e)
     PMI(t; e) = ln(N * n(t, e) / (n(t) * n(e)))      IC(e) = ln(N / n(e))
 
 with counts of documents over the whole corpus: ``n(t, e)`` those with the term
-in a line with the entity, ``n(t)`` those with the term anywhere. The value is 1
+near the entity, ``n(t)`` those with the term anywhere. The value is 1
 when the term occurs only with the entity, and 0 when they are independent.
 Terms at ``generalise_at`` or more become a class name, at ``remove_at`` or more
 they go. Pairs need ``min_support`` distinct texts, so copies of one text are no
-evidence, and an entity that all documents hold carries no information.
+evidence, and an entity that all documents hold carries no information. Words of
+fewer than ``min_chars`` characters are no terms; ``WHOLE``, with which the query
+and the pipeline call, takes words of any length.
 
 Defined cases: null and empty texts have no spans and stay as they are. Equal
 rows give equal results; ids may repeat or be null. Other columns pass through.
@@ -36,7 +39,13 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TERM_GAP = r"[^\p{L}\p{N}]+"
+TERM = r"[\p{L}\p{M}\p{N}]+"
+TERM_GAP = r"[^\p{L}\p{M}\p{N}]+"
+
+TERM_SPAN = "struct<start:int,end:int,disclosure:double,term:string>"
+
+#: Options by which no word is left out.
+WHOLE = {"min_chars": 1}
 
 
 def _digits(value: Column) -> Column:
@@ -84,33 +93,6 @@ def with_base(docs: DataFrame, *keep: str) -> DataFrame:
     return source.select("key", *keep, "text", *[c.alias(k) for k, c in base_spans(F.col("text")).items()])
 
 
-def entity_lines(found: DataFrame) -> DataFrame:
-    """A row per entity and line: key, entity, start of the line, its text.
-
-    Only texts with an entity are cut into lines.
-    """
-    spans = F.concat(*[labelled(k, F.transform(F.col(k), _with_value)) for k in KINDS])
-    lines = F.split("text", "\n", -1)
-
-    def add(state: Column, line: Column) -> Column:
-        row = F.struct(state["at"].alias("line_start"), line.alias("line"))
-        return F.struct((state["at"] + F.length(line) + 1).alias("at"), F.concat(state["rows"], F.array(row)).alias("rows"))
-
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line_start:int,line:string>>").alias("rows"))
-    cut = found.where(F.greatest(*[F.size(k) for k in KINDS]) > 0).select(
-        "key", spans.alias("spans"), F.aggregate(lines, begin, add, lambda s: s["rows"]).alias("rows")
-    )
-    each = cut.select("key", "spans", F.explode("rows").alias("row")).select("key", "spans", "row.line_start", "row.line")
-    inside = F.filter(
-        "spans", lambda s: (s["start"] >= F.col("line_start")) & (s["start"] <= F.col("line_start") + F.length("line"))
-    )
-    return (
-        each.withColumn("spans", inside)
-        .where(F.size("spans") > 0)
-        .select("key", "line_start", "line", F.explode(F.array_distinct(F.transform("spans", _entity))).alias("entity"))
-    )
-
-
 def _with_value(s: Column) -> Column:
     return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["value"].alias("part"))
 
@@ -120,60 +102,111 @@ def _entity(s: Column) -> Column:
     return F.concat_ws(":", s["kind"], plain)
 
 
-def line_terms(lines: DataFrame) -> DataFrame:
-    """Words of the lines with their positions: key, entity, term, start, end.
+def blanked(text: Column, spans: Column) -> Column:
+    """A text with blanks in place of the spans, so that all positions stay."""
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
+
+    def add(state: Column, s: Column) -> Column:
+        start = F.greatest(s["start"], state["at"])
+        before = F.substring(text, state["at"] + 1, start - state["at"])
+        both = F.concat(state["pieces"], F.array(before, F.repeat(F.lit(" "), s["end"] - start)))
+        return F.when(s["end"] > state["at"], F.struct(s["end"].alias("at"), both.alias("pieces"))).otherwise(state)
+
+    def close(state: Column) -> Column:
+        rest = F.substring(text, state["at"] + 1, F.length(text) - state["at"])
+        return F.array_join(F.concat(state["pieces"], F.array(rest)), "")
 
-    Words that belong to an entity's own text (they hold a digit) are left out,
-    as are those of fewer than three characters.
+    return F.aggregate(ordered, begin, add, close)
+
+
+def words(text: Column, min_chars: int = 1) -> Column:
+    """The different words of a text, each lower-cased by itself."""
+    found = F.filter(F.split(text, TERM_GAP, -1), lambda w: F.length(w) >= min_chars)
+    return F.array_distinct(F.transform(found, F.lower))
+
+
+def with_blanks(found: DataFrame, *keep: str) -> DataFrame:
+    """Texts with an entity, blanked, and the words that only blanking lays bare.
+
+    Such a word is what lies outside a span of a longer one, as in ``éa@b.co``.
+    Texts without an entity become null.
     """
+    spans = F.concat(*[F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+    given = found.select("*", spans.alias("all_spans"))
+    both = given.select(*keep, *KINDS, "text", F.when(F.size("all_spans") > 0, blanked(F.col("text"), F.col("all_spans"))).alias("blanked"))
+    bare = F.when(F.col("blanked").isNotNull(), F.array_except(words(F.col("blanked")), words(F.col("text"))))
+    return both.select(*keep, *KINDS, F.col("blanked").alias("text"), bare.alias("bare"))
 
-    def add(state: Column, x: Column) -> Column:
-        gap, word = x.getField("0"), x.getField("1")
-        begin = state["at"] + F.length(gap)
-        row = F.struct(begin.alias("start"), (begin + F.length(word)).alias("end"), word.alias("word"))
-        wanted = word.rlike(r"^\p{L}{3,}$")
-        kept = F.when(wanted, F.concat(state["rows"], F.array(row))).otherwise(state["rows"])
-        return F.when(word.isNull(), state).otherwise(
-            F.struct((begin + F.length(word)).alias("at"), kept.alias("rows"))
-        )
 
-    pattern = r"[\p{L}\p{N}]+"
-    zipped = F.arrays_zip(F.split("line", pattern, -1), F.regexp_extract_all("line", F.lit(pattern), F.lit(0)))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,word:string>>").alias("rows"))
-    words = lines.select("key", "entity", "line_start", F.explode(F.aggregate(zipped, begin, add, lambda s: s["rows"])).alias("w"))
-    return words.select(
-        "key",
-        "entity",
-        F.lower("w.word").alias("term"),
-        (F.col("line_start") + F.col("w.start")).alias("start"),
-        (F.col("line_start") + F.col("w.end")).alias("end"),
+def entity_lines(found: DataFrame, min_support: int, window: int) -> DataFrame:
+    """A row per line near an entity: key, line_start, line (blanked), entities with counts.
+
+    Entities of fewer than ``min_support`` texts cannot have pairs of as many, and
+    are left out before any text is cut into lines.
+    """
+    spans = F.concat(*[labelled(k, F.transform(F.col(k), _with_value)) for k in KINDS])
+    texts = found.where(F.col("text").isNotNull())
+    each = texts.select("key", F.explode(spans).alias("s")).select("key", F.col("s.start").alias("start"), _entity(F.col("s")).alias("entity"))
+    counts = (
+        each.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+        .where(F.col("n_entity") >= min_support)
+    )
+    marks = each.join(counts, "entity").groupBy("key").agg(F.collect_set(F.struct("start", "entity", "n_entity")).alias("marks"))
+
+    def add(state: Column, line: Column) -> Column:
+        row = F.struct(state["at"].alias("line_start"), line.alias("line"))
+        return F.struct((state["at"] + F.length(line) + 1).alias("at"), F.concat(state["rows"], F.array(row)).alias("rows"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line_start:int,line:string>>").alias("rows"))
+    cut = texts.select("key", "text").dropDuplicates(["key"]).join(marks, "key").select(
+        "key", "marks", F.aggregate(F.split("text", "\n", -1), begin, add, lambda s: s["rows"]).alias("rows")
     )
 
+    def around(row: Column, i: Column) -> Column:
+        first = F.get("rows", F.greatest(i - window, F.lit(0)))
+        last = F.get("rows", F.least(i + window, F.size("rows") - 1))
+        end = last["line_start"] + F.length(last["line"])
+        return F.struct(row["line_start"].alias("line_start"), row["line"].alias("line"), first["line_start"].alias("first"), end.alias("last"))
+
+    lines = cut.select("key", "marks", F.explode(F.transform("rows", around)).alias("row")).select("key", "marks", "row.*")
+    near = F.filter("marks", lambda m: (m["start"] >= F.col("first")) & (m["start"] <= F.col("last")))
+    entities = F.array_distinct(F.transform(near, lambda m: F.struct(m["entity"].alias("entity"), m["n_entity"].alias("n_entity"))))
+    return lines.select("key", "line_start", "line", entities.alias("entities")).where(F.size("entities") > 0)
+
 
-def term_counts(docs: DataFrame) -> DataFrame:
+def line_terms(lines: DataFrame, min_chars: int) -> DataFrame:
+    """Words near entities: key, line_start, entity, n_entity, term; once per line."""
+    each = lines.select("key", "line_start", words(F.col("line"), min_chars).alias("terms"), F.explode("entities").alias("e"))
+    return each.select("key", "line_start", "e.entity", "e.n_entity", F.explode("terms").alias("term"))
+
+
+def term_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Number of documents that hold each term, by the term's hash."""
-    words = F.array_distinct(F.split(F.lower("text"), TERM_GAP, -1))
-    return docs.select(F.explode(words).alias("t")).groupBy(F.xxhash64("t").alias("term_hash")).agg(F.count("*").alias("n_term"))
+    inside = docs.select(F.explode(words(F.col("text"))).alias("t"))
+    bare = found.select(F.explode("bare").alias("t"))
+    return inside.unionAll(bare).groupBy(F.xxhash64("t").alias("term_hash")).agg(F.count("*").alias("n_term"))
 
 
-def disclosures(docs: DataFrame, lines: DataFrame, threshold: float, min_support: int = 3) -> DataFrame:
+def disclosures(
+    docs: DataFrame, found: DataFrame, lines: DataFrame, threshold: float, min_support: int = 3, min_chars: int = 3
+) -> DataFrame:
     """Pairs (entity, term) that disclose at least ``threshold``, with their value.
 
     Counts cover all documents. A pair is first reduced to one row per text, so
     an entity in a third of all documents is added up before the shuffle.
     """
     n_docs = docs.select(F.count("*").alias("n_docs"))
-    entity = lines.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
     pairs = (
-        line_terms(lines)
-        .select("entity", "term", "key")
+        line_terms(lines, min_chars)
+        .select("entity", "n_entity", "term", "key")
         .distinct()
-        .groupBy("entity", "term")
+        .groupBy("entity", "n_entity", "term")
         .agg(F.count("*").alias("n_pair"))
         .where(F.col("n_pair") >= min_support)
         .withColumn("term_hash", F.xxhash64("term"))
     )
-    measured = pairs.join(entity, "entity").join(term_counts(docs), "term_hash")
+    measured = pairs.join(term_counts(docs, found), "term_hash")
     n = n_docs.scalar().cast("double")
     pmi = F.log(n * F.col("n_pair") / (F.col("n_term").cast("double") * F.col("n_entity")))
     information = F.log(n / F.col("n_entity"))
@@ -181,31 +214,46 @@ def disclosures(docs: DataFrame, lines: DataFrame, threshold: float, min_support
     return measured.select("entity", "term", value.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
-def term_spans(lines: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Spans of disclosing terms in the lines of their entities, one row per key."""
-    hits = line_terms(lines).join(pairs, ["entity", "term"])
-    one = hits.groupBy("key", "start", "end").agg(F.max("disclosure").alias("disclosure"), F.max("term").alias("term"))
-    return one.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", "end", "disclosure", "term"))).alias("terms"))
+def term_spans(lines: DataFrame, pairs: DataFrame, min_chars: int) -> DataFrame:
+    """Spans of disclosing terms in the lines near their entities, one row per key."""
+    hits = line_terms(lines, min_chars).join(pairs, ["entity", "term"])
+    one = hits.groupBy("key", "line_start", "term").agg(F.max("disclosure").alias("disclosure"))
+    per_line = one.groupBy("key", "line_start").agg(F.collect_list(F.struct("term", "disclosure")).alias("hits"))
+
+    def add(state: Column, x: Column) -> Column:
+        gap, word = x.getField("0"), x.getField("1")
+        begin = state["at"] + F.length(gap)
+        end = begin + F.length(word)
+        hit = F.filter("hits", lambda h: h["term"] == F.lower(word))
+        rows = F.transform(
+            hit, lambda h: F.struct(begin.alias("start"), end.alias("end"), h["disclosure"].alias("disclosure"), h["term"].alias("term"))
+        )
+        kept = F.when((F.length(word) >= min_chars) & (F.size(hit) > 0), F.concat(state["rows"], rows)).otherwise(state["rows"])
+        return F.when(word.isNull(), state).otherwise(F.struct(end.alias("at"), kept.alias("rows")))
+
+    zipped = F.arrays_zip(F.split("line", TERM, -1), F.regexp_extract_all("line", F.lit(TERM), F.lit(0)))
+    start = F.struct(F.col("line_start").alias("at"), F.array().cast(f"array<{TERM_SPAN}>").alias("rows"))
+    placed = lines.join(per_line, ["key", "line_start"]).select("key", F.aggregate(zipped, start, add, lambda s: s["rows"]).alias("rows"))
+    return placed.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("terms"))
 
 
 class Sanitiser:
     """Spans and sanitised texts of one corpus."""
 
-    def __init__(self, docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, min_support: int = 3):
+    def __init__(
+        self, docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, min_support: int = 3,
+        window: int = 5, min_chars: int = 3,
+    ):
         self.docs, self.remove_at = docs, remove_at
-        found = with_base(docs, "doc_id")
-        self.base = stored(
-            found.select("key", "doc_id", *KINDS, F.when(F.greatest(*[F.size(k) for k in KINDS]) > 0, F.col("text")).alias("text")),
-            "pii-found",
-        )
-        self.lines = stored(entity_lines(self.base).distinct(), "pii-lines")
-        pairs = disclosures(docs, self.lines, generalise_at, min_support)
-        self.terms = term_spans(self.lines, pairs)
+        self.base = stored(with_blanks(with_base(docs, "doc_id"), "key", "doc_id"), "pii-found")
+        self.lines = stored(entity_lines(self.base, min_support, window), "pii-lines")
+        pairs = disclosures(docs, self.base, self.lines, generalise_at, min_support, min_chars)
+        self.terms = term_spans(self.lines, pairs, min_chars)
 
     def spans(self) -> DataFrame:
         """A row per document: key, doc_id, an array per kind, and ``terms``."""
-        terms = F.coalesce("terms", F.array().cast("array<struct<start:int,end:int,disclosure:double,term:string>>"))
-        return self.base.drop("text").join(self.terms, "key", "left").withColumn("terms", terms)
+        terms = F.coalesce("terms", F.array().cast(f"array<{TERM_SPAN}>"))
+        return self.base.drop("text", "bare").join(self.terms, "key", "left").withColumn("terms", terms)
 
     def texts(self) -> DataFrame:
         """The documents with sanitised texts; all columns in their order.

@@ -14,7 +14,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from batchloom.llm import pii
 
-    return pii.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"), **pii.WHOLE)
 
 
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

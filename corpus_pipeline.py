@@ -34,7 +34,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and terms that reveal it, replaced."""
-    return pii.sanitised(docs)
+    return pii.sanitised(docs, **pii.WHOLE)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,18 @@ def test_term_that_reveals_an_entity(spark):
     assert text[10] == "nothing to call here today number 0"
 
 
+def test_terms_of_every_form_around_an_entity(spark):
+    block = ["김철 staff 4711x", "हिन्दी", "", "Xy Street 9", "+49 30 5550120 éa@b.co", "1", "2", "3", "4", "Qz", "Far"]
+    rows = [(i, "\n".join([*block, "x" * (i + 1)]), "s") for i in range(3)]
+    rows += [(10 + i, f"staff street 1 2 3 4 9 number {i}", "s") for i in range(60)]
+    docs = spark.createDataFrame(rows, DOC)
+    text = {r.doc_id: r.text for r in pii.sanitised(docs, **pii.WHOLE).collect()}
+    assert text[0].split("\n") == [" staff ", "", "", " Street 9", "[PHONE] [EMAIL]", "1", "2", "3", "4", "", "Far", "x"]
+    assert text[10] == "staff street 1 2 3 4 9 number 0"
+    near = {r.doc_id: r.text for r in pii.sanitised(docs, window=0).collect()}
+    assert near[0].split("\n")[0] == block[0]
+
+
 def test_sanitised_keeps_columns_and_rows(spark, odd):
     docs = odd.withColumn("terms", F.lit(1)).withColumn("key", F.lit("k")).withColumn("n_chars", F.lit(5).cast("long"))
     out = pii.sanitised(docs)
