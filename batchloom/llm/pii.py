@@ -13,10 +13,12 @@ with counts of documents over the whole corpus: ``n(t, e)`` those with the term
 near the entity, ``n(t)`` those with the term anywhere. The value is 1
 when the term occurs only with the entity, and 0 when they are independent.
 Terms at ``generalise_at`` or more become a class name, at ``remove_at`` or more
-they go. Pairs need ``min_support`` distinct texts, so copies of one text are no
-evidence, and an entity that all documents hold carries no information. Words of
-fewer than ``min_chars`` characters are no terms; ``WHOLE``, with which the query
-and the pipeline call, takes words of any length.
+they go. Pairs need ``min_support`` documents, and an entity that all documents
+hold carries no information. With ``copies_count=False`` every count is one of
+distinct texts, so exact copies under other ids are no evidence; near copies still
+are. Otherwise each different id counts. Words of fewer than ``min_chars``
+characters are no terms. ``WHOLE``, with which the query and the pipeline call,
+counts distinct texts and takes words of any length.
 
 Defined cases: null and empty texts have no spans and stay as they are. Equal
 rows give equal results; ids may repeat or be null. Other columns pass through.
@@ -44,8 +46,8 @@ TERM_GAP = r"[^\p{L}\p{M}\p{N}]+"
 
 TERM_SPAN = "struct<start:int,end:int,disclosure:double,term:string>"
 
-#: Options by which no word is left out.
-WHOLE = {"min_chars": 1}
+#: Options by which no word is left out and no copy is evidence.
+WHOLE = {"min_chars": 1, "copies_count": False}
 
 
 def _digits(value: Column) -> Column:
@@ -87,6 +89,11 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {"email": email, "ip": ip, "card": card, "phone": phone}
 
 
+def unit(copies_count: bool) -> Column:
+    """What is counted: each different (doc_id, text), or each different text."""
+    return row_key("doc_id", "text") if copies_count else row_key("text")
+
+
 def with_base(docs: DataFrame, *keep: str) -> DataFrame:
     """Key, kept columns, and one array of spans per kind, for every document."""
     source = docs.select(row_key("doc_id", "text").alias("key"), *keep, "text")
@@ -140,16 +147,16 @@ def with_blanks(found: DataFrame, *keep: str) -> DataFrame:
 
 
 def entity_lines(found: DataFrame, min_support: int, window: int) -> DataFrame:
-    """A row per line near an entity: key, line_start, line (blanked), entities with counts.
+    """A row per line near an entity: key, unit, line_start, line (blanked), entities with counts.
 
     Entities of fewer than ``min_support`` texts cannot have pairs of as many, and
     are left out before any text is cut into lines.
     """
     spans = F.concat(*[labelled(k, F.transform(F.col(k), _with_value)) for k in KINDS])
     texts = found.where(F.col("text").isNotNull())
-    each = texts.select("key", F.explode(spans).alias("s")).select("key", F.col("s.start").alias("start"), _entity(F.col("s")).alias("entity"))
+    each = texts.select("key", "unit", F.explode(spans).alias("s")).select("key", "unit", F.col("s.start").alias("start"), _entity(F.col("s")).alias("entity"))
     counts = (
-        each.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+        each.select("entity", "unit").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
         .where(F.col("n_entity") >= min_support)
     )
     marks = each.join(counts, "entity").groupBy("key").agg(F.collect_set(F.struct("start", "entity", "n_entity")).alias("marks"))
@@ -159,8 +166,8 @@ def entity_lines(found: DataFrame, min_support: int, window: int) -> DataFrame:
         return F.struct((state["at"] + F.length(line) + 1).alias("at"), F.concat(state["rows"], F.array(row)).alias("rows"))
 
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line_start:int,line:string>>").alias("rows"))
-    cut = texts.select("key", "text").dropDuplicates(["key"]).join(marks, "key").select(
-        "key", "marks", F.aggregate(F.split("text", "\n", -1), begin, add, lambda s: s["rows"]).alias("rows")
+    cut = texts.select("key", "unit", "text").dropDuplicates(["key"]).join(marks, "key").select(
+        "key", "unit", "marks", F.aggregate(F.split("text", "\n", -1), begin, add, lambda s: s["rows"]).alias("rows")
     )
 
     def around(row: Column, i: Column) -> Column:
@@ -169,44 +176,44 @@ def entity_lines(found: DataFrame, min_support: int, window: int) -> DataFrame:
         end = last["line_start"] + F.length(last["line"])
         return F.struct(row["line_start"].alias("line_start"), row["line"].alias("line"), first["line_start"].alias("first"), end.alias("last"))
 
-    lines = cut.select("key", "marks", F.explode(F.transform("rows", around)).alias("row")).select("key", "marks", "row.*")
+    lines = cut.select("key", "unit", "marks", F.explode(F.transform("rows", around)).alias("row")).select("key", "unit", "marks", "row.*")
     near = F.filter("marks", lambda m: (m["start"] >= F.col("first")) & (m["start"] <= F.col("last")))
     entities = F.array_distinct(F.transform(near, lambda m: F.struct(m["entity"].alias("entity"), m["n_entity"].alias("n_entity"))))
-    return lines.select("key", "line_start", "line", entities.alias("entities")).where(F.size("entities") > 0)
+    return lines.select("key", "unit", "line_start", "line", entities.alias("entities")).where(F.size("entities") > 0)
 
 
 def line_terms(lines: DataFrame, min_chars: int) -> DataFrame:
-    """Words near entities: key, line_start, entity, n_entity, term; once per line."""
-    each = lines.select("key", "line_start", words(F.col("line"), min_chars).alias("terms"), F.explode("entities").alias("e"))
-    return each.select("key", "line_start", "e.entity", "e.n_entity", F.explode("terms").alias("term"))
+    """Words near entities: key, unit, line_start, entity, n_entity, term; once per line."""
+    each = lines.select("key", "unit", "line_start", words(F.col("line"), min_chars).alias("terms"), F.explode("entities").alias("e"))
+    return each.select("key", "unit", "line_start", "e.entity", "e.n_entity", F.explode("terms").alias("term"))
 
 
-def term_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Number of documents that hold each term, by the term's hash."""
-    inside = docs.select(F.explode(words(F.col("text"))).alias("t"))
-    bare = found.select(F.explode("bare").alias("t"))
+def term_counts(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Number of counted texts that hold each term, by the term's hash."""
+    inside = texts.select(F.explode(words(F.col("text"))).alias("t"))
+    bare = found.where(F.size("bare") > 0).dropDuplicates(["unit"]).select(F.explode("bare").alias("t"))
     return inside.unionAll(bare).groupBy(F.xxhash64("t").alias("term_hash")).agg(F.count("*").alias("n_term"))
 
 
 def disclosures(
-    docs: DataFrame, found: DataFrame, lines: DataFrame, threshold: float, min_support: int = 3, min_chars: int = 3
+    texts: DataFrame, found: DataFrame, lines: DataFrame, threshold: float, min_support: int = 3, min_chars: int = 3
 ) -> DataFrame:
     """Pairs (entity, term) that disclose at least ``threshold``, with their value.
 
-    Counts cover all documents. A pair is first reduced to one row per text, so
-    an entity in a third of all documents is added up before the shuffle.
+    Counts cover the whole corpus. A pair is first reduced to one row per counted
+    text, so an entity in a third of all is added up before the shuffle.
     """
-    n_docs = docs.select(F.count("*").alias("n_docs"))
+    n_docs = found.select("unit").distinct().select(F.count("*").alias("n_docs"))
     pairs = (
         line_terms(lines, min_chars)
-        .select("entity", "n_entity", "term", "key")
+        .select("entity", "n_entity", "term", "unit")
         .distinct()
         .groupBy("entity", "n_entity", "term")
         .agg(F.count("*").alias("n_pair"))
         .where(F.col("n_pair") >= min_support)
         .withColumn("term_hash", F.xxhash64("term"))
     )
-    measured = pairs.join(term_counts(docs, found), "term_hash")
+    measured = pairs.join(term_counts(texts, found), "term_hash")
     n = n_docs.scalar().cast("double")
     pmi = F.log(n * F.col("n_pair") / (F.col("n_term").cast("double") * F.col("n_entity")))
     information = F.log(n / F.col("n_entity"))
@@ -242,18 +249,20 @@ class Sanitiser:
 
     def __init__(
         self, docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, min_support: int = 3,
-        window: int = 5, min_chars: int = 3,
+        window: int = 5, min_chars: int = 3, copies_count: bool = True,
     ):
         self.docs, self.remove_at = docs, remove_at
-        self.base = stored(with_blanks(with_base(docs, "doc_id"), "key", "doc_id"), "pii-found")
+        rows = docs.select("doc_id", "text", unit(copies_count).alias("unit"))
+        self.base = stored(with_blanks(with_base(rows, "doc_id", "unit"), "key", "doc_id", "unit"), "pii-found")
         self.lines = stored(entity_lines(self.base, min_support, window), "pii-lines")
-        pairs = disclosures(docs, self.base, self.lines, generalise_at, min_support, min_chars)
+        texts = rows.groupBy("unit").agg(F.first("text").alias("text"))
+        pairs = disclosures(texts, self.base, self.lines, generalise_at, min_support, min_chars)
         self.terms = term_spans(self.lines, pairs, min_chars)
 
     def spans(self) -> DataFrame:
         """A row per document: key, doc_id, an array per kind, and ``terms``."""
         terms = F.coalesce("terms", F.array().cast(f"array<{TERM_SPAN}>"))
-        return self.base.drop("text", "bare").join(self.terms, "key", "left").withColumn("terms", terms)
+        return self.base.drop("unit", "text", "bare").join(self.terms, "key", "left").withColumn("terms", terms)
 
     def texts(self) -> DataFrame:
         """The documents with sanitised texts; all columns in their order.

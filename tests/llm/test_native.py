@@ -65,6 +65,18 @@ def test_term_that_reveals_an_entity(spark):
     assert text[10] == "nothing to call here today number 0"
 
 
+def test_exact_copies_are_no_evidence(spark):
+    copy = "Zylberstein of Xanthograph at +49 30 5550120"
+    rows = [(i, copy, "s") for i in range(30)] + [(100 + i, f"nothing of it at number {i}", "s") for i in range(60)]
+    docs = spark.createDataFrame(rows, DOC)
+    text = {r.doc_id: r.text for r in pii.sanitised(docs, **pii.WHOLE).collect()}
+    assert text[7] == "Zylberstein of Xanthograph at [PHONE]"
+    rows += [(200 + i, f"Zylberstein number {i} of it at +49 30 5550120", "s") for i in range(2)]
+    text = {r.doc_id: r.text for r in pii.sanitised(spark.createDataFrame(rows, DOC), **pii.WHOLE).collect()}
+    # Three different texts support the name; the word of the copied one still has one.
+    assert text[7] == " of Xanthograph at [PHONE]" and text[201] == " number 1 of it at [PHONE]"
+
+
 def test_terms_of_every_form_around_an_entity(spark):
     block = ["김철 staff 4711x", "हिन्दी", "", "Xy Street 9", "+49 30 5550120 éa@b.co", "1", "2", "3", "4", "Qz", "Far"]
     rows = [(i, "\n".join([*block, "x" * (i + 1)]), "s") for i in range(3)]
