@@ -15,7 +15,9 @@ Prediction runs over whole texts in tasks; the model that is broadcast has
 ``BUCKETS`` x languages numbers, whatever the corpus.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0, and
-rejected. Without any labelled document, all texts are. Equal texts have equal
+rejected. Without any labelled document, all texts are. Of more than ``max_langs``
+languages those with most documents are learned, a bound on the model's memory;
+texts in the others are judged like those of any unknown language. Equal texts have equal
 results; ids may repeat or be null (a null id is never learned from). Other
 columns pass through ``recognised``. An empty table gives an empty table.
 """
@@ -182,6 +184,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def learned(docs: DataFrame, max_langs: int) -> DataFrame:
+    """The languages with most documents to learn from, ties by name; all, if no more than ``max_langs``."""
+    rows = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
+    return rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+
+
 def sample(docs: DataFrame, per_lang: int) -> DataFrame:
     """Labelled documents outside the held-out fold, at most ``per_lang`` per language.
 
@@ -204,10 +212,7 @@ def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
 
 def fitted(docs: DataFrame, per_lang: int = 500, max_langs: int = 400, epochs: int = 6, rate: float = 0.5, reject_share: float = 0.002, max_limit: float = 0.4, seed: int = 7) -> Model | None:
     """A model learned from a bounded sample; None if nothing is labelled."""
-    n_langs = docs.select("lang").distinct().limit(max_langs + 1).count()
-    if n_langs > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    found = map_batches(sample(docs, per_lang), _features, "place bigint, lang string, buckets array<int>, counts array<int>")
+    found = map_batches(sample(docs.join(F.broadcast(learned(docs, max_langs)), "lang", "left_semi"), per_lang), _features, "place bigint, lang string, buckets array<int>, counts array<int>")
     table = found.toArrow()
     places, langs = table["place"].to_pylist(), table["lang"].to_pylist()
     arrays = zip(_arrays(table["buckets"]), _arrays(table["counts"]))

@@ -105,6 +105,15 @@ def test_language_without_labels(spark):
     assert language_id.digest(docs.limit(0)).count() == 0
 
 
+def test_noisy_language_tags_do_not_stop_the_query(spark):
+    docs = lang_docs(spark)
+    noisy = docs.unionByName(spark.createDataFrame([(1000 + i, "ba", f"tag{i}") for i in range(9)], docs.schema))
+    model = language_id.fitted(noisy, max_langs=3)
+    assert sorted(model.langs) == ["aa", "bb", "cc"]
+    got = {r.doc_id: r.lang_pred for r in language_id.digest(noisy, max_langs=3).where("doc_id < 1000").collect()}
+    assert got == {r.doc_id: r.lang for r in docs.collect()}
+
+
 def test_long_text_scores_as_its_parts(spark):
     model = language_id.fitted(lang_docs(spark))
     text = "schung keitver " * 100
