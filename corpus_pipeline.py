@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
 ``run`` writes what a stage returns as Parquet in the shared folder and gives the
-written table to the next one.
+written table to the next one. The last of ``STAGES`` is a plan: it keeps every
+document, those with ``taken`` = 0 included, and whoever reads the rows repeats,
+cuts or leaves out documents by ``taken``.
 """
 
 from __future__ import annotations
