@@ -224,7 +224,7 @@ def test_scratch_leaves_nothing_behind(spark, tmp_path):
     before = set(os.listdir(shared_folder(spark)))
     (tmp_path / "a.txt").write_text("h\nx y\n")
     with scratch(spark):
-        assert manifests.read_lines(spark, str(tmp_path / "a.txt")).count() == 3
+        assert manifests.read_lines(spark, str(tmp_path / "a.txt")).count() == 2
         assert len(set(os.listdir(shared_folder(spark))) - before) == 1
     assert set(os.listdir(shared_folder(spark))) == before
 
