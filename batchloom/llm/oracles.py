@@ -151,3 +151,28 @@ SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(k, 0)::BIGINT AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(live, 0)::BIGINT AS n_live,
   coalesce(example, 0)::BIGINT AS n_example
 FROM d LEFT JOIN per_doc USING (r)"""
+
+RESAMPLING = rf"""WITH crc_table AS (SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS of_byte),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM_WORDS} AS w FROM documents),
+f AS (SELECT r, unnest(w) AS word FROM d),
+b AS (SELECT unnest(w) AS word FROM (SELECT {_ALNUM_WORDS} AS w FROM benchmark)),
+words AS (SELECT word FROM f UNION SELECT word FROM b),
+bytes AS (SELECT word, list_transform(range(0, strlen(word)), lambda i: ('0x' || substr(hex(word), (2 * i + 1)::BIGINT, 2))::BIGINT) AS l
+  FROM words),
+crc AS (SELECT word, xor(list_reduce(list_concat([4294967295::BIGINT], l),
+    lambda c, x: xor(c // 256, of_byte[xor(c, x) % 256 + 1])), 4294967295) % 10000 AS bucket FROM bytes, crc_table),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN crc USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM b JOIN crc USING (word) GROUP BY bucket),
+gains AS (SELECT bucket, floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM s), 0) + 10000)
+    / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000))))::BIGINT AS gain
+  FROM s FULL JOIN t USING (bucket)),
+weights AS (SELECT r, sum(gain) AS weight FROM f JOIN crc USING (word) JOIN gains USING (bucket) GROUP BY r),
+scored AS (SELECT r, doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+      / 4294967296)))::BIGINT AS noise FROM d LEFT JOIN weights USING (r)),
+placed AS (SELECT *, weight + noise AS score, row_number() OVER (PARTITION BY n_features >= 20
+    ORDER BY weight + noise DESC, doc_id NULLS FIRST, r) AS place FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20
+  AND place <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100 THEN place END AS rank
+FROM placed"""

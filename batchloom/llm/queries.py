@@ -76,6 +76,23 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.unionByName(probe))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm import resampling
+
+    docs, target = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return resampling.resampled(docs.select("doc_id", "text"), target.select("text"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from batchloom.llm import byte_bpe
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    codec = byte_bpe.ByteBpe(spark, ranks, public_tokenizers.PATTERN)
+    return codec.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -86,7 +103,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         op1_ngram_join, op2_mixing, op3_warc, op4_url_filter, op5_decontamination, op6_line_rules, op7_language_id,
-        op8_chat, op9_pii, op10_secrets, pipeline,
+        op8_chat, op9_pii, op10_secrets, op12_resampling, op13_byte_bpe, pipeline,
     ]
 }
 ORACLES: dict[str, str] = {
@@ -96,4 +113,5 @@ ORACLES: dict[str, str] = {
     "op6_line_rules": oracles.LINE_RULES,
     "op8_chat": oracles.CHAT,
     "op10_secrets": oracles.SECRETS,
+    "op12_resampling": oracles.RESAMPLING,
 }
