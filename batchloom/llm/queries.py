@@ -76,6 +76,18 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(rows.unionByName(probe))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from batchloom.llm import alignment
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        model = file.read()
+    ranks = alignment.read_merges(public_tokenizers.path("byte_bpe_50k.json"))
+    aligner = alignment.Aligner(spark, ranks, public_tokenizers.PATTERN, model)
+    return aligner.digest(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from batchloom.llm import resampling
 
@@ -103,7 +115,8 @@ QUERIES = {
     f.__name__: f
     for f in [
         op1_ngram_join, op2_mixing, op3_warc, op4_url_filter, op5_decontamination, op6_line_rules, op7_language_id,
-        op8_chat, op9_pii, op10_secrets, op12_resampling, op13_byte_bpe, pipeline,
+        op8_chat, op9_pii, op10_secrets, op11_alignment, op12_resampling, op13_byte_bpe,
+        pipeline,
     ]
 }
 ORACLES: dict[str, str] = {
