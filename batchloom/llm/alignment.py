@@ -40,7 +40,7 @@ from batchloom.llm.byte_bpe import Codec, Vocabulary
 from batchloom.llm.common import map_batches, stored
 
 SPACE = "▁"
-PIECE = 2 << 20  # bytes of text that are aligned at once
+PIECE = 1 << 19  # bytes of text that are aligned at once
 LONG = 1 << 18  # characters that are encoded at once
 # Between two characters that are neither blank nor the sign for a blank: no token goes across.
 _GAP = regex.compile(rf"(?<=[^\s{SPACE}]) (?=[^\s{SPACE}])")
