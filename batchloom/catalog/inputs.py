@@ -11,7 +11,7 @@ from batchloom.catalog.fixtures import c, text
 from batchloom.catalog.registry import query
 from batchloom.functions.text import get_or
 from batchloom.operators import checks
-from batchloom.operators.joins import existing, missing, nearest_config, unpaired, zip_by_position
+from batchloom.operators.joins import existing, missing, nearest_ancestor_config, nearest_config, unpaired, zip_by_position
 from batchloom.operators.ordering import chunks, row_index, row_index_by
 from batchloom.plans import prepare
 from batchloom.plans.task_array import combine_inputs, in_one_order, numbered_inputs_text
@@ -252,6 +252,45 @@ def parent_config_fallback(spark, sf):
     return nearest_config(wanted, configs)
 
 
+# Configs lie at the top of some buckets, one, two or four folders down; objects lie five down.
+@query(
+    "nearest_config_depths",
+    fx.with_(
+        [
+            """configs AS (SELECT 'b' || (s_suppkey % 4) AS bucket, s_name AS config, CASE s_suppkey % 5 WHEN 0 THEN 'd' || s_suppkey || '/c.json'
+    WHEN 1 THEN 'd' || s_suppkey || '/e/c.json' WHEN 2 THEN 'd' || s_suppkey || '/e/f/g/c.json'
+    WHEN 3 THEN 'd' || s_suppkey || '/e/f/g/h/c.json' ELSE 'x' || s_suppkey || '/c.json' END AS path FROM supplier
+  UNION ALL SELECT 'b1', 'top', 'c.json' UNION ALL SELECT 'b2', 'other', 'd.json')""",
+            """wanted AS (SELECT c_custkey, CASE WHEN c_custkey % 17 = 3 THEN NULL ELSE 'b' || (c_custkey % 100 % 4) END AS bucket,
+  'd' || (c_custkey % 100) || '/e/f/g/h/c.json' AS path FROM customer)""",
+            """tried AS (SELECT c_custkey, w.bucket, w.path, a.path AS found_path, a.config, row_number() OVER (PARTITION BY c_custkey ORDER BY length(a.path) DESC) AS k
+  FROM wanted w JOIN configs a ON a.bucket = w.bucket AND ends_with(a.path, 'c.json')
+    AND starts_with(w.path, substr(a.path, 1, length(a.path) - 6)))""",
+        ],
+        """SELECT w.c_custkey, w.bucket, w.path, found_path, config
+FROM wanted w LEFT JOIN (SELECT * FROM tried WHERE k = 1) t ON t.c_custkey = w.c_custkey""",
+    ),
+)
+def nearest_config_depths(spark, sf):
+    key = c("s_suppkey")
+    place = (
+        F.when(key % 5 == 0, text("d", key, "/c.json"))
+        .when(key % 5 == 1, text("d", key, "/e/c.json"))
+        .when(key % 5 == 2, text("d", key, "/e/f/g/c.json"))
+        .when(key % 5 == 3, text("d", key, "/e/f/g/h/c.json"))
+        .otherwise(text("x", key, "/c.json"))
+    )
+    configs = fx.table(spark, sf, "supplier").select(text("b", key % 4).alias("bucket"), place.alias("path"), c("s_name").alias("config"))
+    top = spark.createDataFrame([("b1", "c.json", "top"), ("b2", "d.json", "other")], configs.schema)
+    cust = c("c_custkey")
+    wanted = fx.table(spark, sf, "customer").select(
+        "c_custkey",
+        F.when(cust % 17 != 3, text("b", cust % 100 % 4)).alias("bucket"),
+        text("d", cust % 100, "/e/f/g/h/c.json").alias("path"),
+    )
+    return nearest_ancestor_config(wanted, configs.unionByName(top))
+
+
 # --- unions, positions and chunks ---------------------------------------------
 
 @query(

@@ -11,6 +11,7 @@ from batchloom.catalog.registry import query
 from batchloom.operators.ordering import first_entry, successors
 from batchloom.plans import schedule, submit
 from batchloom.session import run_folder
+from batchloom.sources import warehouse
 from batchloom.sources.configs import trigger_fields
 from batchloom.sources.events import job_events
 from batchloom.sinks.files import write_job_list
@@ -150,6 +151,21 @@ def job_lookup(spark, sf):
     return schedule.with_labels(events, fx.jobs_directory(spark, sf))
 
 
+@query("job_by_name", fx.with_([fx.JOBS_DIRECTORY], "SELECT job_name, job_uid, job_label, team FROM fx_jobs WHERE job_name = 'job-17'"))
+def job_by_name(spark, sf):
+    return _directory_row(warehouse.job_by_name(fx.jobs_directory(spark, sf), "job-17"))
+
+
+@query("job_by_uid", fx.with_([fx.JOBS_DIRECTORY], "SELECT job_name, job_uid, job_label, team FROM fx_jobs WHERE job_uid = 'uid-23'"))
+def job_by_uid(spark, sf):
+    return _directory_row(warehouse.job_by_uid(fx.jobs_directory(spark, sf), "uid-23"))
+
+
+def _directory_row(jobs):
+    labels = c("labels")
+    return jobs.select("job_name", "job_uid", labels[K.JOB_LABEL_KEY].alias("job_label"), labels["team"].alias("team"))
+
+
 _TRIGGER = r"""'gs://cfg/' || regexp_extract(next_config_uri, '^gs://cfg/(.*)/[^/]*$', 1) || '/START_PIPELINE' AS target_uri,
   to_json({'@LABEL@': next_label, 'config': regexp_extract(next_config_uri, '([^/]*)$', 1)})::VARCHAR AS body""".replace(
     "@LABEL@", K.JOB_LABEL_KEY

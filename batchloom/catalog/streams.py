@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from batchloom import constants as K
 from batchloom import schemas
 from batchloom.catalog import fixtures as fx
 from batchloom.catalog.events import _JOB_LINK, _LOG, _OK
-from batchloom.catalog.fixtures import c
+from batchloom.catalog.fixtures import c, text
+from batchloom.catalog.launching import LAUNCHER
 from batchloom.catalog.registry import query
-from batchloom.catalog.scheduling import _OBJECTS, _ROUTED, _STEPS, _TRIGGER, _stored
+from batchloom.catalog.scheduling import _OBJECTS, _ROUTED, _STEPS, _TRIGGER, _routed, _stored
 from batchloom.functions.status import payload_time
+from batchloom.plans import schedule
 from batchloom.session import run_folder
 from batchloom.sinks import tables
 from batchloom.sinks.tables import read_table
@@ -307,3 +310,134 @@ def stream_routes(spark, sf):
         once=True,
     ).awaitTermination()
     return read_table(spark, out)
+
+
+# --- triggers carried out ---------------------------------------------------------------
+
+# What the routes lead to, by the length of their target: batch configs, of which
+# every third is missing and every fifth broken, whose manifests hold some customers
+# each; and job lists of two entries.
+_CARRIED_OUT = f"""config_routes AS (SELECT DISTINCT 'gs://' || bucket || '/' || target AS config_uri, job_label, length(target) AS n
+  FROM routed WHERE route = 'config'),
+reasons AS (SELECT *, substr(sha256(config_uri || '|' || coalesce(job_label, '') || '|2024-03-05 06:07:08'), 1, 10) AS job_id,
+    CASE WHEN n % 3 = 0 THEN 'batch config not found' WHEN n % 5 = 0 THEN 'batch config not usable' END AS reason FROM config_routes),
+made AS (SELECT r.*, 'NA' || c_custkey AS sample, 's3://in/' || c_custkey || '.x' AS path,
+    row_number() OVER (PARTITION BY job_id ORDER BY c_custkey) - 1 AS i
+  FROM reasons r JOIN customer ON c_custkey % 40 = n WHERE reason IS NULL),
+list_routes AS (SELECT DISTINCT 'gs://' || bucket || '/' || target AS uri, length(target) AS n FROM routed WHERE route = 'list')
+SELECT 'task' AS kind, job_id AS place, job_label AS label, i AS n,
+  '--api-host h --machine nx1 {K.APP_FLAG} app-1 --google-sa sa@p1 --   --cram-input ' || path
+    || '  --output-directory s3://o/' || sample || '/2024-03-05-06-07-08 ' AS body FROM made
+UNION ALL SELECT 'job', job_id, min(job_label), NULL, 'job-' || job_id FROM made GROUP BY job_id
+UNION ALL SELECT 'reject', config_uri, job_label, NULL, reason FROM reasons WHERE reason IS NOT NULL
+UNION ALL SELECT 'reject', config_uri, job_label, NULL, 'no input files' FROM reasons
+  WHERE reason IS NULL AND n NOT IN (SELECT c_custkey % 40 FROM customer)
+UNION ALL SELECT 'copy', 'gs://sched/jobs.csv', uri, NULL, 'a' || n || ', gs://cfg/a/x.json' || chr(10) || 'b' || n || ', gs://cfg/b/x.json'
+  FROM list_routes
+UNION ALL SELECT 'trigger', 'gs://cfg/a/{K.TRIGGER_FILE}', uri, NULL,
+  to_json({{'{K.JOB_LABEL_KEY}': 'a' || n, '{K.TRIGGER_CONFIG_KEY}': 'x.json'}})::VARCHAR FROM list_routes"""
+
+
+def _texts_of_routes(spark, sf):
+    """Batch configs, job lists and the run config that the routes lead to: (uri, text)."""
+    routed, n = _routed(spark, sf), F.length("target")
+    config = text(
+        '{"run_options": {}, "input_options": {"input_type": "cram", "input_list": "gs://in/', n,
+        '.txt", "config": "gs://cfg/run.json"}}',
+    )
+    configs = routed.filter((c("route") == "config") & (n % 3 != 0)).select(
+        schedule.routed_uri().alias("uri"), F.when(n % 5 == 0, "{broken").otherwise(config).alias("text")
+    )
+    lists = routed.filter(c("route") == "list").select(
+        schedule.routed_uri().alias("uri"), text("a", n, ", gs://cfg/a/x.json\nb", n, ", gs://cfg/b/x.json").alias("text")
+    )
+    options = (
+        f'{{"{K.OPTIONS_KEY}": {{"--output-directory": "s3://o/${{SAMPLE_ID}}/<date>"}}, '
+        f'"{K.LAUNCHER_KEY}": {{"api_host": "h"}}}}'
+    )
+    run = fx.table(spark, sf, "region").limit(1).select(F.lit("gs://cfg/run.json").alias("uri"), F.lit(options).alias("text"))
+    return configs.unionByName(lists).distinct().unionByName(run)
+
+
+@query("stream_routed_jobs", fx.with_([fx.LISTING, _OBJECTS, _ROUTED], "").rstrip() + ",\n" + _CARRIED_OUT)
+def stream_routed_jobs(spark, sf):
+    """Task rows, directory rows and rejects of config routes, triggers and copies of list routes."""
+    base, checkpoint = _folders(spark, "carried-out")
+    stored, key = _stored(spark, sf), c("c_custkey")
+    contents = stored.filter(c("content").isNotNull()).groupBy("bucket", "name").agg(F.max("content").alias("content"))
+    manifests = fx.table(spark, sf, "customer").select(
+        text("gs://in/", key % 40, ".txt").alias("uri"), key.alias("line_no"),
+        F.array(text("NA", key), text("gs://in/", key, ".x")).alias("tokens"),
+    )
+    stores = job_stream.TriggerStores(
+        lambda: contents, lambda: stored.select("bucket", c("list_name").alias("name")),
+        lambda: _texts_of_routes(spark, sf), lambda: manifests,
+    )
+    sinks = job_stream.TriggerSinks(*[f"{base}/{n}" for n in ("routes", "tasks", "lists", "triggers", "jobs", "rejects")])
+    job_stream.follow_triggers(
+        _stored(spark, sf, _stream(spark, sf, "pages")).select("bucket", "name"), stores, sinks, LAUNCHER,
+        "gs://sched/jobs.csv", checkpoint, F.lit("2024-03-05 06:07:08"), once=True,
+    ).awaitTermination()
+
+    def rows(kind, path, place, label, n, body):
+        columns = [F.lit(kind).alias("kind"), place.alias("place"), label.alias("label"), n.alias("n"), body.alias("body")]
+        return read_table(spark, path).select(*columns)
+
+    none = F.lit(None).cast("bigint")
+    label = c("labels")[K.JOB_LABEL_KEY]
+    return (
+        rows("task", sinks.tasks, c("job_id"), c("job_label"), c("batch_task_index"), c("command"))
+        .unionByName(rows("job", sinks.jobs, c("job_uid"), label, none, c("job_name")))
+        .unionByName(rows("reject", sinks.rejects, c("config_uri"), c("job_label"), none, c("reason")))
+        .unionByName(rows("copy", sinks.lists, c("uri"), c("source_uri"), none, c("text")))
+        .unionByName(rows("trigger", sinks.triggers, c("target_uri"), c("uri"), none, c("body")))
+    )
+
+
+# --- verdicts that wait ---------------------------------------------------------------------
+
+# Documents as log lines at hours of a month. The first event and the first document
+# lie far ahead, so that the watermarks pass all others.
+_TIMED = """timed_logs AS (
+  SELECT 'job-' || (u // 10) AS job_uid, 'job-' || (u // 10) || '-group0-' || (u % 10) AS task_id, text_payload,
+    TIMESTAMP '2024-01-01 00:00:00' + (doc_id % 720) * INTERVAL '1' HOUR AS logged
+  FROM (SELECT doc_id, doc_id % (SELECT max(user_id) + 1 FROM events) AS u, text AS text_payload FROM documents) WHERE doc_id <> 0),
+successes AS (SELECT DISTINCT job_id, task_id, ts::TIMESTAMP AS done FROM (
+  SELECT 'job-' || (user_id // 10) AS job_id, {task} AS task_id, {status} AS status, date_trunc('second', ts) AS ts, event_id FROM events)
+  WHERE status = 'SUCCEEDED' AND event_id <> 0)""".format(task=fx._TASK_ID, status=fx._STATUS)
+
+
+@query(
+    "stream_verify_waiting",
+    fx.with_(
+        [_TIMED],
+        """SELECT job_id, task_id, CASE WHEN EXISTS (SELECT 1 FROM timed_logs l WHERE l.job_uid = s.job_id AND l.task_id = s.task_id
+    AND (contains(text_payload, 'License') OR contains(text_payload, 'license'))
+    AND logged BETWEEN done - INTERVAL 5 DAY AND done + INTERVAL 12 HOUR) THEN 'VERIFIED_OK' ELSE 'VERIFIED_FAILED' END AS status,
+  done + INTERVAL 1 SECOND AS timestamp FROM successes s""",
+    ),
+)
+def stream_verify_waiting(spark, sf):
+    """A line up to twelve hours after a success still counts for its verdict."""
+    out, checkpoint = _folders(spark, "waiting")
+    first, far = c("event_id") == 0, F.lit("2100-01-01 00:00:00").cast("timestamp_ntz")
+    rows = _stream(spark, sf, "events").select(
+        text("job-", F.expr("user_id div 10")).alias("job_id"), fx.task_id("user_id").alias("task_id"),
+        F.when(first, K.SUCCEEDED).otherwise(fx.status_name()).alias("status"),
+        F.when(first, far).otherwise(fx.to_second()).alias("timestamp"),
+    )
+    users = fx.table(spark, sf, "events").agg((F.max("user_id") + 1).alias("n")).first().n
+    user = c("doc_id") % users
+    hours = F.make_dt_interval(F.lit(0), (c("doc_id") % 720).cast("int"), F.lit(0), F.lit(0))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    first_line = c("doc_id") == 0
+    logs = _stream(spark, sf, "documents").select(
+        F.when(first_line, "none").otherwise(text("job-", F.floor(user / 10))).alias("job_uid"),
+        text("job-", F.floor(user / 10), "-group0-", user % 10).alias("task_id"),
+        F.when(first_line, fx.SUCCESS[0]).otherwise(c("text")).alias("text_payload"),
+        F.when(first_line, far).otherwise(start + hours).alias("timestamp"),
+    )
+    status_stream.append_verdicts(
+        rows, logs, out, checkpoint, once=True, wait="12 hours", back="5 days", patterns=fx.SUCCESS
+    ).awaitTermination()
+    return tasks_status(spark, out).filter(c("timestamp") < far)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.functions.paths import parent_path
+from batchloom.functions.paths import ancestors, basename, parent_path
 from batchloom.functions.status import (
     is_success_line,
     task_index,
@@ -171,3 +171,35 @@ def nearest_config(wanted: DataFrame, configs: DataFrame) -> DataFrame:
     return step2.select(
         *[F.col(c) for c in wanted.columns], found.alias("found_path"), config.alias("config")
     )
+
+
+def _slashes(path: Column) -> Column:
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+
+
+def nearest_ancestor_config(wanted: DataFrame, configs: DataFrame) -> DataFrame:
+    """Configuration at (bucket, path), else the one of that name in the nearest folder above.
+
+    ``configs`` has one row per (bucket, path) with a ``config`` column. Every wanted
+    path stands for itself and the places above it, as far as configs lie at that depth
+    in the bucket; one equality join finds all of them, and the deepest wins. Rows
+    whose bucket or path is null find nothing.
+    """
+    here = configs.select(F.col("bucket").alias("__bucket"), F.col("path").alias("__place"), F.col("config").alias("__config"))
+    # A few numbers per bucket.
+    depths = here.groupBy("__bucket").agg(F.collect_set(_slashes(F.col("__place"))).alias("__depths"))
+    asked = wanted.select(F.col("bucket").alias("__of"), F.col("path").alias("__path")).filter(
+        F.col("__of").isNotNull() & F.col("__path").isNotNull()
+    ).distinct()
+    name = basename(F.col("__path"))
+    above = F.transform(ancestors(F.col("__path")), lambda d: F.when(d == "", name).otherwise(F.concat(d, F.lit("/"), name)))
+    places = F.filter(
+        F.array_distinct(F.concat(F.array("__path"), above)), lambda p: F.array_contains("__depths", _slashes(p))
+    )
+    tried = asked.join(depths, asked["__of"] == depths["__bucket"]).select("__of", "__path", F.explode(places).alias("__try"))
+    hits = tried.join(here, (tried["__of"] == here["__bucket"]) & (tried["__try"] == here["__place"]))
+    best = F.max(F.struct(F.length("__place").alias("n"), F.col("__place").alias("place"), F.col("__config").alias("config")))
+    found = hits.groupBy("__of", "__path").agg(best.alias("__best"))
+    return wanted.join(found, (wanted["bucket"] == found["__of"]) & (wanted["path"] == found["__path"]), "left").select(
+        *[wanted[c] for c in wanted.columns], F.col("__best.place").alias("found_path"), F.col("__best.config").alias("config")
+    )

@@ -64,6 +64,9 @@ OBJECT_EVENT = T.StructType([_f("bucket"), _f("name")])
 
 TASK_LOG = T.StructType([_f("job_uid"), _f("task_id"), _f("text_payload")])
 
+# A log line as it comes in, with its time.
+TIMED_LOG = T.StructType([*TASK_LOG.fields, _f("timestamp", _TS)])
+
 JOB_DIRECTORY = T.StructType(
     [_f("job_name"), _f("job_uid"), _f("labels", T.MapType(_S, _S))]
 )

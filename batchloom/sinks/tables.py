@@ -1,21 +1,33 @@
-"""Writes to warehouse tables. A table is a folder of parquet files.
-
-Every writer uses one layout, ``writer=<id>/batch_id=<n>[/day=<date>]``: batch
-appends, streams and compaction can share a table, and readers see all rows. A
-stream's id is that of its checkpoint, so a new checkpoint, or a second stream,
-never replaces what another one wrote, and a repeated batch replaces itself.
+"""Writes to warehouse tables. A table is a folder of parquet files and of records.
+
+Every write goes to a folder of its own, ``writer=<id>/batch_id=<n>/attempt=<id>[/day=<date>]``,
+and counts from the moment its record stands in ``_records``: a small JSON file that
+names the folder, and the records it replaces. Readers take the folders of all
+records that no other record replaces. So a batch is seen as a whole or not at all, and
+a repeated batch, a compaction or a truncation puts new rows in the place of old ones in
+one step; folders that no record names are left over from lost attempts and are
+never read. ``vacuum`` removes what is not in use any more.
+
+Batch appends, streams and compaction can share a table. A stream's id is that of its
+checkpoint, so a new checkpoint, or a second stream, never replaces what another
+one wrote. Files that lay in the folder before the first record belong to the table, too.
 Tables with a ``timestamp`` are cut by day, so readers can prune days.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FOLDERS = ["writer", "batch_id", "day"]
+FOLDERS = ["writer", "batch_id", "attempt"]
+RECORDS = "_records"
+_ADOPTED = "adopted"
+_RECORD = "id string, writer string, batch_id bigint, folders array<string>, replaces array<string>, fields string"
 
 
 def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -28,6 +40,61 @@ def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     return fitted.filter(complete), fitted.filter(~complete)
 
 
+# -- records ---------------------------------------------------------------
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as its own type."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _glob(spark: SparkSession, pattern: str) -> list:
+    fs, place = _files(spark, pattern)
+    return list(fs.globStatus(place) or [])
+
+
+def _visible(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder that hold data."""
+    names = [found.getPath().getName() for found in _glob(spark, path + "/*")]
+    return sorted(n for n in names if not n.startswith(("_", ".")))
+
+
+def records(spark: SparkSession, path: str) -> list[Row]:
+    """All records of a table: a few per batch since its last vacuum."""
+    if not _glob(spark, f"{path}/{RECORDS}/*.json"):
+        return []
+    return spark.read.schema(_RECORD).json(f"{path}/{RECORDS}/*.json").collect()
+
+
+def live(found: list[Row]) -> list[Row]:
+    """The records that no other one replaces."""
+    gone = {old for record in found for old in record.replaces}
+    return sorted((r for r in found if r.id not in gone), key=lambda r: r.id)
+
+
+def _put(spark: SparkSession, path: str, name: str, **fields) -> None:
+    """A record appears under its name by one rename, complete."""
+    fs, place = _files(spark, f"{path}/{RECORDS}/.{name}")
+    out = fs.create(place, True)
+    out.write(bytearray(json.dumps({"id": name, **fields}), "utf-8"))
+    out.close()
+    if not fs.rename(place, _files(spark, f"{path}/{RECORDS}/{name}.json")[1]):
+        fs.delete(place, False)
+
+
+def _adopt(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """A first record for files that were there before any record."""
+    if _glob(spark, f"{path}/{RECORDS}/*.json"):
+        return
+    before = [name for name in _visible(spark, path) if not name.startswith("writer=")]
+    if before:
+        _put(spark, path, _ADOPTED, writer=_ADOPTED, batch_id=0, folders=before, replaces=[], fields=schema.json())
+
+
+# -- writes ----------------------------------------------------------------
+
+
 def append(df: DataFrame, path: str, schema: T.StructType) -> DataFrame:
     """Append all complete rows in one write; returns the rejected rows."""
     good, bad = conform(df, schema)
@@ -36,22 +103,38 @@ def append(df: DataFrame, path: str, schema: T.StructType) -> DataFrame:
 
 
 def write_batch(df: DataFrame, path: str, batch_id: int, writer: str) -> None:
-    """Write one batch of a writer to its own folder; a repeated batch replaces itself."""
-    folder = f"{path}/writer={writer}/batch_id={batch_id}"
-    if "timestamp" in df.columns:
-        by_day = df.withColumn("day", F.to_date("timestamp"))
-        by_day.write.mode("overwrite").partitionBy("day").parquet(folder)
-    else:
-        df.write.mode("overwrite").parquet(folder)
+    """Write one batch of a writer; a repeated batch replaces itself.
 
+    A batch that a compaction or truncation has taken over since stays as it is.
+    """
+    spark = df.sparkSession
+    mine = batch_records(spark, path, batch_id, writer)
+    if mine is None:
+        return
+    _write(df, path, batch_id, writer, [r.id for r in mine])
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """All rows of a table, whoever wrote them; ``day`` stays for pruning if there is one.
 
-    Without a schema the columns are those of the files.
-    """
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path).drop("writer", "batch_id")
+def batch_records(spark: SparkSession, path: str, batch_id: int, writer: str) -> list[Row] | None:
+    """Live records of a batch: none before its first write, None if they were all replaced."""
+    if not _glob(spark, f"{path}/{RECORDS}/{writer}.{batch_id}.*.json"):
+        return []
+    kept = [r for r in live(records(spark, path)) if (r.writer, r.batch_id) == (writer, batch_id)]
+    return kept or None
+
+
+def _write(df: DataFrame, path: str, batch_id: int, writer: str, replaces: list[str]) -> None:
+    spark, attempt = df.sparkSession, f"a{uuid.uuid4().hex}"
+    _adopt(spark, path, df.schema)
+    folder = f"writer={writer}/batch_id={batch_id}/attempt={attempt}"
+    if "timestamp" in df.columns:
+        df.withColumn("day", F.to_date("timestamp")).write.partitionBy("day").parquet(f"{path}/{folder}")
+    else:
+        df.write.parquet(f"{path}/{folder}")
+    folders = [folder] if _visible(spark, f"{path}/{folder}") else []
+    _put(
+        spark, path, f"{writer}.{batch_id}.{attempt}", writer=writer, batch_id=batch_id, folders=folders,
+        replaces=replaces, fields=df.schema.json(),
+    )
 
 
 def compact(spark: SparkSession, path: str, target: str, schema: T.StructType) -> None:
@@ -60,13 +143,94 @@ def compact(spark: SparkSession, path: str, target: str, schema: T.StructType) -
     Readers and writers of ``path`` go on meanwhile; whoever owns the table
     switches over when its writers stand still.
     """
-    rows = read_table(spark, path, schema).select(*schema.fieldNames())
-    spread = rows.withColumn("__day", F.to_date("timestamp")) if "timestamp" in rows.columns else rows
-    keys = ["__day"] if "__day" in spread.columns else []
-    write_batch(spread.hint("rebalance", *keys).drop("__day"), target, 0, f"compact-{uuid.uuid4().hex}")
+    _write(_in_few_files(read_table(spark, path, schema), schema), target, 0, f"compact-{uuid.uuid4().hex}", [])
+
+
+def compact_in_place(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """Put a few files per day in the place of all batches that are there now.
+
+    Readers see the old files or the new ones; batches written meanwhile stay beside them.
+    """
+    now = live(records(spark, path))
+    if not now:
+        raise ValueError(f"{path} has no records")
+    rows = _rows(spark, path, now, schema)
+    _write(_in_few_files(rows, schema), path, 0, f"compact-{uuid.uuid4().hex}", [r.id for r in now])
+
+
+def _in_few_files(rows: DataFrame, schema: T.StructType) -> DataFrame:
+    rows = rows.select(*schema.fieldNames())
+    if "timestamp" not in rows.columns:
+        return rows.hint("rebalance")
+    return rows.withColumn("__day", F.to_date("timestamp")).hint("rebalance", "__day").drop("__day")
 
 
 def truncate(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Remove all rows of a table; it stays readable by its schema."""
-    nothing = spark.createDataFrame([], schema).withColumn("writer", F.lit("none"))
-    nothing.write.mode("overwrite").partitionBy("writer").parquet(path)
+    _adopt(spark, path, schema)
+    now, name = live(records(spark, path)), f"truncate-{uuid.uuid4().hex}"
+    _put(spark, path, name, writer=name, batch_id=0, folders=[], replaces=[r.id for r in now], fields=schema.json())
+
+
+def vacuum(spark: SparkSession, path: str, hours: float = 24 * 7) -> int:
+    """Delete files and records that have not been in use for ``hours``; returns their number.
+
+    Readers that planned before, and batches that may be repeated, should be
+    younger than that.
+    """
+    found = records(spark, path)
+    if not found:
+        return 0
+    kept = live(found)
+    in_use = {folder for r in kept for folder in r.folders}
+    old = (time.time() - hours * 3600) * 1000
+    names = {r.id for r in kept}
+    left = [s for s in _glob(spark, f"{path}/writer=*/batch_id=*/attempt=*")]
+    unused = [s for s in left if "/".join(s.getPath().toString().split("/")[-3:]) not in in_use]
+    first = [s for r in found if r.id not in names and r.writer == _ADOPTED for f in r.folders for s in _glob(spark, f"{path}/{f}")]
+    replaced = [s for s in _glob(spark, f"{path}/{RECORDS}/*.json") if s.getPath().getName()[:-5] not in names]
+    fs, _ = _files(spark, path)
+    # A record goes before the one that replaced it: what was replaced never counts again.
+    replaced.sort(key=lambda s: s.getModificationTime())
+    gone = [s for s in [*unused, *first, *replaced] if s.getModificationTime() <= old]
+    for status in gone:
+        fs.delete(status.getPath(), True)
+    return len(gone)
+
+
+# -- reads -----------------------------------------------------------------
+
+
+def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """All rows of a table as it stands now, whoever wrote them.
+
+    ``day`` stays for pruning if there is one. Without a schema the columns are
+    those of the files. A folder without records is read as it is.
+    """
+    found = live(records(spark, path))
+    if not found:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(path).drop(*FOLDERS)
+    return _rows(spark, path, found, schema)
+
+
+def first_written(spark: SparkSession, path: str, batch_id: int, writer: str) -> DataFrame | None:
+    """The rows a batch has written, also if a compaction holds them now; None before its first write."""
+    if not _glob(spark, f"{path}/{RECORDS}/{writer}.{batch_id}.*.json"):
+        return None
+    own = [r for r in records(spark, path) if (r.writer, r.batch_id) == (writer, batch_id)]
+    newest = live(own)[:1]
+    fields = T.StructType.fromJson(json.loads(newest[0].fields))
+    return _rows(spark, path, newest, fields).select(*fields.fieldNames())
+
+
+def _rows(spark: SparkSession, path: str, found: list[Row], schema: T.StructType | None) -> DataFrame:
+    own = [f"{path}/{folder}" for r in found if r.writer != _ADOPTED for folder in r.folders]
+    first = [f"{path}/{folder}" for r in found if r.writer == _ADOPTED for folder in r.folders]
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    parts = [reader.option("basePath", path).parquet(*folders).drop(*FOLDERS) for folders in (own, first) if folders]
+    if not parts:
+        parts = [spark.createDataFrame([], schema or T.StructType.fromJson(json.loads(found[-1].fields)))]
+    if "timestamp" in parts[0].columns:
+        parts = [p if "day" in p.columns else p.withColumn("day", F.to_date("timestamp")) for p in parts]
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -24,15 +24,27 @@ def newest_per_status(status: DataFrame) -> DataFrame:
 
 
 def follow_latest(
-    status_stream: DataFrame, path: str, checkpoint: str, once: bool = False
+    status_stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    once: bool = False,
+    keep: str = "1 day",
+    delay: str = "1 hour",
+    arrival: Column | None = None,
 ) -> StreamingQuery:
-    """Write changed (job, task, status, newest time) rows per micro-batch."""
+    """Write changed (job, task, status, newest time) rows per micro-batch.
+
+    The state holds tasks of which something arrived within ``keep``, and ``delay`` after
+    that; then it ends, and the rows it has written stand in the table of changes. Time
+    counts from arrival, so no row is too late: a task that goes on later starts a state
+    of its own, and :func:`latest_view` takes the newest of all that is written.
+    ``arrival`` is the time a row came, by default the micro-batch's.
+    """
+    seen = F.current_timestamp() if arrival is None else arrival
+    recent = status_stream.filter(F.col("task_id").isNotNull()).withColumn("__seen", seen).withWatermark("__seen", delay)
+    newest = recent.groupBy(F.window("__seen", keep), *KEYS).agg(F.max("timestamp").alias("timestamp"))
     return start(
-        newest_per_status(status_stream),
-        lambda batch, write: write(batch, path),
-        checkpoint,
-        once,
-        mode="update",
+        newest.select(*KEYS, "timestamp"), lambda batch, write: write(batch, path), checkpoint, once, mode="update"
     )
 
 

@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from batchloom import constants as K
-from batchloom.functions.status import payload_text, payload_time
+from batchloom.functions.status import is_success_line, payload_text, payload_time, verdict
 from batchloom.operators.checks import with_attributes
 from batchloom.operators.joins import enrich_events, with_verdict
 from batchloom.plans.status import status_rows, task_notifications
 from batchloom.sources.events import task_events
-from batchloom.streaming.runner import Write, start
+from batchloom.streaming.runner import Write, append_rows, start
 
 
 @dataclass(frozen=True)
@@ -150,3 +150,60 @@ def ingest_status(
             batch.unpersist()
 
     return start(messages, each, checkpoint, once)
+
+
+def verdicts_in_time(
+    rows: DataFrame,
+    logs: DataFrame,
+    wait: str = "10 minutes",
+    back: str = "1 day",
+    delay: str = "10 minutes",
+    patterns: list[str] | None = None,
+    verdict_delay: int = 1,
+) -> DataFrame:
+    """Verdict rows of a stream of status rows, which wait for a stream of log lines.
+
+    A success line from ``back`` before a success until ``wait`` after it makes the
+    verdict good, as soon as both are there. Without one the verdict is bad, once the
+    watermarks of both streams, ``delay`` behind their newest times, have passed the wait. A
+    line after that changes nothing. There is one verdict per task and time
+    of success. ``logs`` has job_uid, task_id, text_payload and timestamp.
+
+    State: successes until their wait is over, success lines for ``back`` and ``delay``.
+    """
+    succeeded = (
+        rows.filter(F.col("status") == K.SUCCEEDED)
+        .select("job_id", "task_id", F.col("timestamp").cast("timestamp").alias("at"))
+        .withWatermark("at", delay)
+        .dropDuplicates(["job_id", "task_id", "at"])
+    )
+    lines = (
+        logs.filter(is_success_line(F.col("text_payload"), patterns))
+        .select("job_uid", F.col("task_id").alias("__task"), F.col("timestamp").cast("timestamp").alias("logged"))
+        .withWatermark("logged", delay)
+    )
+    near = (F.col("logged") >= F.col("at") - F.expr(f"interval {back}")) & (
+        F.col("logged") <= F.col("at") + F.expr(f"interval {wait}")
+    )
+    own = (succeeded["job_id"] == lines["job_uid"]) & (succeeded["task_id"] == lines["__task"])
+    judged = succeeded.join(lines, own & near, "left_outer")
+    # Several lines of one success meet here; only their first passes on.
+    first = judged.select("job_id", "task_id", "at", F.col("logged").isNotNull().alias("__hit")).dropDuplicates(
+        ["job_id", "task_id", "at"]
+    )
+    later = F.col("at") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(verdict_delay))
+    return first.select(
+        "job_id", "task_id", verdict(F.col("__hit")).alias("status"),
+        F.date_trunc("second", later).cast("timestamp_ntz").alias("timestamp"),
+    )
+
+
+def append_verdicts(
+    rows: DataFrame, logs: DataFrame, path: str, checkpoint: str, once: bool = False, **options
+) -> StreamingQuery:
+    """Append verdicts that wait for their log lines; the status rows come from a stream beside it.
+
+    With :func:`append_status` on the same messages this takes the place of
+    :func:`ingest_status`, which looks at the logs once, when the success arrives.
+    """
+    return append_rows(verdicts_in_time(rows, logs, **options), path, checkpoint, once)
