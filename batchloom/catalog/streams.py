@@ -19,7 +19,7 @@ from batchloom.sinks import tables
 from batchloom.sinks.tables import read_table
 from batchloom.sources.events import read_stream, task_events
 from batchloom.sources.warehouse import tasks_status
-from batchloom.streaming import job_stream, latest_view, runner, status_stream
+from batchloom.streaming import counts, job_stream, latest_view, runner, status_stream
 
 
 def _stream(spark, sf, name):
@@ -441,3 +441,29 @@ def stream_verify_waiting(spark, sf):
         rows, logs, out, checkpoint, once=True, wait="12 hours", back="5 days", patterns=fx.SUCCESS
     ).awaitTermination()
     return tasks_status(spark, out).filter(c("timestamp") < far)
+
+
+# --- counts kept up to date -------------------------------------------------------------------
+
+@query(
+    "stream_counts",
+    fx.with_(
+        [fx.DAY_STATUS, fx.JOB_ARRAY],
+        """SELECT count(*)::BIGINT AS "TOTAL", count(*) FILTER (T.status = 'RUNNING')::BIGINT AS "RUNNING",
+  count(*) FILTER (T.status IN ('VERIFIED_FAILED', 'VERIFIED_OK'))::BIGINT AS "SUCCEEDED",
+  count(*) FILTER (T.status = 'FAILED')::BIGINT AS "FAILED",
+  count(*) FILTER (T.status = 'VERIFIED_OK')::BIGINT AS "VERIFIED_OK",
+  count(*) FILTER (T.status = 'VERIFIED_FAILED')::BIGINT AS "VERIFIED_FAILED"
+FROM fx_day_status T JOIN fx_job_array J ON T.job_id = J.job_id
+  AND J.batch_task_index::VARCHAR = nullif(regexp_extract(T.task_id, 'group0-([0-9]+)', 1), '')
+WHERE T.timestamp = (SELECT max(timestamp) FROM fx_day_status S WHERE S.task_id = T.task_id)""",
+    ),
+)
+def stream_counts(spark, sf):
+    """The log in three micro-batches, in no order of time."""
+    base, checkpoint = _folders(spark, "counts")
+    fx.day_status(spark, sf).repartition(3).write.parquet(base + "/log")
+    log = read_stream(spark, base + "/log", schemas.TASKS_STATUS, "parquet", maxFilesPerTrigger=1)
+    sinks = counts.CountSinks(base + "/state", base + "/counts")
+    counts.follow_counts(log, lambda: fx.job_array(spark, sf), sinks, checkpoint, once=True).awaitTermination()
+    return counts.count_now(spark, sinks)

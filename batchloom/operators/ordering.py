@@ -8,7 +8,7 @@ one input holding most of the rows is no harder than many small ones.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,20 +16,17 @@ from pyspark.sql import functions as F
 from batchloom.session import materialized
 
 BUCKET_BITS = 16  # positions per bucket: 65,536
+RANGE_ROWS = 1 << 20  # rows of a range of names
 
 
-def _offsets(sizes: DataFrame, group: Sequence[str], bucket: str, numbered: bool) -> DataFrame:
+def _offsets(sizes: DataFrame, group: Sequence[str], above: Callable[[Column], Column], bucket: str) -> DataFrame:
     """Sum of the sizes of all earlier buckets of the group: __offset_of, __offset.
 
-    Buckets that are numbered by position are added up in buckets of buckets, so
-    the last window sees one row per 65,536 squared rows of a group.
+    Buckets are added up in buckets of buckets, ``above`` them: 65,536 positions'
+    buckets each, or the parts of one range. The last window sees one row of these.
     """
     key, before = F.col("__key"), (Window.unboundedPreceding, -1)
-    if not numbered:
-        earlier = Window.partitionBy(*[key[g] for g in group]).orderBy(key[bucket]).rowsBetween(*before)
-        return sizes.select(key.alias("__offset_of"), F.sum("__size").over(earlier).alias("__offset"))
-    above = F.struct(*[key[g].alias(g) for g in group], F.shiftright(key[bucket], BUCKET_BITS).alias("__above"))
-    placed = sizes.withColumn("__of", above)
+    placed = sizes.withColumn("__of", F.struct(*[key[g].alias(g) for g in group], above(key[bucket]).alias("__above")))
     tops = placed.groupBy("__of").agg(F.sum("__size").alias("__total"))
     of = F.col("__of")
     earlier = Window.partitionBy(*[of[g] for g in group]).orderBy(of["__above"]).rowsBetween(*before)
@@ -40,6 +37,24 @@ def _offsets(sizes: DataFrame, group: Sequence[str], bucket: str, numbered: bool
     return joined.select(key.alias("__offset_of"), total.alias("__offset"))
 
 
+def _high(bucket: Column) -> Column:
+    return F.shiftright(bucket, BUCKET_BITS)
+
+
+def _first_range(bucket: Column) -> Column:
+    return bucket[0]
+
+
+def _parts(part: Column) -> Column:
+    """The part files of a list are added up at once: there are thousands, not millions."""
+    return F.lit(0)
+
+
+def _blocks(start: Column) -> Column:
+    """Blocks of a file by their 64 GB."""
+    return F.shiftright(start, 36)
+
+
 def _sum_before(
     df: DataFrame,
     value: Column,
@@ -47,7 +62,7 @@ def _sum_before(
     bucket: str,
     order: Sequence[str],
     name: str,
-    numbered: bool = False,
+    above: Callable[[Column], Column] = _high,
 ) -> DataFrame:
     """Add the sum of ``value`` over all earlier rows of the group, bucket by bucket.
 
@@ -57,7 +72,7 @@ def _sum_before(
     """
     keyed = df.withColumn("__key", F.struct(*group, bucket))
     sizes = keyed.groupBy("__key").agg(F.sum(value).alias("__size"))
-    offsets = _offsets(sizes, group, bucket, numbered).filter(F.col("__offset") != 0)
+    offsets = _offsets(sizes, group, above, bucket).filter(F.col("__offset") != 0)
     joined = keyed.join(offsets, keyed["__key"] == offsets["__offset_of"], "left")
     inside = Window.partitionBy("__key").orderBy(*order).rowsBetween(
         Window.unboundedPreceding, -1
@@ -71,7 +86,7 @@ def sum_before(
 ) -> DataFrame:
     """Sum of ``value`` over the rows before this one; ``pos`` is an integer order."""
     marked = df.withColumn("__bucket", F.shiftright(F.col(pos).cast("bigint"), BUCKET_BITS))
-    return _sum_before(marked, value, group, "__bucket", [pos], name, numbered=True).drop("__bucket")
+    return _sum_before(marked, value, group, "__bucket", [pos], name).drop("__bucket")
 
 
 def row_index(
@@ -81,24 +96,46 @@ def row_index(
     return sum_before(df, F.lit(1), pos, group, name)
 
 
+def ranges(df: DataFrame, keys: Sequence[str], most: int = RANGE_ROWS) -> DataFrame:
+    """Rows written in ranges of the keys of at most ``most`` rows each, told by ``__bucket``.
+
+    Range partitions that hold more are cut again, until none does; ``__tie`` tells
+    equal rows apart, so a single key can be cut, too. A bucket is a list of range
+    numbers, one per cut, and lists compare in the order of the keys.
+    """
+    tied = df.withColumn("__tie", F.monotonically_increasing_id())
+    cut = tied.repartitionByRange(*keys, "__tie").withColumn("__bucket", F.array(F.spark_partition_id()))
+    left, done = materialized(cut, "ranges"), None
+    for depth in range(1, 40):
+        # As many rows as there are ranges above the bound, a few per partition of the last cut.
+        big = left.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).collect()
+        if not big:
+            return left if done is None else done.unionByName(left)
+        inside = F.col("__bucket").isin(*[F.array(*[F.lit(x) for x in r["__bucket"]]) for r in big])
+        small = left.filter(~inside)
+        done = small if done is None else done.unionByName(small)
+        parts = sum(-(-r.n // most) for r in big) * 2 * depth
+        again = left.filter(inside).repartitionByRange(parts, "__bucket", *keys, "__tie")
+        again = again.withColumn("__bucket", F.concat("__bucket", F.array(F.spark_partition_id())))
+        left = materialized(again, "ranges")
+    raise ValueError("ranges cannot be cut below their bound")
+
+
 def row_index_by(
-    df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "row_index"
+    df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "row_index", most: int = RANGE_ROWS
 ) -> DataFrame:
-    """0-based position for orders that are not integers, such as names.
+    """0-based position of each row in its group, for orders that are not integers, such as names.
 
-    Buckets are the ranges of a range partitioning; they are written once, so
-    both steps see the same ranges.
+    Buckets are ranges of bounded size, which are written once, so both steps see the same.
     """
-    ranged = df.repartitionByRange(*group, *order).withColumn(
-        "__bucket", F.spark_partition_id()
-    )
-    fixed = materialized(ranged, "ranges")
-    return _sum_before(fixed, F.lit(1), group, "__bucket", list(order), name).drop("__bucket")
+    fixed = ranges(df, [*group, *order], most)
+    placed = _sum_before(fixed, F.lit(1), group, "__bucket", [*order, "__tie"], name, _first_range)
+    return placed.drop("__bucket", "__tie")
 
 
 def line_numbers(df: DataFrame, group: str, block: str, order: str, name: str) -> DataFrame:
     """1-based line number in a file, from block starts and the order inside a block."""
-    indexed = _sum_before(df, F.lit(1), [group], block, [order], name)
+    indexed = _sum_before(df, F.lit(1), [group], block, [order], name, _blocks)
     return indexed.withColumn(name, F.col(name) + 1)
 
 
@@ -109,7 +146,7 @@ def places_in_list(lines: DataFrame, part: str, of_list: Column, pos: str) -> Da
     The result has the list in ``part`` and the place in the list in ``pos``.
     """
     keyed = lines.withColumn("__list", of_list)
-    counted = _sum_before(keyed, F.lit(1), ["__list"], part, [pos], "__place")
+    counted = _sum_before(keyed, F.lit(1), ["__list"], part, [pos], "__place", _parts)
     return counted.withColumn(part, F.col("__list")).withColumn(pos, F.col("__place") + 1).select(*lines.columns)
 
 

@@ -2,23 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchloom import constants as K
 from batchloom.functions.paths import stem
-from batchloom.operators.ordering import chunks, row_index, sum_before
+from batchloom.operators.joins import unpaired
+from batchloom.operators.ordering import BUCKET_BITS, chunks, sum_before
+from batchloom.session import materialized
 from batchloom.sources.manifests import manifest_text
 
 
 def pair_inputs(lists: DataFrame, configs: DataFrame) -> DataFrame:
     """The i-th sample list with the i-th config: (pos, uri, config_uri).
 
-    Both lists must be equally long; that is checked on counts before pairing.
+    Both lists must be equally long; the first place that only one of them has is told.
     """
-    n_lists, n_configs = lists.count(), configs.count()
-    if n_lists != n_configs:
-        raise ValueError(f"{n_lists} sample lists but {n_configs} configs")
+    alone = unpaired(lists, configs).limit(1).collect()
+    if alone:
+        raise ValueError(f"sample lists and configs differ in length: place {alone[0].pos} has no partner")
     return lists.join(configs, "pos", "inner")
 
 
@@ -27,18 +29,19 @@ def chunk_rows(inputs: DataFrame, rows: DataFrame, batch_size: int) -> DataFrame
 
     ``inputs`` has pos, uri, config_uri; ``rows`` has uri, line_no, tokens. Job
     numbers run on over the inputs: the jobs of all earlier inputs come first.
+
+    Rows are counted once per bucket of 65,536 lines. From these counts follow the
+    sizes of the manifests, the first job of each and the rows before each bucket: one
+    small table, written once, that the rows are joined with.
     """
-    placed = row_index(rows, "line_no", ["uri"])
-    sizes = rows.groupBy("uri").agg(F.count(F.lit(1)).alias("__rows"))
-    counted = inputs.join(sizes, "uri", "inner").withColumn(
-        "__jobs", F.expr(f"(__rows + {int(batch_size) - 1}) div {int(batch_size)}")
-    )
-    starts = sum_before(counted, F.col("__jobs"), "pos", name="first_job").select(
-        F.col("pos").alias("input_pos"), "uri", "config_uri", "first_job"
-    )
+    bucketed = rows.withColumn("__block", F.shiftright(F.col("line_no").cast("bigint"), BUCKET_BITS))
+    sizes = materialized(bucketed.groupBy("uri", "__block").agg(F.count(F.lit(1)).alias("__size")), "bucket-sizes")
+    places = materialized(_bucket_places(inputs, sizes, batch_size), "bucket-places")
+    inside = Window.partitionBy("uri", "__block").orderBy("line_no")
+    numbered = bucketed.withColumn("__in_bucket", F.row_number().over(inside) - 1)
+    placed = numbered.join(places, ["uri", "__block"]).withColumn("row_index", F.col("__before") + F.col("__in_bucket"))
     return (
         chunks(placed, batch_size)
-        .join(starts, "uri", "inner")
         .withColumn("job_no", F.col("first_job") + F.col("chunk"))
         .select(
             "input_pos",
@@ -53,6 +56,18 @@ def chunk_rows(inputs: DataFrame, rows: DataFrame, batch_size: int) -> DataFrame
     )
 
 
+def _bucket_places(inputs: DataFrame, sizes: DataFrame, batch_size: int) -> DataFrame:
+    """Per input and bucket of its manifest: the rows before it, and the input's first job."""
+    before = sum_before(sizes, F.col("__size"), "__block", ["uri"], "__before")
+    totals = sizes.groupBy("uri").agg(F.sum("__size").alias("__rows"))
+    jobs = F.expr(f"(__rows + {int(batch_size) - 1}) div {int(batch_size)}")
+    counted = inputs.join(totals, "uri", "inner").withColumn("__jobs", jobs)
+    starts = sum_before(counted, F.col("__jobs"), "pos", name="first_job").select(
+        F.col("pos").alias("input_pos"), "uri", "config_uri", "first_job"
+    )
+    return before.join(starts, "uri").select("uri", "__block", "__before", "input_pos", "config_uri", "first_job")
+
+
 def _folder(prefix: str) -> str:
     return prefix + "/" if prefix else ""
 
@@ -129,8 +144,12 @@ def prepare_jobs(
     parallelism: str,
     input_type: str = K.CRAM,
 ) -> dict[str, DataFrame]:
-    """Manifests, batch configs and the ordered job list of all inputs."""
-    placed = chunk_rows(inputs, rows, batch_size)
+    """Manifests, batch configs and the ordered job list of all inputs.
+
+    The manifests are read twice, to count and to number their rows; the chunked rows are
+    written once, and the three results come from them.
+    """
+    placed = materialized(chunk_rows(inputs, rows, batch_size), "chunked-rows")
     jobs = job_keys(placed)
     return {
         "manifests": chunk_manifests(placed, prefix),

@@ -11,7 +11,9 @@ never read. ``vacuum`` removes what is not in use any more.
 Batch appends, streams and compaction can share a table. A stream's id is that of its
 checkpoint, so a new checkpoint, or a second stream, never replaces what another
 one wrote. Files that lay in the folder before the first record belong to the table, too.
-Tables with a ``timestamp`` are cut by day, so readers can prune days.
+Tables with a ``timestamp`` are cut by day, so readers can prune days. A table that is
+looked up by a key can be cut by the key's hash instead, each file sorted by its ``Layout``, with Bloom
+filters, so that a lookup of a few keys (``of_keys``) opens few files and reads few row groups.
 """
 
 from __future__ import annotations
@@ -19,15 +21,48 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FOLDERS = ["writer", "batch_id", "attempt"]
 RECORDS = "_records"
 _ADOPTED = "adopted"
-_RECORD = "id string, writer string, batch_id bigint, folders array<string>, replaces array<string>, fields string"
+_RECORD = "id string, writer string, batch_id bigint, folders array<string>, replaces array<string>, fields string, cut string"
+_BUCKET = "bucket_of_"
+KEY_BUCKETS = 64
+ROW_GROUP = 16 << 20  # bytes
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Files of a table that is looked up by its first key: cut by its hash, sorted by all keys."""
+
+    keys: tuple[str, ...]
+
+    @property
+    def cut(self) -> str:
+        return _BUCKET + self.keys[0]
+
+
+TASK_LAYOUT = Layout(("job_id", "batch_task_index"))
+LOG_LAYOUT = Layout(("job_uid", "task_id"))
+
+
+def bucket_of(key: Column) -> Column:
+    """The folder number of a key."""
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def of_keys(table: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
+    """The rows of some keys; where the table is cut by the key, only their folders are read."""
+    wanted = F.col(key).isin(list(values))
+    if _BUCKET + key in table.columns:
+        wanted = wanted & F.col(_BUCKET + key).isin(*[bucket_of(F.lit(v)) for v in values])
+    return table.filter(wanted)
 
 
 def conform(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
@@ -95,14 +130,14 @@ def _adopt(spark: SparkSession, path: str, schema: T.StructType) -> None:
 # -- writes ----------------------------------------------------------------
 
 
-def append(df: DataFrame, path: str, schema: T.StructType) -> DataFrame:
+def append(df: DataFrame, path: str, schema: T.StructType, layout: Layout | None = None) -> DataFrame:
     """Append all complete rows in one write; returns the rejected rows."""
     good, bad = conform(df, schema)
-    write_batch(good, path, 0, f"append-{uuid.uuid4().hex}")
+    write_batch(good, path, 0, f"append-{uuid.uuid4().hex}", layout)
     return bad
 
 
-def write_batch(df: DataFrame, path: str, batch_id: int, writer: str) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, writer: str, layout: Layout | None = None) -> None:
     """Write one batch of a writer; a repeated batch replaces itself.
 
     A batch that a compaction or truncation has taken over since stays as it is.
@@ -111,7 +146,7 @@ def write_batch(df: DataFrame, path: str, batch_id: int, writer: str) -> None:
     mine = batch_records(spark, path, batch_id, writer)
     if mine is None:
         return
-    _write(df, path, batch_id, writer, [r.id for r in mine])
+    _write(df, path, batch_id, writer, [r.id for r in mine], layout)
 
 
 def batch_records(spark: SparkSession, path: str, batch_id: int, writer: str) -> list[Row] | None:
@@ -122,44 +157,69 @@ def batch_records(spark: SparkSession, path: str, batch_id: int, writer: str) ->
     return kept or None
 
 
-def _write(df: DataFrame, path: str, batch_id: int, writer: str, replaces: list[str]) -> None:
+def _write(df: DataFrame, path: str, batch_id: int, writer: str, replaces: list[str], layout: Layout | None = None) -> None:
     spark, attempt = df.sparkSession, f"a{uuid.uuid4().hex}"
     _adopt(spark, path, df.schema)
     folder = f"writer={writer}/batch_id={batch_id}/attempt={attempt}"
-    if "timestamp" in df.columns:
-        df.withColumn("day", F.to_date("timestamp")).write.partitionBy("day").parquet(f"{path}/{folder}")
+    cut = layout.cut if layout else "day" if "timestamp" in df.columns else None
+    if layout:
+        _sorted_by(df, layout).partitionBy(cut).parquet(f"{path}/{folder}")
+    elif cut:
+        df.withColumn(cut, F.to_date("timestamp")).write.partitionBy(cut).parquet(f"{path}/{folder}")
     else:
         df.write.parquet(f"{path}/{folder}")
     folders = [folder] if _visible(spark, f"{path}/{folder}") else []
     _put(
         spark, path, f"{writer}.{batch_id}.{attempt}", writer=writer, batch_id=batch_id, folders=folders,
-        replaces=replaces, fields=df.schema.json(),
+        replaces=replaces, fields=df.schema.json(), cut=cut,
     )
 
 
-def compact(spark: SparkSession, path: str, target: str, schema: T.StructType) -> None:
-    """A copy of a table in a few files per day, in a new folder ``target``.
+def _sorted_by(df: DataFrame, layout: Layout) -> DataFrameWriter:
+    """Rows of one hash together, in as many files as their size asks for, sorted inside."""
+    cut = df.withColumn(layout.cut, bucket_of(F.col(layout.keys[0]))).hint("rebalance", layout.cut)
+    writer = cut.sortWithinPartitions(layout.cut, *layout.keys).write.option("parquet.block.size", ROW_GROUP)
+    text = [k for k in layout.keys if df.schema[k].dataType == T.StringType()]
+    for key in text:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true")
+        writer = writer.option(f"parquet.bloom.filter.expected.ndv#{key}", 20_000)
+    return writer
+
+
+def compact(spark: SparkSession, path: str, target: str, schema: T.StructType, layout: Layout | None = None) -> None:
+    """A copy of a table in a few files, in a new folder ``target``.
 
     Readers and writers of ``path`` go on meanwhile; whoever owns the table
     switches over when its writers stand still.
     """
-    _write(_in_few_files(read_table(spark, path, schema), schema), target, 0, f"compact-{uuid.uuid4().hex}", [])
+    rows = _in_few_files(read_table(spark, path, schema), schema, layout)
+    _write(rows, target, 0, f"compact-{uuid.uuid4().hex}", [], layout)
 
 
-def compact_in_place(spark: SparkSession, path: str, schema: T.StructType) -> None:
-    """Put a few files per day in the place of all batches that are there now.
+def compact_in_place(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    layout: Layout | None = None,
+    fold: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Put a few files in the place of all batches that are there now.
 
-    Readers see the old files or the new ones; batches written meanwhile stay beside them.
+    Readers see the old files or the new ones; batches written meanwhile stay beside
+    them. ``fold`` makes fewer rows of the old ones, where a table allows that.
     """
     now = live(records(spark, path))
     if not now:
         raise ValueError(f"{path} has no records")
     rows = _rows(spark, path, now, schema)
-    _write(_in_few_files(rows, schema), path, 0, f"compact-{uuid.uuid4().hex}", [r.id for r in now])
+    folded = fold(rows.select(*schema.fieldNames())) if fold else rows
+    _write(_in_few_files(folded, schema, layout), path, 0, f"compact-{uuid.uuid4().hex}", [r.id for r in now], layout)
 
 
-def _in_few_files(rows: DataFrame, schema: T.StructType) -> DataFrame:
+def _in_few_files(rows: DataFrame, schema: T.StructType, layout: Layout | None) -> DataFrame:
     rows = rows.select(*schema.fieldNames())
+    if layout:
+        return rows  # its write gathers the rows
     if "timestamp" not in rows.columns:
         return rows.hint("rebalance")
     return rows.withColumn("__day", F.to_date("timestamp")).hint("rebalance", "__day").drop("__day")
@@ -169,7 +229,8 @@ def truncate(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """Remove all rows of a table; it stays readable by its schema."""
     _adopt(spark, path, schema)
     now, name = live(records(spark, path)), f"truncate-{uuid.uuid4().hex}"
-    _put(spark, path, name, writer=name, batch_id=0, folders=[], replaces=[r.id for r in now], fields=schema.json())
+    cut = "day" if "timestamp" in schema.fieldNames() else None
+    _put(spark, path, name, writer=name, batch_id=0, folders=[], replaces=[r.id for r in now], fields=schema.json(), cut=cut)
 
 
 def vacuum(spark: SparkSession, path: str, hours: float = 24 * 7) -> int:
@@ -201,17 +262,26 @@ def vacuum(spark: SparkSession, path: str, hours: float = 24 * 7) -> int:
 # -- reads -----------------------------------------------------------------
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+def read_table(
+    spark: SparkSession, path: str, schema: T.StructType | None = None, without: tuple[str, int] | None = None
+) -> DataFrame:
     """All rows of a table as it stands now, whoever wrote them.
 
-    ``day`` stays for pruning if there is one. Without a schema the columns are
-    those of the files. A folder without records is read as it is.
+    The column a table is cut by (``day``, ``bucket_of_<key>``) stays, for pruning.
+    Without a schema the columns are those of the files. A folder without
+    records is read as it is. ``without`` leaves out one (writer, batch).
     """
-    found = live(records(spark, path))
+    found = records(spark, path)
     if not found:
         reader = spark.read if schema is None else spark.read.schema(schema)
         return reader.parquet(path).drop(*FOLDERS)
-    return _rows(spark, path, found, schema)
+    kept = live(found)
+    if without:
+        fields = schema or T.StructType.fromJson(json.loads(kept[-1].fields)) if kept else schema
+        kept = [r for r in kept if (r.writer, r.batch_id) != without]
+        if not kept:
+            return spark.createDataFrame([], fields)
+    return _rows(spark, path, kept, schema)
 
 
 def first_written(spark: SparkSession, path: str, batch_id: int, writer: str) -> DataFrame | None:
@@ -225,12 +295,18 @@ def first_written(spark: SparkSession, path: str, batch_id: int, writer: str) ->
 
 
 def _rows(spark: SparkSession, path: str, found: list[Row], schema: T.StructType | None) -> DataFrame:
-    own = [f"{path}/{folder}" for r in found if r.writer != _ADOPTED for folder in r.folders]
-    first = [f"{path}/{folder}" for r in found if r.writer == _ADOPTED for folder in r.folders]
     reader = spark.read if schema is None else spark.read.schema(schema)
-    parts = [reader.option("basePath", path).parquet(*folders).drop(*FOLDERS) for folders in (own, first) if folders]
+    by_cut: dict[str | None, list[str]] = {}
+    for r in found:  # folders that are cut alike are one read
+        kind = _ADOPTED if r.writer == _ADOPTED else r.cut
+        by_cut.setdefault(kind, []).extend(f"{path}/{folder}" for folder in r.folders)
+    parts = [reader.option("basePath", path).parquet(*some).drop(*FOLDERS) for some in by_cut.values() if some]
     if not parts:
         parts = [spark.createDataFrame([], schema or T.StructType.fromJson(json.loads(found[-1].fields)))]
-    if "timestamp" in parts[0].columns:
-        parts = [p if "day" in p.columns else p.withColumn("day", F.to_date("timestamp")) for p in parts]
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+    for cut in {r.cut for r in found} - {None}:
+        value = F.to_date("timestamp") if cut == "day" else bucket_of(F.col(cut[len(_BUCKET) :]))
+        parts = [p if cut in p.columns else p.withColumn(cut, value) for p in parts]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out

@@ -14,7 +14,9 @@ from batchloom.functions.status import is_success_line, payload_text, payload_ti
 from batchloom.operators.checks import with_attributes
 from batchloom.operators.joins import enrich_events, with_verdict
 from batchloom.plans.status import status_rows, task_notifications
+from batchloom.sources import warehouse
 from batchloom.sources.events import task_events
+from batchloom.sources.warehouse import few_jobs
 from batchloom.streaming.runner import Write, append_rows, start
 
 
@@ -87,7 +89,7 @@ def append_status(
 
 def append_enriched(
     messages: DataFrame,
-    job_array: DataFrame,
+    job_array: DataFrame | str,
     path: str,
     checkpoint: str,
     once: bool = False,
@@ -95,21 +97,32 @@ def append_enriched(
 ) -> StreamingQuery:
     """Append every event with its task columns; events of unknown tasks stay.
 
-    Messages without attributes go to ``rejects``.
+    Messages without attributes go to ``rejects``. Of a task table given by its path
+    a micro-batch reads the files of its jobs only.
     """
 
     def rows(events: DataFrame) -> DataFrame:
+        if isinstance(job_array, str):
+            return enrich_events(events, warehouse.job_array(events.sparkSession, job_array, few_jobs(events)))
         return enrich_events(events, job_array)
 
     return _events_only(messages, rows, path, checkpoint, once, rejects)
 
 
+# A table, read anew per micro-batch, or the path of one, of which a batch reads its jobs only.
+Lookup = Callable[[], DataFrame] | str
+
+
+def _looked_up(table: Lookup, read: Callable[..., DataFrame], batch: DataFrame, jobs: list[str] | None) -> DataFrame:
+    return read(batch.sparkSession, table, jobs) if isinstance(table, str) else table()
+
+
 def ingest_status(
     messages: DataFrame,
-    logs: Callable[[], DataFrame],
+    logs: Lookup,
     sinks: StatusSinks,
     checkpoint: str,
-    job_array: Callable[[], DataFrame] | None = None,
+    job_array: Lookup | None = None,
     clock: Callable[[DataFrame], Column] | None = None,
     patterns: list[str] | None = None,
     verdict_delay: int = 1,
@@ -121,7 +134,8 @@ def ingest_status(
     """Store every event; check each success against its logs and store the verdict.
 
     ``logs`` and ``job_array`` are read anew per micro-batch, of which only what the
-    batch's own tasks need; a log table cut by day is best given by its last days. ``clock`` gives
+    batch's own tasks need. Given as paths of tables that are cut by job, only the files
+    of the batch's jobs are opened, unless there are over a thousand. ``clock`` gives
     the row time (arrival by default). A verdict is stamped ``verdict_delay``
     seconds after its success row, so that it is the later of the two.
     """
@@ -132,7 +146,10 @@ def ingest_status(
         events = task_events(good)
         succeeded = events.filter(F.col("status") == K.SUCCEEDED).drop("status")
         # Kept for the two sinks below, so the logs are scanned once per batch.
-        judged = with_verdict(succeeded, logs(), patterns, "status").persist()
+        paths = isinstance(logs, str) or isinstance(job_array, str)
+        jobs = few_jobs(events) if paths else None
+        lines = _looked_up(logs, warehouse.task_logs, batch, jobs)
+        judged = with_verdict(succeeded, lines, patterns, "status").persist()
         try:
             stamp = clock(events) if clock else F.current_timestamp()
             later = stamp + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(verdict_delay))
@@ -143,7 +160,8 @@ def ingest_status(
             if sinks.notifications and job_array:
                 told = judged.unionByName(events.filter(F.col("status") == K.FAILED))
                 now = F.current_timestamp() if message_clock is None else message_clock
-                texts = task_notifications(told, job_array(), now, project, region)
+                tasks = _looked_up(job_array, warehouse.job_array, batch, jobs)
+                texts = task_notifications(told, tasks, now, project, region)
                 write(texts, sinks.notifications)
         finally:
             judged.unpersist()

@@ -238,6 +238,26 @@ def test_list_files(spark, tmp_path):
     ]
 
 
+def test_ranges_have_a_bound(spark):
+    rows = [("a" if i % 3 else "b", "same" if i % 2 else f"n{i:04d}", i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, name string, k int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        cut = ordering.ranges(df, ["g", "name"], most=10)
+        sizes = [r["count"] for r in cut.groupBy("__bucket").count().collect()]
+        assert sum(sizes) == 500 and max(sizes) <= 10
+        got = ordering.row_index_by(df, ["name"], ["g"], most=10).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for g in "ab":
+        names = [r.name for r in sorted((r for r in got if r.g == g), key=lambda r: r.row_index)]
+        assert names == sorted(name for x, name, _ in rows if x == g)
+        assert sorted(r.row_index for r in got if r.g == g) == list(range(len(names)))
+    assert ordering.row_index_by(df.limit(0), ["name"]).count() == 0
+    assert got[0].asDict().keys() == {"g", "name", "k", "row_index"}
+
+
 def test_existence_and_pairs(spark):
     wanted = spark.createDataFrame([("a",), ("b",)], "name string")
     listing = spark.createDataFrame([("a",), ("a",), ("c",)], "name string")

@@ -292,3 +292,18 @@ def test_create_jobs_from_configs(spark):
     assert {r.job_id: r.reason for r in down.collect()} == {
         "j3": "run config not found", "j4": "unsupported input type", "j5": "no input files",
     }
+
+
+def scans(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan")
+
+
+def test_few_scans_of_samples_and_manifests(spark, tmp_path):
+    """Numbers are made once: of all scans in a plan, those of the large inputs count."""
+    from batchloom.catalog import inputs, launching
+    from tests.conftest import SMALL
+
+    assert scans(inputs.chunk_jobs(spark, SMALL)) <= 3
+    assert scans(launching.job_array_rows(spark, SMALL)) <= 8
+    assert scans(launching.job_array_rejects(spark, SMALL)) <= 8
+    assert scans(launching.prepared_jobs_run(spark, SMALL)) <= 16

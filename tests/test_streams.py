@@ -245,10 +245,10 @@ def test_triggers_are_carried_out_and_a_repeated_batch_changes_nothing(spark, tm
     def all_rows():
         return {n: sorted(read_table(spark, getattr(sinks, n)).collect()) for n in ("routes", "tasks", "lists", "triggers", "jobs", "rejects", "short_inputs")}
 
-    def broken(rows, path, batch_id, writer):
+    def broken(rows, path, batch_id, writer, layout=None):
         if path == sinks.triggers:
             raise Lost("the last table of the batch")
-        tables.write_batch(rows, path, batch_id, writer)
+        tables.write_batch(rows, path, batch_id, writer, layout)
 
     with monkeypatch.context() as m:
         m.setattr(runner, "write_batch", broken)
