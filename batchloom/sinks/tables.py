@@ -165,7 +165,8 @@ def _write(df: DataFrame, path: str, batch_id: int, writer: str, replaces: list[
     if layout:
         _sorted_by(df, layout).partitionBy(cut).parquet(f"{path}/{folder}")
     elif cut:
-        df.withColumn(cut, F.to_date("timestamp")).write.partitionBy(cut).parquet(f"{path}/{folder}")
+        by_day = df.withColumn(cut, F.to_date("timestamp")).hint("rebalance", cut)  # few files per day
+        by_day.write.partitionBy(cut).parquet(f"{path}/{folder}")
     else:
         df.write.parquet(f"{path}/{folder}")
     folders = [folder] if _visible(spark, f"{path}/{folder}") else []
@@ -218,11 +219,8 @@ def compact_in_place(
 
 def _in_few_files(rows: DataFrame, schema: T.StructType, layout: Layout | None) -> DataFrame:
     rows = rows.select(*schema.fieldNames())
-    if layout:
-        return rows  # its write gathers the rows
-    if "timestamp" not in rows.columns:
-        return rows.hint("rebalance")
-    return rows.withColumn("__day", F.to_date("timestamp")).hint("rebalance", "__day").drop("__day")
+    # Tables that are cut have their rows gathered by the write.
+    return rows if layout or "timestamp" in rows.columns else rows.hint("rebalance")
 
 
 def truncate(spark: SparkSession, path: str, schema: T.StructType) -> None:
