@@ -36,6 +36,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from batchloom.llm import textscan
 from batchloom.llm.byte_bpe import Codec, Vocabulary
 from batchloom.llm.common import map_batches, stored
 
@@ -240,18 +241,6 @@ class Aligned:
             begin = stop
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    begin, total = 0, 0
-    for i, size in enumerate(sizes):
-        if i > begin and total + size > PIECE:
-            yield batch.slice(begin, i - begin)
-            begin, total = i, 0
-        total += size
-    if begin < len(sizes):
-        yield batch.slice(begin)
-
-
 def _lists(values: np.ndarray, stops: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], stops)), pa.int32()), pa.array(values, pa.int32()))
 
@@ -269,7 +258,7 @@ class Aligner:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for part in _slices(batch):
+                for part in textscan.slices(batch, PIECE):
                     found = Aligned(tokenizers_of(shared), part.column("text").to_pylist())
                     a_sizes, b_sizes = found.sizes()
                     lists = [_lists(found.a, found.a_stop), _lists(found.b, found.b_stop), _lists(a_sizes, found.stop), _lists(b_sizes, found.stop)]
@@ -291,7 +280,7 @@ class Aligner:
             ids = None
             for batch in batches:
                 ids = batch.schema.field("doc_id").type
-                for part in _slices(batch):
+                for part in textscan.slices(batch, PIECE):
                     found = Aligned(tokenizers, part.column("text").to_pylist())
                     links = found.links(shared.value)
                     total += np.bincount(links, minlength=pairs)

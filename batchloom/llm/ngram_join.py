@@ -11,7 +11,9 @@ Two documents link when 100 * |X and Y| >= percent * |X or Y|.
    So frequencies are counted for these tokens only, over all documents. A set
    whose first tokens are all its own links with nothing and is dropped here.
 3. Answers of a list's leader (the set with the fewest tokens of its own): its
-   overlap with every set of the list is computed, one comparison per set.
+   overlap with the sets of the list is computed. A set meets the leader of most of
+   its lists first; other leaders only if they are not near the same one, so in a group of
+   near copies it meets one.
 4. Answers of all others are derived from these. Of sets near the same leader
    only the differences to it are looked at: what two sets share of these, with
    their overlaps with the leader, is what they share at all. An index of the
@@ -20,7 +22,10 @@ Two documents link when 100 * |X and Y| >= percent * |X or Y|.
    overlaps c(X), c(Y) with its leader, |X and Y| is at least
    c(X) + c(Y) - |leader| and at most c(X) + |Y| - c(Y) and c(Y) + |X| - c(X), which
    proves or rules out most. Pairs already connected are not looked at.
-5. For these, lists are cut into blocks by size, position and overlap. A pair of
+   Of the pairs of a set and a component, the likeliest is compared first; if it links,
+   the others say no more.
+5. For these, lists are cut into blocks by size, position and overlap, of about
+   ``BLOCK_ROWS`` entries, and blocks meet blocks of the sizes that can link. A pair of
    blocks is skipped when their sizes, their positions (what is left behind them
    is too short), their overlaps or their one common component rule out all pairs.
 
@@ -38,6 +43,7 @@ table gives an empty table. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +60,7 @@ _LIMIT = int(SHARE * 2**64)
 _TABLE = textscan.byte_table(textscan.not_blank, lower=True)
 BLOCK_ROWS = 64  # entries of a block, about
 NEAR_PERCENT = 50  # similarity from which a set's differences to its leader are listed
+SECOND_LEADERS = 2  # more leaders that sets near a leader, but not linked, are compared with
 FILTER_WORDS = 1 << 20  # 64-bit words of the node filter: 8 MB, whatever the corpus
 
 
@@ -89,14 +96,12 @@ def _node(tokens: np.ndarray) -> int | None:
 def _first_tokens(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = textscan.utf8(batch.column("text"))
-            for begin, end in textscan.in_pieces(texts):
-                sets = _sets(texts[begin:end], n)
+            for part in textscan.slices(batch):
+                sets = _sets(textscan.utf8(part.column("text")), n)
                 few = [
                     s[: max(int(np.searchsorted(s, np.uint64(_LIMIT))), prefix_length(len(s), percent))] if len(s) else s
                     for s in sets
                 ]
-                part = batch.slice(begin, end - begin)
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 nodes = pa.array([_node(s) for s in sets], pa.int64())
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in few]))).astype(np.int32)
@@ -121,9 +126,8 @@ def _whole_sets(n: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = wanted.value
         for batch in batches:
-            texts = textscan.utf8(batch.column("text"))
-            for begin, end in textscan.in_pieces(texts):
-                sets = [(s, _node(s)) for s in _sets(texts[begin:end], n)]
+            for part in textscan.slices(batch):
+                sets = [(s, _node(s)) for s in _sets(textscan.utf8(part.column("text")), n)]
                 sets = [(s, k) for s, k in sets if k is not None]
                 keys = np.array([k for _, k in sets], dtype=np.int64).view(np.uint64)
                 good = np.ones(len(keys), dtype=bool)
@@ -222,29 +226,55 @@ def most_differing(size: Column, percent: int) -> Column:
 
 
 def leader_answers(lists: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """Overlaps of the leader of each list with the sets of the list, each pair once.
+    """Overlaps of leaders of lists with sets of their lists, each pair once; written.
 
     Columns a (leader), rank_a, b, size_a, size_b, overlap, near and delta. For a set
     near its leader, ``delta`` holds the tokens that tell the two apart.
     Leaders are the same in most lists of a group of near copies, since they are
-    ranked by the share of tokens of their own.
+    ranked by the share of tokens of their own. A set is first compared with the leader
+    of most of its lists. Of its other leaders, those near the same leader are left
+    out: their pairs with the set are found by the differences to that one.
     """
     leaders = lists.groupBy("token").agg(F.min(_rank()).alias("lead"))
-    pairs = (
+    met = (
         lists.join(leaders, "token")
         .where((F.col("node") != F.col("lead.node")) & sizes_fit(F.col("size"), F.col("lead.size"), percent))
-        .select(
+        .groupBy(
             F.col("lead.node").alias("a"), F.col("lead.share").alias("rank_a"), F.col("node").alias("b"),
             F.col("lead.size").alias("size_a"), F.col("size").alias("size_b"),
         )
-        .distinct()
+        .agg(F.count("*").alias("votes"))
     )
+    met = stored(met, "leader-meetings")
+    most = F.min(F.struct((-F.col("votes")).alias("less"), "rank_a", "a"))
+    chosen = met.groupBy(F.col("b").alias("__b")).agg(most["a"].alias("__a"))
+    marked = met.join(chosen, met["b"] == chosen["__b"]).withColumn("chosen", F.col("a") == F.col("__a"))
+    marked = marked.drop("__a", "__b", "votes")
+    first = stored(_answered(marked.where("chosen").drop("chosen"), whole), "first-answers")
+    home = homes(first)
+    others = marked.where(~F.col("chosen")).drop("chosen")
+    for side in ("a", "b"):
+        of = home.select(F.col("node").alias(side), F.col("home").alias(f"home_{side}"))
+        others = others.join(of, side, "left").withColumn(f"home_{side}", F.coalesce(f"home_{side}", side))
+    others = others.where(F.col("home_a") != F.col("home_b")).drop("home_a", "home_b")
+    return first.unionByName(stored(_answered(others, whole), "other-answers"))
+
+
+def _answered(pairs: DataFrame, whole: DataFrame) -> DataFrame:
     delta = F.concat(F.array_except("tokens_b", "tokens_a"), F.array_except("tokens_a", "tokens_b"))
     found = _with_sets(pairs, whole).select(*pairs.columns, _overlap().alias("overlap"), delta.alias("delta"))
     near = 100 * F.col("overlap") >= NEAR_PERCENT * (F.col("size_a") + F.col("size_b") - F.col("overlap"))
     return found.withColumn("near", near).withColumn("delta", F.when(near, F.col("delta")))
 
 
+def homes(answers: DataFrame) -> DataFrame:
+    """The first, in one order of all leaders, of the leaders near a set and itself if it is one: node, home."""
+    leader = F.struct(F.col("rank_a").alias("rank"), F.col("a").alias("a"))
+    near = answers.where("near").select(F.col("b").alias("node"), leader.alias("leader"))
+    own = answers.select(F.col("a").alias("node"), leader.alias("leader")).distinct()
+    return near.unionByName(own).groupBy("node").agg(F.min("leader")["a"].alias("home"))
+
+
 def _rank() -> Column:
     return F.struct((F.col("own") / F.col("size")).alias("share"), F.col("node").alias("node"), F.col("size").alias("size"))
 
@@ -301,6 +331,7 @@ def pairs_by_delta(near: DataFrame, percent: int) -> DataFrame:
     the others by their number of holders in the group. So sets that differ from
     L in their own ways never meet, and few lists are long.
     """
+    near = stored(near, "near-answers")
     each = near.select(
         F.col("a").alias("leader"), F.col("b").alias("node"), "label", F.explode("delta").alias("token")
     )
@@ -326,6 +357,7 @@ def pairs_by_delta(near: DataFrame, percent: int) -> DataFrame:
         "leader", F.col("x.token").alias("token"), "lead_size",
         F.struct("node", "size", "overlap", "label", (F.col("behind") - F.col("i")).alias("left")).alias("p"),
     )
+    entries = stored(entries, "differences")
     y = entries.select("leader", "token", F.col("p").alias("q"))
     p, q = F.col("p"), F.col("q")
     wanted = needed(p["size"], q["size"], percent) + F.col("lead_size") - p["overlap"] - q["overlap"]
@@ -334,27 +366,60 @@ def pairs_by_delta(near: DataFrame, percent: int) -> DataFrame:
         (F.col("x.leader") == F.col("y.leader")) & (F.col("x.token") == F.col("y.token")) & (p["node"] < q["node"])
         & (p["label"] != q["label"]) & sizes_fit(p["size"], q["size"], percent) & (F.least(p["left"], q["left"]) >= wanted),
     )
-    return met.select(p["node"].alias("a"), q["node"].alias("b"), (p["size"] + q["size"]).alias("sizes")).distinct()
+    return met.select(
+        p["node"].alias("a"), q["node"].alias("b"), (p["size"] + q["size"]).alias("sizes"),
+        p["label"].alias("label_a"), q["label"].alias("label_b"), (p["overlap"] + q["overlap"] - F.col("lead_size")).alias("sure"),
+    ).groupBy("a", "b", "sizes", "label_a", "label_b").agg(F.max("sure").alias("sure"))
+
+
+def list_blocks(entries: DataFrame) -> DataFrame:
+    """Blocks of about ``BLOCK_ROWS`` entries of one list, near in size, position and overlap with the leader.
+
+    Those of one home lie together: a home with more entries in a cell than a block
+    holds has blocks of its own, the others share blocks by the hash of their home. A cell of
+    R entries has about R / ``BLOCK_ROWS`` blocks.
+    """
+    cell = entries.select(
+        "*",
+        F.floor(F.log2(F.col("size")) * 4).cast("int").alias("size_class"),
+        F.floor(F.log2(F.col("pos") + 1)).cast("int").alias("pos_class"),
+        F.coalesce(F.floor(10 * F.col("overlap") / F.col("size")).cast("int"), F.lit(-1)).alias("overlap_class"),
+    )
+    classes = ["token", "size_class", "pos_class", "overlap_class"]
+    own = cell.groupBy(*classes, "home").agg(F.count("*").alias("own_rows"))
+    shared = F.sum(F.when(F.col("own_rows") <= BLOCK_ROWS, F.col("own_rows")))
+    rest = own.groupBy(*classes).agg(F.ceil(shared / BLOCK_ROWS).alias("parts"))
+    large = F.col("own_rows") > BLOCK_ROWS
+    placed = cell.join(own, [*classes, "home"]).join(rest, classes).select(
+        *cell.columns,
+        F.when(large, F.col("home")).alias("of_home"),
+        F.when(large, F.pmod(F.xxhash64("node"), F.ceil(F.col("own_rows") / BLOCK_ROWS)))
+        .otherwise(F.pmod(F.xxhash64("home"), F.col("parts"))).alias("part"),
+    )
+    blocks = placed.groupBy(*classes, "of_home", "part", "lead_size").agg(
+        F.collect_list(F.struct("node", "size", "pos", "label", "home", "overlap")).alias("rows"),
+        F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("pos"),
+        F.min("label").alias("label_low"), F.max("label").alias("label_high"),
+        F.min("home").alias("home_low"), F.max("home").alias("home_high"),
+        F.max("overlap").alias("held"), F.max(F.col("size") - F.col("overlap")).alias("away"),
+    )
+    return blocks.withColumn("id", F.struct("size_class", "pos_class", "overlap_class", "of_home", "part"))
 
 
 def pairs_by_block(lists: DataFrame, answers: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components and without a common home: a, b, sizes, linked.
 
-    ``linked`` is true if the leader's answers prove the link. A set's home is
-    the first, in one order of all leaders, of the leaders near it and itself if
-    it is one; so sets of a group of near copies have one home, even those that
-    lead a list. Pairs of one home are left to ``pairs_by_delta``.
+    ``linked`` is true if the leader's answers prove the link. Sets of a group of near
+    copies have one home (``homes``), even those that lead a list. Pairs of one home
+    are left to ``pairs_by_delta``.
     """
-    leader = F.struct(F.col("rank_a").alias("rank"), F.col("a").alias("a"))
-    near = answers.where("near").select(F.col("b").alias("node"), leader.alias("leader"))
-    own = answers.select(F.col("a").alias("node"), leader.alias("leader")).distinct()
-    home = near.unionByName(own).groupBy("node").agg(F.min("leader")["a"].alias("home"))
     entries = (
         lists.join(labels.select("node", "label"), "node", "left")
-        .join(home, "node", "left")
+        .join(homes(answers), "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
         .withColumn("home", F.coalesce("home", "node"))
     )
+    entries = stored(entries, "list-entries")
     # Lists of one component, or of one home, have no more to say.
     whole_lists = entries.groupBy("token").agg(
         F.min("label").alias("low"), F.max("label").alias("high"), F.min("home").alias("home_low"), F.max("home").alias("home_high"),
@@ -369,30 +434,11 @@ def pairs_by_block(lists: DataFrame, answers: DataFrame, labels: DataFrame, perc
         .withColumn("overlap", F.when(F.col("node") == F.col("leader"), F.col("size")).otherwise(F.col("overlap")))
         .select("token", "node", "size", "pos", "label", "home", "overlap", F.col("lead.size").alias("lead_size"))
     )
-    # Blocks: entries of one list that are near in size, position and overlap with
-    # the leader, a bounded number each. Those of one home lie together.
-    cell = entries.select(
-        "*",
-        F.floor(F.log2(F.col("size")) * 4).cast("int").alias("size_class"),
-        F.floor(F.log2(F.col("pos") + 1)).cast("int").alias("pos_class"),
-        F.floor(10 * F.col("overlap") / F.col("size")).cast("int").alias("overlap_class"),
-    )
-    classes = ["token", "size_class", "pos_class", "overlap_class"]
-    counts = cell.groupBy(*classes).agg(F.count("*").alias("rows"))
-    c = counts.select(*[F.col(k).alias(f"c_{k}") for k in classes], "rows")
-    same = [F.col(k).eqNullSafe(F.col(f"c_{k}")) for k in classes]
-    salted = cell.join(c, same).withColumn("salt", F.pmod(F.xxhash64("home"), F.ceil(F.col("rows") / BLOCK_ROWS)))
-    salted = salted.withColumn("part", F.when(F.col("rows") > BLOCK_ROWS, F.pmod(F.xxhash64("node"), F.ceil(F.col("rows") / BLOCK_ROWS))).otherwise(0))
-    away = F.col("size") - F.col("overlap")
-    blocks = salted.groupBy(*classes, "salt", "part", "lead_size").agg(
-        F.collect_list(F.struct("node", "size", "pos", "label", "home", "overlap")).alias("rows"),
-        F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("pos"),
-        F.min("label").alias("label_low"), F.max("label").alias("label_high"),
-        F.min("home").alias("home_low"), F.max("home").alias("home_high"),
-        F.max("overlap").alias("held"), F.max(away).alias("away"),
-    )
-    blocks = blocks.withColumn("id", F.struct("size_class", "pos_class", "overlap_class", "salt", "part"))
-    x, y = blocks.alias("x"), blocks.drop("lead_size").alias("y")
+    blocks = stored(list_blocks(entries), "list-blocks")
+    # Blocks meet those of their own size class and of the next ones that can link.
+    reach = int(4 * math.log2(100 / percent)) + 1
+    x = blocks.withColumn("with", F.explode(F.sequence(F.col("size_class"), F.col("size_class") + reach))).alias("x")
+    y = blocks.drop("lead_size").alias("y")
 
     def one(name: str) -> Column:
         low, high = F.col(f"x.{name}_low"), F.col(f"x.{name}_high")
@@ -408,7 +454,7 @@ def pairs_by_block(lists: DataFrame, answers: DataFrame, labels: DataFrame, perc
         one("label") | one("home") | (room < needed(F.col("x.low"), F.col("y.low"), percent))
         | (100 * F.col("x.high") < percent * F.col("y.low")) | (100 * F.col("y.high") < percent * F.col("x.low"))
     )
-    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.id") <= F.col("y.id")) & ~skip)
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.with") == F.col("y.size_class")) & (F.col("x.id") <= F.col("y.id")) & ~skip)
 
     def possible(p: Column, q: Column) -> Column:
         at_most = F.least(
@@ -421,17 +467,20 @@ def pairs_by_block(lists: DataFrame, answers: DataFrame, labels: DataFrame, perc
         )
 
     def pair(p: Column, q: Column) -> Column:
-        at_least = p["overlap"] + q["overlap"] - F.col("lead_size")
+        at_least = F.coalesce(p["overlap"] + q["overlap"] - F.col("lead_size"), F.lit(0).cast("long"))
+        in_order = p["node"] < q["node"]
         return F.struct(
             F.least(p["node"], q["node"]).alias("a"), F.greatest(p["node"], q["node"]).alias("b"), (p["size"] + q["size"]).alias("sizes"),
-            F.coalesce(at_least >= needed(p["size"], q["size"], percent), F.lit(False)).alias("linked"),
+            F.when(in_order, p["label"]).otherwise(q["label"]).alias("label_a"),
+            F.when(in_order, q["label"]).otherwise(p["label"]).alias("label_b"),
+            at_least.alias("sure"), (at_least >= needed(p["size"], q["size"], percent)).alias("linked"),
         )
 
     def with_others(p: Column) -> Column:
         return F.transform(F.filter(F.col("y.rows"), lambda q: possible(p, q)), lambda q: pair(p, q))
 
     pairs = met.select(F.explode(F.flatten(F.transform(F.col("x.rows"), with_others))).alias("pair")).select("pair.*")
-    return pairs.groupBy("a", "b", "sizes").agg(F.max("linked").alias("linked"))
+    return pairs.groupBy("a", "b", "sizes", "label_a", "label_b").agg(F.max("sure").alias("sure"), F.max("linked").alias("linked"))
 
 
 def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
@@ -442,19 +491,73 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     texts = docs.select("text").where(F.col("text").isNotNull())
     whole = map_batches(texts, _whole_sets(n, wanted), "node bigint, tokens array<bigint>").dropDuplicates(["node"])
     whole = stored(whole.join(lists.select("node").distinct(), "node"), "whole-sets")
-    answers = stored(leader_answers(lists, whole, percent), "leader-answers")
+    answers = leader_answers(lists, whole, percent)
     link = F.col("overlap") >= needed(F.col("size_a"), F.col("size_b"), percent)
-    links = answers.where(link).select("a", "rank_a", "b")
+    links = stored(answers.where(link).select("a", "rank_a", "b"), "leader-links")
+    tried = links.select(F.col("a").alias("node")).limit(0)
+    for k in range(SECOND_LEADERS):
+        found, leads = second_links(answers, links, tried, whole, percent, 2.0 + k)
+        links, tried = links.unionByName(found), tried.unionByName(leads)
     first = stored(first_leaders(links), "first-leaders")
     labels = stored(star_labels(first), "star-labels")
     near = pairs_by_delta(labelled_answers(answers, labels), percent).withColumn("linked", F.lit(False))
     far = pairs_by_block(lists, answers.drop("delta"), labels, percent)
     pairs = stored(far.unionByName(near), "derived-pairs")
     proved = pairs.where("linked").select("a", "b")
-    rest = overlaps(pairs.where(~F.col("linked")).select("a", "b", "sizes").distinct(), whole)
+    open_pairs = pairs.where(~F.col("linked")).groupBy("a", "b", "sizes", "label_a", "label_b").agg(F.max("sure").alias("sure"))
+    best = stored(linked_pairs(best_pairs(open_pairs), whole, percent), "best-pairs")
+    more = linked_pairs(still_open(open_pairs, best), whole, percent)
+    links = spanning(links, first).unionByName(proved).unionByName(best.select("a", "b")).unionByName(more.select("a", "b"))
+    return components(links)
+
+
+def second_links(
+    answers: DataFrame, links: DataFrame, tried: DataFrame, whole: DataFrame, percent: int, rank: float
+) -> tuple[DataFrame, DataFrame]:
+    """Links of one more leader per first leader, and these leaders.
+
+    Sets that are near a leader but link with none may well link with each other. Of
+    those the nearest is compared with the others, so that most get one label before
+    pairs are looked at. Second leaders rank behind all first ones.
+    """
+    done = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).unionByName(tried)
+    left = answers.where("near").select("a", F.col("b").alias("node"), F.col("size_b").alias("size"), "overlap")
+    left = left.join(done.distinct(), "node", "left_anti")
+    lead = left.groupBy("a").agg(F.max(F.struct("overlap", "node", "size")).alias("lead"))
+    pairs = (
+        left.join(lead, "a")
+        .where((F.col("node") != F.col("lead.node")) & sizes_fit(F.col("size"), F.col("lead.size"), percent))
+        .select(F.col("lead.node").alias("a"), F.col("node").alias("b"), F.col("lead.size").alias("size_a"), F.col("size").alias("size_b"))
+        .distinct()
+    )
+    linked = F.col("overlap") >= needed(F.col("size_a"), F.col("size_b"), percent)
+    found = overlaps(pairs, whole).where(linked).select("a", F.lit(rank).alias("rank_a"), "b")
+    return stored(found, "second-links"), stored(lead.select("lead.node").distinct(), "second-leaders")
+
+
+def linked_pairs(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs that link, by comparing their sets."""
     least = F.floor((F.lit(percent) * F.col("sizes") + F.lit(100 + percent - 1)) / F.lit(100 + percent)).cast("long")
-    more = rest.where(F.col("overlap") >= least).select("a", "b")
-    return components(spanning(links, first).unionByName(proved).unionByName(more))
+    found = overlaps(pairs.select("a", "b", "sizes", "label_a", "label_b"), whole)
+    return found.where(F.col("overlap") >= least).select("a", "b", "label_a", "label_b")
+
+
+def best_pairs(pairs: DataFrame) -> DataFrame:
+    """Per set and component the pair that the leader's answers say most of."""
+    columns = ["sure", "a", "b", "sizes", "label_a", "label_b"]
+    best = F.max(F.struct(*columns)).alias("best")
+    of_a, of_b = pairs.groupBy("a", "label_b").agg(best), pairs.groupBy("b", "label_a").agg(best)
+    return of_a.select("best.*").unionByName(of_b.select("best.*")).distinct()
+
+
+def still_open(pairs: DataFrame, linked: DataFrame) -> DataFrame:
+    """Pairs of a set and a component that no linked pair has connected."""
+    known = linked.select(F.col("a").alias("node"), F.col("label_b").alias("label")).unionByName(
+        linked.select(F.col("b").alias("node"), F.col("label_a").alias("label"))
+    ).distinct()
+    of_a = known.select(F.col("node").alias("a"), F.col("label").alias("label_b"))
+    of_b = known.select(F.col("node").alias("b"), F.col("label").alias("label_a"))
+    return pairs.join(of_a, ["a", "label_b"], "left_anti").join(of_b, ["b", "label_a"], "left_anti")
 
 
 def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -468,6 +571,7 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sets = map_batches(rows, _first_tokens(n, percent), f"key binary, doc_id {id_type}, size bigint, node bigint, tokens array<bigint>")
     sets = stored(sets, "shingle-sets")
     nodes = sets.where(F.col("node").isNotNull()).select("node", "size", "tokens").dropDuplicates(["node"])
+    nodes = stored(nodes, "nodes")
     labels = linked_nodes(nodes, docs, n, percent)
     placed = sets.select("key", "doc_id", "size", "node").join(labels, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node"))

@@ -34,6 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.llm import textscan
 from batchloom.llm.common import map_batches, stored
 from batchloom.operators.ordering import row_index_by
 
@@ -41,6 +42,7 @@ BUCKETS = 10_000
 LEAST_WORDS = 20
 PERCENT = 10
 SEED = 2024
+PIECE = 8 << 20  # bytes of text that are worked on at once
 # What separates words: all of ASCII but letters and digits.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -88,26 +90,13 @@ class Features:
         return out
 
 
-def _pieces(batch: pa.RecordBatch, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in slices of some MB of text, a long text on its own."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
-    begin, total = 0, 0
-    for i, size in enumerate(sizes):
-        if i > begin and total + size > most:
-            yield batch.slice(begin, i - begin)
-            begin, total = i, 0
-        total += size
-    if begin < len(sizes):
-        yield batch.slice(begin)
-
-
 def bucket_counts(texts: DataFrame, low: int = 1, high: int = 1, buckets: int = BUCKETS) -> DataFrame:
     """Features of all texts per bucket: bucket, n. Buckets without a feature are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, dtype=np.int64)
         for batch in batches:
-            for part in _pieces(batch):
+            for part in textscan.slices(batch, PIECE):
                 total += np.bincount(Features(part.column("text"), low, high, buckets).bucket, minlength=buckets)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(total[found], pa.int64())], ["bucket", "n"])
@@ -138,7 +127,7 @@ def weighed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in _pieces(batch):
+            for part in textscan.slices(batch, PIECE):
                 found = Features(part.column("text"), low, high, buckets)
                 n_features = np.bincount(found.owner, minlength=found.n_texts)
                 numbers = [pa.array(x, pa.int64()) for x in (found.n_words, n_features, found.sums(shared.value))]

@@ -120,6 +120,21 @@ def in_pieces(texts: Sequence[bytes | None]) -> Iterator[tuple[int, int]]:
         yield begin, len(texts)
 
 
+def slices(batch, most: int = PIECE):
+    """Slices of an Arrow batch with about ``most`` bytes of text together, a long text on its own."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+    begin, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > begin and total + size > most:
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += size
+    if begin < len(sizes):
+        yield batch.slice(begin)
+
+
 def utf8(column) -> list[bytes | None]:
     """An Arrow column of texts as bytes."""
     import pyarrow as pa

@@ -74,6 +74,40 @@ def test_passage_shared_by_all(spark):
     check_components(spark.createDataFrame(rows, DOC))
 
 
+def test_blocks_of_a_long_list(spark):
+    """10,000 sets of one list: about one block per 64, whether each has a home of its own or all have one."""
+    columns = [F.lit(1).alias("token"), F.col("id").alias("node"), F.lit(100).alias("size"), F.lit(0).alias("pos"), F.col("id").alias("label")]
+    rest = [F.lit(90).alias("overlap"), F.lit(100).alias("lead_size")]
+    nodes = spark.range(10_000)
+    for home in (F.col("id"), F.lit(5).cast("long"), F.col("id") % 100, F.col("id") % 1000):
+        blocks = ngram_join.list_blocks(nodes.select(*columns, home.alias("home"), *rest))
+        sizes = [r.n for r in blocks.select(F.size("rows").alias("n")).collect()]
+        assert sum(sizes) == 10_000 and len(sizes) <= 2 * 157 and max(sizes) <= 4 * ngram_join.BLOCK_ROWS
+
+
+def test_a_set_meets_few_leaders(spark):
+    """Near copies that all differ a little: comparisons follow the sets, not the leaders."""
+    import random
+
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for doc_id in range(400):
+        words = list(base)
+        for _ in range(8):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+        rows.append((doc_id, " ".join(words), "s"))
+    docs = spark.createDataFrame(rows, DOC)
+    seen = []
+    real = ngram_join._answered
+    ngram_join._answered = lambda pairs, whole: (seen.append(pairs.count()), real(pairs, whole))[1]
+    try:
+        check_components(docs, 4, 85)
+    finally:
+        ngram_join._answered = real
+    assert sum(seen) <= 4 * len(rows)
+
+
 def test_deduplicated(spark, odd):
     docs = odd.unionByName(odd).withColumn("node", F.lit(1)).withColumn("key", F.lit(2))
     out = ngram_join.deduplicated(docs)
