@@ -5,21 +5,27 @@ included), hashed into ``BUCKETS``. A text is the mean of the embeddings of all
 its subwords; a linear layer and softmax give a probability per language. Both
 are trained by stochastic gradient descent in numpy, on a bounded sample of
 labelled documents: at most ``per_lang`` of each language, those with the lowest
-hashes of their ids. A fifth of the sample sets the temperature of the softmax
-and the limit below which a prediction is rejected: the score that all but
-``reject_share`` of the rightly predicted texts of this part reach, and at most
-``max_limit``. Subwords that were never seen count nothing, so texts of unknown
-languages score near 1 / languages and are rejected.
+hashes of their ids. A fifth of the sample calibrates the model: the temperature of the
+softmax, and when a prediction is rejected.
+
+A text is rejected if its score is near chance (below the mean, by ratio, of chance and the score
+that all but ``reject_share`` of the rightly predicted texts reach), or if it is not typical of
+the predicted language. How typical it is tells the mean logarithm of the shares that its subwords have in the language,
+against that of the language's own texts. The limit of this gap lies between what
+all but ``reject_share`` of the known texts keep below, and what texts of a language left out,
+each in turn, are above. So texts in a language that was not learned are rejected also where
+the softmax is sure, as it often is between two languages.
 
 Prediction runs over whole texts in tasks; the model that is broadcast has
-``BUCKETS`` x languages numbers, whatever the corpus.
+2 x ``BUCKETS`` x languages numbers, whatever the corpus.
 
 Defined cases: null texts and texts without letters are ``und`` with score 0, and
 rejected. Without any labelled document, all texts are. Of more than ``max_langs``
 languages those with most documents are learned, a bound on the model's memory;
 texts in the others are judged like those of any unknown language. Equal texts have equal
-results; ids may repeat or be null (a null id is never learned from). Other
-columns pass through ``recognised``. An empty table gives an empty table.
+results; ids may repeat or be null (a null id is never learned from; of rows with one id and
+language, the one with the least hash of its text is). Other columns pass through ``recognised``
+with their values, whatever their names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -33,7 +39,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from batchloom.llm import textscan
 from batchloom.llm.common import map_batches
 
 BUCKETS = 1 << 16
@@ -92,26 +100,48 @@ class Model:
     langs: list[str]
     logits: np.ndarray  # BUCKETS x languages: embedding times linear layer
     bias: np.ndarray
+    typical: np.ndarray  # BUCKETS x languages: logarithms of shares
     temperature: float = 1.0
     limit: float = 0.0
+    usual: np.ndarray | float = 0.0  # how typical the texts of each language are
+    gap: float = np.inf  # how much less a text may be
 
     def scores(self, texts: list[str]) -> np.ndarray:
         """Probabilities, a row per text."""
-        buckets, counts = subwords(texts)
-        z = np.tile(self.bias, (len(texts), 1))
+        return self._scores(*subwords(texts))
+
+    def _scores(self, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        z = np.tile(self.bias, (len(counts), 1))
         some = np.flatnonzero(counts)
         if len(some):
-            starts = np.concatenate(([0], np.cumsum(counts)[:-1]))[some]
-            z[some] += np.add.reduceat(self.logits[buckets], starts, axis=0, dtype=np.float64) / counts[some, None]
+            z[some] += np.add.reduceat(self.logits[buckets], _starts(counts), axis=0, dtype=np.float64) / counts[some, None]
         return softmax(z / self.temperature)
 
+    def judged(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Predicted language (its number), score, and whether it is rejected, per text."""
+        buckets, counts = subwords(texts)
+        p = self._scores(buckets, counts)
+        best, score = p.argmax(axis=1), p.max(axis=1)
+        rejected = score < self.limit
+        some = np.flatnonzero(counts)
+        if len(some):
+            own = self.typical[buckets, np.repeat(best, counts)]
+            mean = np.add.reduceat(own, _starts(counts), dtype=np.float64) / counts[some]
+            rejected[some] |= np.broadcast_to(self.usual, len(self.langs))[best[some]] - mean > self.gap
+        return best, score, rejected
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    """Where the subwords of each text that has some begin."""
+    return np.concatenate(([0], np.cumsum(counts)[:-1]))[counts > 0].astype(np.int64)
+
 
 def softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def trained(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int, rate: float, reject_share: float, max_limit: float, seed: int) -> Model:
+def trained(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int, rate: float, reject_share: float, seed: int) -> Model:
     """A model of rows (language, buckets, counts), in the order given."""
     langs = sorted({r[0] for r in rows})
     k = len(langs)
@@ -142,28 +172,51 @@ def trained(rows: list[tuple[str, np.ndarray, np.ndarray]], epochs: int, rate: f
             # The step is scaled so that it moves texts of any length alike.
             embeddings[buckets] -= (eta / (share @ share)) * share[:, None] * grad
             step += 1
-    model = Model(langs, (embeddings @ layer).astype(np.float32), bias)
-    calibrate(model, held or rows, reject_share, max_limit)
+    model = Model(langs, (embeddings @ layer).astype(np.float32), bias, shares(langs, learn))
+    calibrate(model, held or rows, reject_share)
     return model
 
 
-def calibrate(model: Model, rows: list[tuple[str, np.ndarray, np.ndarray]], reject_share: float, max_limit: float) -> None:
-    """Set temperature (least loss on these rows) and limit of the model."""
+def shares(langs: list[str], rows: list[tuple[str, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Logarithms of the shares of all subwords in each language; every document weighs the same."""
+    total = np.full((BUCKETS, len(langs)), 0.5 / BUCKETS)
+    for lang, buckets, counts in rows:
+        if len(buckets):
+            total[buckets, langs.index(lang)] += counts / counts.sum()
+    return np.log(total / total.sum(axis=0)).astype(np.float32)
+
+
+def calibrate(model: Model, rows: list[tuple[str, np.ndarray, np.ndarray]], reject_share: float) -> None:
+    """Set temperature (least loss on these rows) and the limits of rejection of the model."""
     rows = [r for r in rows if len(r[1])]
     if not rows:
         return
-    z = np.array([(c / c.sum()) @ model.logits[b] + model.bias for _, b, c in rows])
+    weights = [c / c.sum() for _, _, c in rows]
+    z = np.array([w @ model.logits[b] + model.bias for w, (_, b, _) in zip(weights, rows)])
+    typical = np.array([w @ model.typical[b] for w, (_, b, _) in zip(weights, rows)])
     right = np.array([model.langs.index(lang) for lang, _, _ in rows])
-    at = np.arange(len(rows))
+    at, n = np.arange(len(rows)), len(model.langs)
 
     def loss(t: float) -> float:
         return -np.log(softmax(z / t)[at, right] + 1e-12).mean()
 
     model.temperature = float(min(np.geomspace(0.2, 5, 60), key=loss))
     p = softmax(z / model.temperature)
-    best = p.max(axis=1)[p.argmax(axis=1) == right]
-    if len(best):
-        model.limit = float(min(np.quantile(best, reject_share), max_limit))
+    known = p.argmax(axis=1) == right
+    if not known.any():
+        return
+    # Between chance and what right predictions reach.
+    model.limit = float(np.sqrt(np.quantile(p.max(axis=1)[known], reject_share) / n))
+    own = typical[at, right]
+    # A language without a text here is as typical as all together.
+    model.usual = np.array([np.median(own[right == k] if (right == k).any() else own) for k in range(n)])
+    inside = np.quantile((model.usual[right] - own)[known], 1 - reject_share)
+    model.gap = float(inside)
+    if n > 1:  # every language left out in turn: its texts go to the best of the others
+        z[at, right] = -np.inf
+        other = z.argmax(axis=1)
+        outside = np.quantile(model.usual[other] - typical[at, other], 0.05)
+        model.gap = float(max(inside, (inside + outside) / 2))
 
 
 def fold(doc_id: Column) -> Column:
@@ -184,23 +237,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def learned(docs: DataFrame, max_langs: int) -> DataFrame:
-    """The languages with most documents to learn from, ties by name; all, if no more than ``max_langs``."""
-    rows = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2))
-    return rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
-
+def sample(docs: DataFrame, per_lang: int, max_langs: int) -> DataFrame:
+    """Labelled documents outside the held-out fold, at most ``per_lang`` per language: place, lang, text.
 
-def sample(docs: DataFrame, per_lang: int) -> DataFrame:
-    """Labelled documents outside the held-out fold, at most ``per_lang`` per language.
-
-    Their hashes' limits come from ids and languages alone; texts of documents
-    above the limits are not read further. At most one row per language is joined.
+    The languages are those with most documents, ties by name. Of each, ids with hashes in
+    the lowest part of the range are looked at, about twice as many as wanted, so
+    no language is ranked as a whole, and texts of the others are not read further.
     """
     rows = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 2)).withColumn("place", F.xxhash64("doc_id"))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("place").alias("ids"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(max_langs)
+    share = F.lit(2.0 * per_lang) / F.col("ids")
+    low = F.col("place") < F.lit(-(2.0**63)) + share * F.lit(2.0**64)
+    near = rows.join(F.broadcast(sizes), "lang").where((share >= 1) | low)
+    text = F.min(F.struct(F.xxhash64("text").alias("h"), "text"))
+    once = near.groupBy("lang", "place").agg(text["text"].alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    limits = rows.select("lang", "place").withColumn("rank", rank).where(F.col("rank") <= per_lang)
-    limits = limits.groupBy("lang").agg(F.max("place").alias("limit"))
-    return rows.join(F.broadcast(limits), "lang").where(F.col("place") <= F.col("limit")).select("place", "lang", "text")
+    return once.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("place", "lang", "text")
 
 
 def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
@@ -210,9 +263,9 @@ def _arrays(column: pa.ChunkedArray) -> Iterator[np.ndarray]:
             yield values[begin:end]
 
 
-def fitted(docs: DataFrame, per_lang: int = 500, max_langs: int = 400, epochs: int = 6, rate: float = 0.5, reject_share: float = 0.002, max_limit: float = 0.4, seed: int = 7) -> Model | None:
+def fitted(docs: DataFrame, per_lang: int = 500, max_langs: int = 400, epochs: int = 6, rate: float = 0.5, reject_share: float = 0.005, seed: int = 7) -> Model | None:
     """A model learned from a bounded sample; None if nothing is labelled."""
-    found = map_batches(sample(docs.join(F.broadcast(learned(docs, max_langs)), "lang", "left_semi"), per_lang), _features, "place bigint, lang string, buckets array<int>, counts array<int>")
+    found = map_batches(sample(docs, per_lang, max_langs), _features, "place bigint, lang string, buckets array<int>, counts array<int>")
     table = found.toArrow()
     places, langs = table["place"].to_pylist(), table["lang"].to_pylist()
     arrays = zip(_arrays(table["buckets"]), _arrays(table["counts"]))
@@ -222,54 +275,45 @@ def fitted(docs: DataFrame, per_lang: int = 500, max_langs: int = 400, epochs: i
         for i, (p, lang, (b, c)) in enumerate(zip(places, langs, arrays))
     )
     rows = [row for _, row in keyed]
-    return trained(rows, epochs, rate, reject_share, max_limit, seed) if rows else None
+    return trained(rows, epochs, rate, reject_share, seed) if rows else None
+
 
+RESULTS = ("lang_pred", "score", "rejected")
 
-def _predict(model):
+
+def _predict(model, names: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            begin = 0
-            while begin < len(texts):
-                end, total = begin, 0
-                while end < len(texts) and (end == begin or total + len(texts[end] or "") <= PIECE):
-                    total += len(texts[end] or "")
-                    end += 1
-                part = [t or "" for t in texts[begin:end]]
-                has = np.array([any(map(str.isalpha, t)) for t in part])
+            for part in textscan.slices(batch, PIECE):
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                has = np.array([any(map(str.isalpha, t)) for t in texts])
+                langs, score, rejected = ["und"] * len(texts), np.zeros(len(texts)), ~has
                 if m is None:
-                    langs, score = ["und"] * len(part), np.zeros(len(part))
+                    rejected[:] = True
                 else:
-                    p = m.scores(part)
-                    best = p.argmax(axis=1)
+                    best, found, unsure = m.judged(texts)
                     langs = [m.langs[b] if ok else "und" for b, ok in zip(best, has)]
-                    score = np.where(has, p.max(axis=1), 0.0)
-                rejected = ~has | (score < (m.limit if m else 1.0))
-                columns = [*batch.slice(begin, end - begin).columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)]
-                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, "lang_pred", "score", "rejected"])
-                begin = end
+                    score, rejected = np.where(has, found, 0.0), ~has | unsure
+                columns = [*part.columns, pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *names])
 
     return run
 
 
-def predicted(docs: DataFrame, model: Model | None) -> DataFrame:
-    """The documents with lang_pred, score, rejected; such columns are replaced."""
-    rows = docs.drop("lang_pred", "score", "rejected")
-    schema = _with_results(rows)
-    return map_batches(rows, _predict(docs.sparkSession.sparkContext.broadcast(model)), schema)
-
-
-def _with_results(rows: DataFrame):
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructType
-
-    return StructType([*rows.schema.fields]).add("lang_pred", StringType()).add("score", DoubleType()).add("rejected", BooleanType())
+def predicted(docs: DataFrame, model: Model | None, names: tuple[str, ...] = RESULTS) -> DataFrame:
+    """The documents with predicted language, score and rejection, under names that they do not have yet."""
+    if set(names) & set(docs.columns):
+        raise ValueError(f"columns {sorted(set(names) & set(docs.columns))} are there already")
+    schema = T.StructType([*docs.schema.fields]).add(names[0], T.StringType()).add(names[1], T.DoubleType()).add(names[2], T.BooleanType())
+    return map_batches(docs, _predict(docs.sparkSession.sparkContext.broadcast(model), names), schema)
 
 
 def recognised(docs: DataFrame, **options) -> DataFrame:
     """The documents whose language is known well enough; all columns in their order."""
     model = fitted(docs.select("doc_id", "text", "lang"), **options)
-    kept = predicted(docs, model).where(~F.col("rejected"))
+    mark = "_" * (2 + max(map(len, docs.columns)))  # no column is called that
+    kept = predicted(docs, model, tuple(mark + c for c in RESULTS)).where(~F.col(mark + "rejected"))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept.
 ``run`` writes what a stage returns as Parquet in the shared folder and gives the
-written table to the next one. The last of ``STAGES`` is a plan: it keeps every
+written table to the next one; what a stage wrote for itself goes when it is done, and its
+result when the next one is. The last of ``STAGES`` is a plan: it keeps every
 document, those with ``taken`` = 0 included, and whoever reads the rows repeats,
 cuts or leaves out documents by ``taken``.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from batchloom.llm import decontaminate, language_id, mixing, ngram_join, pii
-from batchloom.llm.common import stored
+from batchloom.session import remove, run_folder, scratch
 
 # Language ID and the near-copy classes are not expressible in SQL.
 ORACLE_SQL = None
@@ -55,7 +56,14 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to the documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = run_folder(spark, name.replace(" ", "-"))
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            remove(spark, before)
+        before = path
     return docs

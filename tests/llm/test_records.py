@@ -114,6 +114,37 @@ def test_noisy_language_tags_do_not_stop_the_query(spark):
     assert got == {r.doc_id: r.lang for r in docs.collect()}
 
 
+@pytest.mark.parametrize("left_out", ["de", "en", "es", "fr", "all but two"])
+def test_texts_in_an_unknown_language_are_rejected(spark, left_out):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    known = F.col("lang").isin("de", "fr") if left_out == "all but two" else F.col("lang") != left_out
+    model = language_id.fitted(docs.where(known))
+    rows = language_id.predicted(docs.where(F.length("text") > 20), model)
+    held = rows.where(language_id.fold(F.col("doc_id")) == 2)
+    share = F.avg(F.col("rejected").cast("double")).alias("share")
+    assert rows.where(~known).agg(share).first().share >= 0.9
+    assert held.where(known).agg(share).first().share <= 0.02
+    right = F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("share")
+    assert held.where(known & ~F.col("rejected")).agg(right).first().share >= 0.99
+
+
+def test_columns_of_the_caller_keep_their_values(spark):
+    docs = lang_docs(spark)
+    own = {c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in (*language_id.RESULTS, "place", "source")}
+    kept = language_id.recognised(docs.withColumns(own))
+    assert kept.columns == [*docs.columns, *own]
+    assert all(r[c] == f"{c}{r.doc_id}" for r in kept.collect() for c in own)
+    with pytest.raises(ValueError):
+        language_id.predicted(docs.withColumn("score", F.lit(1)), None)
+
+
+def test_sample_of_repeated_ids_is_bounded(spark):
+    rows = [(i % 5, f"text {i}", "aa") for i in range(400)] + [(1000 + i, f"x {i}", "bb") for i in range(300)] + [(2, "z", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.sample(docs, 50, 10).groupBy("lang").count().collect()
+    assert {r["lang"]: r["count"] for r in found}["bb"] == 50 and {r["lang"]: r["count"] for r in found}["aa"] <= 5
+
+
 def test_long_text_scores_as_its_parts(spark):
     model = language_id.fitted(lang_docs(spark))
     text = "schung keitver " * 100
