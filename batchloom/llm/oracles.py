@@ -53,9 +53,7 @@ line_words AS (SELECT r, source, text, line,
     {_BLANK_WORDS.format(f"translate(line, {_UPPER} || '123456789', {_LOWER} || '000000000')")} AS v FROM lines),
 plain AS (SELECT r, source, text, array_to_string(v, ' ') AS key, len(v) AS n FROM line_words),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r),
-host AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-common AS (SELECT p.source, key FROM plain p JOIN host h ON p.source IS NOT DISTINCT FROM h.source
-  GROUP BY p.source, key HAVING count(DISTINCT text) > 10 AND count(DISTINCT text) > 0.02 * any_value(texts)),
+common AS (SELECT source, key FROM plain GROUP BY source, key HAVING count(DISTINCT text) > 10),
 removed AS (SELECT r, sum(n) AS gone FROM plain p JOIN common c ON p.key = c.key AND p.source IS NOT DISTINCT FROM c.source GROUP BY r),
 places AS (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5),
 windows AS (SELECT r, i, array_to_string(w[i : i + 4], ' ') AS t FROM places),

@@ -90,7 +90,7 @@ def base_quality(text):
     )
 
 
-def line_verdicts(docs, max_docs=10, max_share=0.02, min_words=10, min_left=0.3):
+def line_verdicts(docs, max_docs=10, min_words=10, min_left=0.3):
     """(doc_id, source, text) -> {doc_id: (base figures..., kept)}."""
     digits = str.maketrans("123456789", "000000000")
 
@@ -112,10 +112,7 @@ def line_verdicts(docs, max_docs=10, max_share=0.02, min_words=10, min_left=0.3)
     out = {}
     for doc_id, source, text in docs:
         *figures, failed = base_quality(text)
-        common = sum(
-            n for line, n in lines_of(text).items()
-            if holders[source, line] > max_docs and holders[source, line] > max_share * len(texts[source])
-        )
+        common = sum(n for line, n in lines_of(text).items() if holders[source, line] > max_docs)
         left = figures[0] - common
         out[doc_id] = (*figures, failed, not failed and left >= min_words and left >= min_left * figures[0])
     return out

@@ -165,6 +165,8 @@ def test_limit_of_common_lines_does_not_grow_with_the_host(spark):
     rows += [(3_000 + i, f"another {line}\nown {'x' * i}", "h") for i in range(10)]
     docs = spark.createDataFrame(rows, DOC)
     got = {r.doc_id: (r.n_common_words, r.kept) for r in line_rules.judged(docs).collect()}
+    want = brute.line_verdicts([(r.doc_id, r.source, r.text) for r in docs.collect()])
+    assert {i: kept for i, (_, kept) in got.items()} == {i: row[-1] for i, row in want.items()}
     assert all(got[2_000 + i] == (13, False) for i in range(11))
     assert all(got[3_000 + i] == (0, True) for i in range(10)) and got[0] == (0, True)
     assert {r.doc_id: r.text for r in line_rules.cleaned(docs).collect()}[2_003] == "own xxx"
