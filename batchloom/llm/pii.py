@@ -14,11 +14,14 @@ near the entity, ``n(t)`` those with the term anywhere. The value is 1
 when the term occurs only with the entity, and 0 when they are independent.
 Terms at ``generalise_at`` or more become a class name, at ``remove_at`` or more
 they go. Pairs need ``min_support`` documents, and an entity that all documents
-hold carries no information. With ``copies_count=False`` every count is one of
-distinct texts, so exact copies under other ids are no evidence; near copies still
-are. Otherwise each different id counts. Words of fewer than ``min_chars``
-characters are no terms. ``WHOLE``, with which the query and the pipeline call,
-counts distinct texts and takes words of any length.
+hold carries no information. Every count is one of distinct texts, so exact copies
+under other ids are no evidence; near copies still are. With ``copies_count=True`` each
+different id counts. Words of fewer than ``min_chars`` characters are no terms;
+by default words of any length are. ``WHOLE`` names these defaults.
+
+Positions of matches, lines and replacements are summed up and cut in blocks, so a text with very many
+of them takes time by little more than its length. A line with many entities that occur in ``min_support`` texts
+makes a row per entity and word of it.
 
 Defined cases: null and empty texts have no spans and stay as they are. Equal
 rows give equal results; ids may repeat or be null. Other columns pass through.
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm.common import row_key, stored
-from batchloom.llm.spans import as_text, empty_spans, labelled, matches_if, replaced
+from batchloom.llm.spans import as_text, blanked, labelled, let, matches, matches_if, replaced, sums_before
 
 KINDS = ["email", "ip", "card", "phone"]
 
@@ -109,24 +112,6 @@ def _entity(s: Column) -> Column:
     return F.concat_ws(":", s["kind"], plain)
 
 
-def blanked(text: Column, spans: Column) -> Column:
-    """A text with blanks in place of the spans, so that all positions stay."""
-    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
-
-    def add(state: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], state["at"])
-        before = F.substring(text, state["at"] + 1, start - state["at"])
-        both = F.concat(state["pieces"], F.array(before, F.repeat(F.lit(" "), s["end"] - start)))
-        return F.when(s["end"] > state["at"], F.struct(s["end"].alias("at"), both.alias("pieces"))).otherwise(state)
-
-    def close(state: Column) -> Column:
-        rest = F.substring(text, state["at"] + 1, F.length(text) - state["at"])
-        return F.array_join(F.concat(state["pieces"], F.array(rest)), "")
-
-    return F.aggregate(ordered, begin, add, close)
-
-
 def words(text: Column, min_chars: int = 1) -> Column:
     """The different words of a text, each lower-cased by itself."""
     found = F.filter(F.split(text, TERM_GAP, -1), lambda w: F.length(w) >= min_chars)
@@ -161,13 +146,12 @@ def entity_lines(found: DataFrame, min_support: int, window: int) -> DataFrame:
     )
     marks = each.join(counts, "entity").groupBy("key").agg(F.collect_set(F.struct("start", "entity", "n_entity")).alias("marks"))
 
-    def add(state: Column, line: Column) -> Column:
-        row = F.struct(state["at"].alias("line_start"), line.alias("line"))
-        return F.struct((state["at"] + F.length(line) + 1).alias("at"), F.concat(state["rows"], F.array(row)).alias("rows"))
+    def placed(parts: Column) -> Column:
+        starts = sums_before(F.transform(parts, lambda line: F.length(line) + 1))
+        return F.arrays_zip(starts.alias("line_start"), parts.alias("line"))
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line_start:int,line:string>>").alias("rows"))
     cut = texts.select("key", "unit", "text").dropDuplicates(["key"]).join(marks, "key").select(
-        "key", "unit", "marks", F.aggregate(F.split("text", "\n", -1), begin, add, lambda s: s["rows"]).alias("rows")
+        "key", "unit", "marks", let(F.split("text", "\n", -1), placed).cast("array<struct<line_start:int,line:string>>").alias("rows")
     )
 
     def around(row: Column, i: Column) -> Column:
@@ -196,7 +180,7 @@ def term_counts(texts: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def disclosures(
-    texts: DataFrame, found: DataFrame, lines: DataFrame, threshold: float, min_support: int = 3, min_chars: int = 3
+    texts: DataFrame, found: DataFrame, lines: DataFrame, threshold: float, min_support: int = 3, min_chars: int = 1
 ) -> DataFrame:
     """Pairs (entity, term) that disclose at least ``threshold``, with their value.
 
@@ -225,23 +209,15 @@ def term_spans(lines: DataFrame, pairs: DataFrame, min_chars: int) -> DataFrame:
     """Spans of disclosing terms in the lines near their entities, one row per key."""
     hits = line_terms(lines, min_chars).join(pairs, ["entity", "term"])
     one = hits.groupBy("key", "line_start", "term").agg(F.max("disclosure").alias("disclosure"))
-    per_line = one.groupBy("key", "line_start").agg(F.collect_list(F.struct("term", "disclosure")).alias("hits"))
-
-    def add(state: Column, x: Column) -> Column:
-        gap, word = x.getField("0"), x.getField("1")
-        begin = state["at"] + F.length(gap)
-        end = begin + F.length(word)
-        hit = F.filter("hits", lambda h: h["term"] == F.lower(word))
-        rows = F.transform(
-            hit, lambda h: F.struct(begin.alias("start"), end.alias("end"), h["disclosure"].alias("disclosure"), h["term"].alias("term"))
-        )
-        kept = F.when((F.length(word) >= min_chars) & (F.size(hit) > 0), F.concat(state["rows"], rows)).otherwise(state["rows"])
-        return F.when(word.isNull(), state).otherwise(F.struct(end.alias("at"), kept.alias("rows")))
-
-    zipped = F.arrays_zip(F.split("line", TERM, -1), F.regexp_extract_all("line", F.lit(TERM), F.lit(0)))
-    start = F.struct(F.col("line_start").alias("at"), F.array().cast(f"array<{TERM_SPAN}>").alias("rows"))
-    placed = lines.join(per_line, ["key", "line_start"]).select("key", F.aggregate(zipped, start, add, lambda s: s["rows"]).alias("rows"))
-    return placed.groupBy("key").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("terms"))
+    with_hits = lines.join(one.select("key", "line_start").distinct(), ["key", "line_start"], "left_semi")
+    each = with_hits.select("key", "line_start", F.explode(matches(F.col("line"), TERM)).alias("w"))
+    each = each.select(
+        "key", "line_start", F.lower("w.value").alias("term"),
+        (F.col("line_start") + F.col("w.start")).alias("start"), (F.col("line_start") + F.col("w.end")).alias("end"),
+    )
+    found = each.where(F.col("end") - F.col("start") >= min_chars).join(one, ["key", "line_start", "term"])
+    span = F.struct("start", "end", "disclosure", "term")
+    return found.groupBy("key").agg(F.sort_array(F.collect_list(span)).alias("terms"))
 
 
 class Sanitiser:
@@ -249,7 +225,7 @@ class Sanitiser:
 
     def __init__(
         self, docs: DataFrame, generalise_at: float = 0.8, remove_at: float = 0.95, min_support: int = 3,
-        window: int = 5, min_chars: int = 3, copies_count: bool = True,
+        window: int = 5, min_chars: int = 1, copies_count: bool = False,
     ):
         self.docs, self.remove_at = docs, remove_at
         rows = docs.select("doc_id", "text", unit(copies_count).alias("unit"))

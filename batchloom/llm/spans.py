@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+BLOCK = 512  # items of an array that are worked on together
 SPAN = "struct<start:int,end:int,value:string,part:string>"
 
 
@@ -12,6 +13,44 @@ def empty_spans() -> Column:
     return F.array().cast(f"array<{SPAN}>")
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)``, with the value computed once however often it is named."""
+    return F.transform(F.array(value), then)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """An array cut into arrays of ``BLOCK`` items; appending inside one stays cheap."""
+    def cut(every: Column) -> Column:
+        last = F.floor((F.size(every) - 1) / BLOCK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(every, b * BLOCK + 1, F.lit(BLOCK)))
+
+    return F.filter(let(items, cut), lambda block: F.size(block) > 0)
+
+
+def _running(values: Column, first: Column, step) -> Column:
+    """``first``, then the state after each value: as many states as values and one."""
+    start = F.struct(first.alias("at"), F.array(first).alias("states"))
+
+    def add(state: Column, value: Column) -> Column:
+        now = step(state["at"], value)
+        return F.struct(now.alias("at"), F.concat(state["states"], F.array(now)).alias("states"))
+
+    return F.aggregate(values, start, add, lambda s: s["states"])
+
+
+def sums_before(lengths: Column) -> Column:
+    """Per item of an array of numbers the sum of those before it, block by block."""
+    plus = lambda a, b: a + b
+
+    def placed(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), plus))
+        starts = _running(totals, F.lit(0), plus)
+        inside = let(starts, lambda at: F.transform(blocks, lambda block, i: F.slice(_running(block, F.get(at, i), plus), F.lit(1), F.size(block))))
+        return F.flatten(inside)
+
+    return let(_blocks(lengths), placed)
+
+
 def matches(text: Column, pattern: str, part: int = 0) -> Column:
     """All leftmost, non-overlapping matches of a pattern, as an array of spans.
 
@@ -20,22 +59,27 @@ def matches(text: Column, pattern: str, part: int = 0) -> Column:
     of what lies between and of the matches add up to the positions. Null gives
     no spans.
     """
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(part))
-    start = F.struct(F.lit(0).alias("at"), empty_spans().alias("found"))
+    cut = F.struct(
+        F.split(text, pattern, -1).alias("gaps"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(part)).alias("parts"),
+    )
+
+    def placed(x: Column) -> Column:
+        lengths = F.transform(x["hits"], lambda hit, i: F.length(hit) + F.length(F.get(x["gaps"], i)))
+
+        def spans(before: Column) -> Column:
+            def span(hit: Column, i: Column) -> Column:
+                begin = F.get(before, i) + F.length(F.get(x["gaps"], i))
+                return F.struct(
+                    begin.alias("start"), (begin + F.length(hit)).alias("end"), hit.alias("value"), F.get(x["parts"], i).alias("part")
+                )
+
+            return F.transform(x["hits"], span)
 
-    def add(state: Column, x: Column) -> Column:
-        gap, hit, group = x.getField("0"), x.getField("1"), x.getField("2")
-        begin = state["at"] + F.length(gap)
-        end = begin + F.length(hit)
-        span = F.struct(begin.alias("start"), end.alias("end"), hit.alias("value"), group.alias("part"))
-        return F.when(hit.isNull(), state).otherwise(
-            F.struct(end.alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
-        )
+        return F.when(F.size(x["hits"]) == 0, empty_spans()).otherwise(let(sums_before(lengths), spans))
 
-    zipped = F.arrays_zip(gaps, hits, parts)
-    return F.coalesce(F.aggregate(zipped, start, add, lambda s: s["found"]), empty_spans())
+    return F.when(text.isNull(), empty_spans()).otherwise(let(cut, placed))
 
 
 def matches_if(condition: Column, text: Column, pattern: str, part: int = 0) -> Column:
@@ -62,17 +106,54 @@ def replaced(text: Column, spans: Column, mark) -> Column:
     earlier one is cut down to what lies beyond it, and leaves no second mark.
     """
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"], s["value"])))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
 
-    def add(state: Column, s: Column) -> Column:
-        before = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        both = F.concat(state["pieces"], F.array(before, mark(s)))
-        after = F.struct(s["end"].alias("at"), both.alias("pieces"))
-        longer = F.struct(F.greatest(s["end"], state["at"]).alias("at"), state["pieces"].alias("pieces"))
-        return F.when(s["start"] >= state["at"], after).otherwise(longer)
+    def piece(s: Column, at: Column) -> Column:
+        return F.when(s["start"] >= at, mark(s)).otherwise("")
+
+    return F.when(F.size(spans) == 0, text).otherwise(_rewritten(text, ordered, piece))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """A text with blanks in place of the spans, so that all positions stay."""
+    ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def piece(s: Column, at: Column) -> Column:
+        return F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))
+
+    return F.when(F.size(spans) == 0, text).otherwise(_rewritten(text, ordered, piece))
+
+
+def _rewritten(text: Column, ordered: Column, piece) -> Column:
+    """The text with ``piece(span, at)`` in the place of each span, ``at`` being where the last one ended.
+
+    Spans are worked on in blocks, each with its own part of the text, so that
+    no step reads the text from its beginning.
+    """
+
+    def whole(blocks: Column) -> Column:
+        furthest = F.transform(blocks, lambda block: F.array_max(F.transform(block, lambda s: s["end"])))
+
+        def joined(at: Column) -> Column:
+            parts = F.transform(blocks, lambda block, i: _part(text, block, F.get(at, i), F.get(at, i + 1), piece))
+            end = F.element_at(at, -1)
+            rest = F.substring(text, end + 1, F.greatest(F.length(text) - end, F.lit(0)))
+            return F.array_join(F.concat(parts, F.array(rest)), "")
+
+        return let(_running(furthest, F.lit(0), lambda a, b: F.greatest(a, b)), joined)
+
+    return let(_blocks(ordered), whole)
+
+
+def _part(text: Column, block: Column, begin: Column, end: Column, piece) -> Column:
+    def written(own: Column) -> Column:
+        start = F.struct(begin.alias("at"), F.array().cast("array<string>").alias("pieces"))
+
+        def add(state: Column, s: Column) -> Column:
+            length = F.greatest(s["start"] - state["at"], F.lit(0))
+            before = F.substring(own, state["at"] - begin + 1, length)
+            both = F.concat(state["pieces"], F.array(before, piece(s, state["at"])))
+            return F.struct(F.greatest(s["end"], state["at"]).alias("at"), both.alias("pieces"))
 
-    def close(state: Column) -> Column:
-        rest = F.substring(text, state["at"] + 1, F.length(text) - state["at"])
-        return F.array_join(F.concat(state["pieces"], F.array(rest)), "")
+        return F.aggregate(block, start, add, lambda s: F.array_join(s["pieces"], ""))
 
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, begin, add, close))
+    return let(F.substring(text, begin + 1, end - begin), written)

@@ -1,5 +1,8 @@
 """Operators of built-in functions against plain versions."""
 
+import re
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,20 +54,63 @@ def test_secret_base(spark, odd, given):
 
 
 def test_term_that_reveals_an_entity(spark):
+    by_id = {"copies_count": True, "min_chars": 3}
     rows = [(i, f"Call Dr Zylberstein at +49 30 555012{i % 2} today", "s") for i in range(4)]
     rows += [(10 + i, f"nothing to call here today number {i}", "s") for i in range(40)]
     docs = spark.createDataFrame(rows, DOC).withColumn("n_chars", F.length("text").cast("long"))
-    got = {r.doc_id: r for r in pii.digest(docs, min_support=2).collect()}
+    got = {r.doc_id: r for r in pii.digest(docs, min_support=2, **by_id).collect()}
     # Both numbers occur in two documents; the name occurs in four: disclosure 0.7.
     assert "term" not in got[0].spans
     alone = spark.createDataFrame([(r[0], r[1].replace("5550121", "5550120"), r[2]) for r in rows], DOC)
-    got = {r.doc_id: r for r in pii.digest(alone, min_support=2).collect()}
+    got = {r.doc_id: r for r in pii.digest(alone, min_support=2, **by_id).collect()}
     assert got[0].spans == "phone:23:37,term:8:19"
-    text = {r.doc_id: r.text for r in pii.sanitised(alone, min_support=2).collect()}
+    text = {r.doc_id: r.text for r in pii.sanitised(alone, min_support=2, **by_id).collect()}
     assert text[0] == "Call Dr  at [PHONE] today"
     assert text[10] == "nothing to call here today number 0"
 
 
+def test_very_many_matches_in_one_text(spark):
+    """Times that grew with the square of the matches would take hours here."""
+    n = 50_000
+    mails = "".join(f"w{i} é{i} m{i}@x{i}.org, token=abcdefgh{i}\n" for i in range(n))
+    line = " ".join(f"word{i} a{i}@b.co" if i % 4 == 0 else f"word{i}" for i in range(20_000))
+    rows = [(1, mails, "s"), (2, line, "s"), (3, "x y " * 500_000, "s"), (4, "a@b.co " * n, "s")]
+    docs = spark.createDataFrame(rows, DOC)
+    begin = time.time()
+    got = {r.doc_id: (r.n_email, r.base_sha256) for r in pii.digest(docs).collect()}
+    for doc_id, text, _ in rows:
+        row = brute.pii_row(text)
+        assert got[doc_id] == (row[0], row[4])
+    found = {r.doc_id: r.base_sha256 for r in secrets.digest(docs).collect()}
+    assert all(found[doc_id] == brute.secret_row(text)[3] for doc_id, text, _ in rows)
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert clean[1] == "".join(f"w{i} é{i} [EMAIL], token=abcdefgh{i}\n" for i in range(n))
+    assert clean[3] == rows[2][1] and clean[4] == "[EMAIL] " * n
+    hidden = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert "token=" not in hidden[1] and hidden[1].count("[SECRET]") == n
+    assert time.time() - begin < 240
+
+
+def test_spans_over_block_borders(spark, monkeypatch):
+    from batchloom.llm import spans
+
+    monkeypatch.setattr(spans, "BLOCK", 3)
+    texts = ["", "a", "é a1 b22\n 𝒳 c333 d4 e5 f6 g7 h8 i9", "1 2 3 4 5 6", None, "x1" * 20]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    found = rows.select("k", spans.matches(F.col("text"), "[a-z]([0-9]+)", 1).alias("s")).collect()
+    for r in found:
+        want = [(m.start(), m.end(), m[0], m[1]) for m in re.finditer("[a-z]([0-9]+)", texts[r.k] or "")]
+        assert [tuple(s) for s in r.s] == want
+    numbers = spark.createDataFrame([([i % 5 for i in range(n)],) for n in range(1, 12)], "v array<int>")
+    for r in numbers.select("v", spans.sums_before(F.col("v")).alias("s")).collect():
+        assert r.s == [sum(r.v[:i]) for i in range(len(r.v))]
+    text = "0123456789abcdefghij"
+    cuts = [(1, 3), (2, 5), (2, 3), (7, 8), (8, 9), (9, 15), (10, 12), (19, 20)]
+    given = spark.createDataFrame([(text, [(a, b, "k", "") for a, b in cuts])], "text string, s array<struct<start:int,end:int,kind:string,value:string>>")
+    row = given.select(spans.replaced(F.col("text"), F.col("s"), lambda s: F.lit("#")).alias("r"), spans.blanked(F.col("text"), F.col("s")).alias("b")).first()
+    assert row.r == "0#56###fghi#" and row.b == "0    56        fghi "
+
+
 def test_exact_copies_are_no_evidence(spark):
     copy = "Zylberstein of Xanthograph at +49 30 5550120"
     rows = [(i, copy, "s") for i in range(30)] + [(100 + i, f"nothing of it at number {i}", "s") for i in range(60)]
