@@ -165,4 +165,4 @@ def sample(docs: DataFrame, target: DataFrame, **options) -> DataFrame:
     """The drawn documents, with all their columns. Rows that share an id are drawn together."""
     drawn = resampled(docs, target, **options).where(F.col("rank").isNotNull()).select("doc_id").distinct()
     ids = drawn.withColumnRenamed("doc_id", "__drawn")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__drawn")), "left_semi")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__drawn"]), "left_semi")
