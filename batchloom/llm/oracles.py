@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from batchloom.llm.secrets import LETTER_PAIRS
+
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _LOWER = "'abcdefghijklmnopqrstuvwxyz'"
 _BLANK_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -131,14 +133,22 @@ matched AS ({_MATCHES}),
 each_match AS (SELECT r, doc_id, source, kind, place, hits, parts, gaps, unnest(range(1, len(hits) + 1)) AS i FROM matched WHERE len(hits) > 0),
 placed AS (SELECT r, doc_id, source, kind, place, parts[i] AS value, hits[i] AS hit,
     length(array_to_string(gaps[1 : i], '')) + length(array_to_string(hits[1 : i - 1], '')) AS s FROM each_match),
-spans AS (SELECT *, s + length(hit) AS e, regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]')
-    AND len(list_distinct(string_split(value, ''))) >= 10 AS varied FROM placed),
+measured AS (SELECT *, s + length(hit) AS e, length(value) AS n, list_distinct(string_split(value, '')) AS chars,
+    regexp_full_match(value, '[0-9a-f]+|[0-9A-F]+') AS is_hex, length(regexp_replace(value, '[^A-Za-z]', '', 'g')) AS letters,
+    length(value) - length(regexp_replace(lower(value), '{"|".join(LETTER_PAIRS)}', '', 'g')) AS paired FROM placed),
+spans AS (SELECT *, regexp_matches(value, '[A-Za-z]') AND regexp_matches(value, '[0-9]') AND len(chars) >= 10
+    AND list_sum(list_transform(chars, lambda c: (n - length(replace(value, c, ''))) * (n - length(replace(value, c, '')) - 1)))
+      * CASE WHEN is_hex THEN 16 WHEN regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]') THEN 62 ELSE 36 END
+      <= 2 * n * (n - 1)
+    AND (is_hex OR 100 * paired < 55 * letters) AS varied FROM measured),
 good AS (SELECT * FROM spans WHERE CASE kind WHEN 'assign' THEN length(value) >= 8 WHEN 'access' THEN length(value) >= 16
   WHEN 'hex' THEN true ELSE varied END),
 candidates AS (SELECT * FROM good g WHERE kind <> 'tokens' OR NOT EXISTS (
   SELECT 1 FROM good b WHERE b.r = g.r AND b.kind <> 'tokens' AND b.s < g.e AND g.s < b.e)),
-owners AS (SELECT value, count(*) AS n_owners FROM (SELECT DISTINCT value, source FROM candidates) GROUP BY value),
-classed AS (SELECT c.*, CASE WHEN n_owners >= 3 THEN 'example' WHEN n_owners <= 1 AND varied THEN 'live' ELSE 'unclear' END AS class
+holders AS (SELECT value, source, count(*) AS n FROM (SELECT DISTINCT value, source, doc_id FROM candidates) GROUP BY value, source),
+owners AS (SELECT value, count(*) AS n_owners, sum(n) AS n_repos FROM holders GROUP BY value),
+classed AS (SELECT c.*, CASE WHEN n_owners >= 3 THEN 'example' WHEN n_owners <= 1 AND n_repos <= 20 AND varied THEN 'live'
+    ELSE 'unclear' END AS class
   FROM candidates c JOIN owners USING (value)),
 shown AS (SELECT *, CASE WHEN kind = 'tokens' THEN 'owned' ELSE kind END || ':' || s || ':' || e AS t
   FROM classed WHERE kind <> 'tokens' OR class = 'live'),

@@ -6,15 +6,27 @@ hash of each candidate is counted over the whole corpus: in how many
 repositories (documents) and by how many owners (sources) it occurs.
 
 * ``example``: held by ``example_owners`` owners or more; widely copied.
-* ``live``: high-entropy and held by at most ``live_owners`` owners.
-* ``unclear``: what lies between, or has little entropy.
+* ``live``: random, held by at most ``live_owners`` owners, and in at most
+  ``live_repos`` repositories: a token in more texts of one owner than that is
+  its boilerplate rather than a credential.
+* ``unclear``: what lies between, or is not random.
+
+Random means letters and digits, ``distinct_chars`` different characters, and
+
+* bits per character (those of equal pairs, which have no bias in short texts)
+  within one bit of the alphabet's: 4 for hex, 5.17 for one case and digits, 5.95
+  for both cases and digits;
+* not made of words: less than ``READABLE`` percent of its letters stand in letter
+  pairs that are usual in words. Paths, file names and identifiers do. Hex texts
+  have too few letters for that and are not asked.
 
 Base spans stay whatever their class. The method adds a span of kind ``owned``
 for every other token that is live.
 
 Defined cases: null and empty texts have no spans. A null source counts as one
-owner. Equal rows give equal results; ids may repeat or be null. An empty table
-gives an empty table. Other columns are not read.
+owner. Equal rows give equal results; ids may repeat or be null, and a repeated id
+of one source is one repository. A count that equals a limit is within it. An
+empty table gives an empty table. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +49,19 @@ ASSIGN = rf"""(?:{_NAMES})["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}+"
 HEX = r"[0-9a-f]{32,}+"
 TOKEN = r"[A-Za-z0-9+/_=-]{20,}+"
+# Usual pairs of letters in words; fixed values.
+LETTER_PAIRS = (
+    "ab ac ad ag ai al am an ap ar as at ay be bl bo bu by ca ce ch ci co ct cu de di do ea ec "
+    "ed ee ef ei el em en ep er es et ev ex fa fe fi fo fr ge gh gr ha he hi ho ia ic id ie if "
+    "ig il im in io ir is it iv ke la ld le li ll lo ly ma me mi mo mp na nc nd ne ng ni no ns "
+    "nt oc od of ol om on oo op or os ot ou ov ow pa pe pl po pr ra rd re ri rm rn ro rs rt ry "
+    "sa se sh si so sp ss st su ta te th ti to tr ts tt tu ty uc ui ul un ur us ut ve vi wa we "
+    "wh wi wo "
+
+).split()
+# Percent of the letters in such pairs from which a token is words. Of random tokens
+# of 20 characters 11% (both cases) and 5% (one case) reach it, of 40 characters 1%.
+READABLE = 55
 
 
 def base_spans(text: Column) -> dict[str, Column]:
@@ -49,18 +74,36 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
-def is_varied(value: Column, distinct_chars: int) -> Column:
-    """Letters and digits, and enough different characters, for a random token."""
-    return value.rlike("[A-Za-z]") & value.rlike("[0-9]") & (
-        F.size(F.array_distinct(F.split(value, ""))) >= distinct_chars
+def is_random(value: Column, distinct_chars: int) -> Column:
+    """Whether a value looks drawn from its alphabet rather than written in words."""
+    chars = F.array_distinct(F.split(value, ""))
+    n = F.length(value).cast("long")
+
+    def pairs_of(c: Column) -> Column:
+        count = n - F.length(F.replace(value, c, F.lit("")))
+        return count * (count - 1)
+
+    equal = F.aggregate(chars, F.lit(0).cast("long"), lambda total, c: total + pairs_of(c))
+    is_hex = value.rlike("^([0-9a-f]+|[0-9A-F]+)$")
+    both = value.rlike("[a-z]") & value.rlike("[A-Z]")
+    alphabet = F.when(is_hex, 16).when(both, 62).otherwise(36)
+    letters = F.length(F.regexp_replace(value, "[^A-Za-z]", ""))
+    lower = F.lower(value)
+    paired = F.length(lower) - F.length(F.regexp_replace(lower, "|".join(LETTER_PAIRS), ""))
+    return (
+        value.rlike("[A-Za-z]")
+        & value.rlike("[0-9]")
+        & (F.size(chars) >= distinct_chars)
+        & (equal * alphabet <= 2 * n * (n - 1))
+        & (is_hex | (100 * paired < READABLE * letters))
     )
 
 
 def with_candidates(docs: DataFrame, distinct_chars: int) -> DataFrame:
-    """Spans per kind and ``tokens``, the varied tokens that touch no base span."""
+    """Spans per kind and ``tokens``, the random tokens that touch no base span."""
     source = docs.select(row_key("doc_id", "source", "text").alias("key"), "doc_id", "source", "text")
     text = F.col("text")
-    tokens = F.filter(matches_if(text.rlike(TOKEN), text, TOKEN), lambda s: is_varied(s["value"], distinct_chars))
+    tokens = F.filter(matches_if(text.rlike(TOKEN), text, TOKEN), lambda s: is_random(s["value"], distinct_chars))
     found = source.select(
         "key", "doc_id", "source", *[c.alias(k) for k, c in base_spans(text).items()], tokens.alias("tokens")
     )
@@ -82,7 +125,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def classified(
-    docs: DataFrame, live_owners: int = 1, example_owners: int = 3, distinct_chars: int = 10
+    docs: DataFrame, live_owners: int = 1, example_owners: int = 3, live_repos: int = 20, distinct_chars: int = 10
 ) -> DataFrame:
     """A row per document: ids, an array of spans per kind, and ``owned``.
 
@@ -93,9 +136,10 @@ def classified(
     spans = F.concat(*[labelled(k, F.col(k)) for k in [*KINDS, "tokens"]])
     each = found.select("key", F.explode(spans).alias("s")).distinct().withColumn("hash", F.xxhash64("s.value"))
     joined = each.join(counts, "hash")
+    held = (F.col("n_owners") <= live_owners) & (F.col("n_repos") <= live_repos)
     kind = (
         F.when(F.col("n_owners") >= example_owners, "example")
-        .when((F.col("n_owners") <= live_owners) & is_varied(F.col("s.value"), distinct_chars), "live")
+        .when(held & is_random(F.col("s.value"), distinct_chars), "live")
         .otherwise("unclear")
     )
     span = F.struct("s.start", "s.end", "s.kind", "s.value", kind.alias("class"), "n_repos", "n_owners")

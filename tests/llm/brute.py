@@ -164,6 +164,21 @@ def secret_row(text):
     return (*[len(v) for v in found.values()], sha256(joined), joined)
 
 
+def is_random(value, pairs, readable):
+    if not (re.search("[A-Za-z]", value) and re.search("[0-9]", value)) or len(set(value)) < 10:
+        return False
+    is_hex = re.fullmatch("[0-9a-f]+|[0-9A-F]+", value)
+    alphabet = 16 if is_hex else 62 if re.search("[a-z]", value) and re.search("[A-Z]", value) else 36
+    same = sum(a == b for i, a in enumerate(value) for b in value[:i])
+    if same * alphabet > len(value) * (len(value) - 1):
+        return False
+    lower, paired, i = value.lower(), 0, 0
+    while i < len(lower):
+        hit = lower[i : i + 2] in pairs
+        paired, i = paired + 2 * hit, i + 1 + hit
+    return bool(is_hex) or 100 * paired < readable * sum(c.isalpha() for c in value)
+
+
 def mix_targets(sizes, weights=(5, 2, 1), repeats=3):
     """{source: size} -> {source: target}, by sharing what is left again and again."""
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))

@@ -1,6 +1,8 @@
 """Operators of built-in functions against plain versions."""
 
+import random
 import re
+import string
 import time
 
 import pytest
@@ -10,6 +12,7 @@ from batchloom.llm import mixing, pii, queries, secrets, url_filter
 from tests.conftest import SMALL
 from tests.llm import brute
 
+ALPHABETS = [string.ascii_letters + string.digits, string.ascii_lowercase + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"]
 DOC = "doc_id long, text string, source string"
 ODD = [
     (1, None, "a"),
@@ -155,6 +158,32 @@ def test_owners_of_secrets(spark):
     assert text[11] == "mine [SECRET]" and copied in text[0]
 
 
+def test_words_are_no_secrets(spark):
+    plain = ["/usr/lib/python3/dist-packages/foo", "commit/2024/release-notes_v12", "getUserById2AndName3Async", "ab12" * 10, "0123456789" * 3]
+    drawn = ["Zx9Kq7Lm2Pw4Rt6Yv8Bn1C", "x7q2mz9k4vb8w1tj5rpd", "9f86d081884c7d659a2feaa0c55ad015"]
+    rows = [(i, f"see {t} there", f"s{i}") for i, t in enumerate(plain + drawn)]
+    rows += [(100 + i, "of one owner J8fK2mQ9xT4vW7zB3nRd", "hot") for i in range(21)]
+    rows += [(200 + i, "of one owner H5gT8kW2qZ9vX4mB7nJc", "hot") for i in range(20)]
+    docs = spark.createDataFrame(rows, DOC)
+    text = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert [text[i] for i in range(3)] == [r[1] for r in rows[:3]]
+    assert all("[SECRET]" in text[i] for i in range(len(plain), len(plain) + len(drawn)))
+    assert "[SECRET]" not in text[100] and "[SECRET]" in text[200]
+    for r in secrets.digest(docs.where("doc_id < 5")).collect():
+        assert r.n_live == 0
+
+
+@pytest.mark.parametrize("length", [20, 40])
+def test_random_by_a_plain_version(spark, length):
+    draw = random.Random(length)
+    values = ["".join(draw.choices(a, k=length)) for a in ALPHABETS for _ in range(200)] + ["ab12" * 5, "a1" + "b" * 30, "1" * 25, "x" * 25]
+    table = spark.createDataFrame([(v,) for v in values], "value string")
+    got = [r.ok for r in table.select(secrets.is_random(F.col("value"), 10).alias("ok")).collect()]
+    assert got == [brute.is_random(v, secrets.LETTER_PAIRS, secrets.READABLE) for v in values]
+    share = [sum(got[i : i + 200]) / 200 for i in range(0, 200 * len(ALPHABETS), 200)]
+    assert min(share) >= (0.8 if length == 20 else 0.95)
+
+
 def test_url_rules(spark):
     urls = [
         "http://A.Example.NET/en/1?x", "https://example.net/fr/2", "x://example.com/de/?", "http://sub.org/fr", "http://sub.org/fr/",
