@@ -3,14 +3,16 @@
 1. Targets: sources, in code point order with null last, weigh ``weights``
    repeating, and share the tokens of the corpus. A target stops at ``repeats``
    times its source's size, and the excess goes to the others by weight.
-2. Quotas: the corpus is so many blocks of ``block_tokens`` tokens. Sainte-Lague
+2. Quotas: the corpus is so many blocks of equal size: ``block_tokens`` tokens, or
+   less, so that the smallest target is ``least_blocks`` blocks. Sainte-Lague
    gives a source with target v its j-th block at quotient v / (2j - 1), highest
    first. Rounding v / (tokens per block) gives all blocks but a few; only the
    quotients next to that are ranked. Each source's quota is then dealt to its
    shards in the same way.
 3. Selection: the documents of a shard, in seeded order, form a line of tokens
-   cut into blocks. A quota above the shard's size takes whole passes; the rest
-   takes the blocks that come first in a seeded permutation of the shard.
+   cut into blocks, closed to a ring. A quota above the shard's size takes whole
+   passes; the rest takes the blocks that follow a seeded one. The order is random,
+   so that is a random choice of documents, all whole but those at its two ends.
 
 A shard is a bounded part of a source (``shard_tokens``, more only for one very
 long document), by a seeded hash, so no source meets in one task.
@@ -32,8 +34,6 @@ from pyspark.sql import functions as F
 from batchloom.llm.common import row_key, stored, word_count
 
 WEIGHTS = (5, 2, 1)
-# Coprime to any number of blocks, which is smaller.
-STEP = 2147483647
 
 
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, repeats: int = 3) -> DataFrame:
@@ -117,16 +117,21 @@ def selected(
     rows: DataFrame,
     weights: Sequence[int] = WEIGHTS,
     repeats: int = 3,
-    block_tokens: int = 16,
+    block_tokens: int = 2048,
+    least_blocks: int = 200,
     shard_tokens: int = 1_000_000,
     seed: int = 17,
 ) -> DataFrame:
     """Tokens taken of each row; ``rows`` has key, source, size, maybe more."""
-    blocks = rows.select(F.round(F.sum("size") / block_tokens).cast("long").alias("n")).scalar()
-    goal = targets(rows, weights, repeats).withColumn("all", F.lit(1)).withColumn("seats", blocks)
+    goal = stored(targets(rows, weights, repeats), "mixing-targets")
+    least = F.min(F.when(F.col("target") > 0, F.col("target")))
+    unit = F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(least / least_blocks))).cast("long")
+    corpus = goal.agg(unit.alias("unit"), F.sum("source_size").alias("tokens"))
+    goal = goal.withColumn("unit", corpus.select("unit").scalar()).withColumn("all", F.lit(1))
+    goal = goal.withColumn("seats", F.round(corpus.select("tokens").scalar() / F.col("unit")).cast("long"))
     goal = apportioned(goal, ["all"], ["source"], "target").drop("all")
     n_shards = F.ceil(F.col("source_size") / shard_tokens).cast("long")
-    goal = stored(goal.withColumn("shards", F.greatest(n_shards, F.lit(1))), "mixing-targets")
+    goal = stored(goal.withColumn("shards", F.greatest(n_shards, F.lit(1))), "mixing-quotas")
     g = goal.withColumnRenamed("source", "g_source")
     placed = (
         rows.join(g, F.col("source").eqNullSafe(F.col("g_source")))
@@ -140,24 +145,21 @@ def selected(
     line = Window.partitionBy("source", "shard").orderBy("order", "key").rowsBetween(Window.unboundedPreceding, -1)
     lined = placed.withColumn("begin", F.coalesce(F.sum("size").over(line), F.lit(0)))
     both = lined.join(s, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("shard") == F.col("s_shard")))
-    wanted = F.least(F.col("blocks") * block_tokens, F.lit(repeats) * F.col("shard_size"))
-    passes = F.when(F.col("shard_size") > 0, F.floor(wanted / F.col("shard_size"))).otherwise(0).cast("long")
-    both = both.withColumn("passes", passes).withColumn("rest", wanted - F.col("passes") * F.col("shard_size"))
-    n_blocks = F.ceil(F.col("shard_size") / block_tokens).cast("long")
-    both = both.withColumn("n_blocks", n_blocks).withColumn("first", F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), F.col("n_blocks")))
-
-    def taken_of(block: Column) -> Column:
-        """Tokens of this row in a block that the last pass takes, whole or in part."""
-        rank = F.pmod(F.pmod(F.lit(STEP), F.col("n_blocks")) * block + F.col("first"), F.col("n_blocks"))
-        room = F.least(F.lit(block_tokens).cast("long"), F.greatest(F.col("rest") - rank * block_tokens, F.lit(0).cast("long")))
-        low = F.greatest(F.col("begin"), block * block_tokens)
-        high = F.least(F.col("begin") + F.col("size"), block * block_tokens + room)
-        return F.greatest(high - low, F.lit(0).cast("long"))
-
-    first_block = F.floor(F.col("begin") / block_tokens)
-    last_block = F.floor((F.col("begin") + F.col("size") - 1) / block_tokens)
-    spanned = F.aggregate(F.sequence(first_block, last_block), F.lit(0).cast("long"), lambda a, b: a + taken_of(b))
-    last = F.when((F.col("size") > 0) & (F.col("rest") > 0), spanned).otherwise(0)
+    length = F.col("shard_size")
+    wanted = F.least(F.col("blocks") * F.col("unit"), F.lit(repeats) * length)
+    passes = F.when(length > 0, F.floor(wanted / length)).otherwise(0).cast("long")
+    both = both.withColumn("passes", passes).withColumn("rest", wanted - F.col("passes") * length)
+    n_blocks = F.greatest(F.ceil(length / F.col("unit")).cast("long"), F.lit(1).cast("long"))
+    first = F.pmod(F.xxhash64(F.lit(seed + 2), "source", "shard"), n_blocks) * F.col("unit")
+    both = both.withColumn("from", first).withColumn("to", F.col("from") + F.col("rest"))
+
+    def within(low: Column, high: Column) -> Column:
+        """Tokens of this row between two places of the line."""
+        shared = F.least(F.col("begin") + F.col("size"), high) - F.greatest(F.col("begin"), low)
+        return F.greatest(shared, F.lit(0).cast("long"))
+
+    zero = F.lit(0).cast("long")
+    last = within(F.col("from"), F.least(F.col("to"), length)) + within(zero, F.col("to") - length)
     taken = F.col("passes") * F.col("size") + last
     return both.select(*rows.columns, "source_size", "target", taken.cast("long").alias("taken"))
 

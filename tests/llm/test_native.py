@@ -235,6 +235,37 @@ def test_mix_with_many_shards(spark):
         assert r.over <= 0 and abs(r.n - r.target) < 0.03 * r.target + 16
 
 
+def test_mix_takes_whole_documents(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 37 % 90)), f"s{i % 3}") for i in range(900)] + [(1000, "", "none"), (1001, None, "none")]
+    got = mixing.mixture(spark.createDataFrame(rows, DOC), shard_tokens=5_000).collect()
+    cut = [r for r in got if r.size and r.taken % r.size]
+    shards = sum(-(-n // 5_000) for n in {r.source: r.source_size for r in got if r.source_size}.values())
+    assert len(got) == 902 and len(cut) <= 2 * shards
+    assert all(r.taken == 0 for r in got if r.source == "none")
+    assert any(r.taken == 0 for r in got if r.size) and any(r.taken >= r.size for r in got if r.size)
+
+
+def test_mix_blocks_of_a_plain_version(spark):
+    """One source and one shard: the blocks after the seeded one, around the ring."""
+    rows = [(bytes([i]), "a", i % 7) for i in range(200)] + [(bytes([250]), "b", 10_000)]
+    table = spark.createDataFrame(rows, "key binary, source string, size long")
+    got = {bytes(r.key): r for r in mixing.selected(table, weights=(1, 30)).collect()}
+    order = {bytes(r.key): r.o for r in table.select("key", F.xxhash64(F.lit(17), "key").alias("o")).collect()}
+    seeded = table.select(F.xxhash64(F.lit(19), "source", F.lit(0).cast("long")).alias("h"), "source").distinct()
+    start = {r.source: r.h for r in seeded.collect()}
+    for source in "ab":
+        mine = sorted((r for r in rows if r[1] == source), key=lambda r: (order[r[0]], r[0]))
+        size, target = sum(r[2] for r in mine), got[mine[0][0]].target
+        unit = max(1, min(2048, int(min(r.target for r in got.values()) / 200)))
+        words = [r[0] for r in mine for _ in range(r[2])]
+        total = sum(r.taken for r in got.values() if r.source == source)
+        assert abs(total - target) <= unit and total % unit == 0 or total == 3 * size
+        first = start[source] % -(-size // unit) * unit
+        picked = [words[(first + i) % size] for i in range(total % size)]
+        for r in mine:
+            assert got[r[0]].taken == total // size * r[2] + picked.count(r[0])
+
+
 def test_mix_keeps_columns_and_equal_rows(spark, odd):
     out = mixing.mixed(odd.withColumn("size", F.lit("x")).withColumn("begin", F.lit(1)))
     assert out.count() == len(ODD)
