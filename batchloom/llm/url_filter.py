@@ -26,6 +26,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.llm.common import stored
+
 # (action, host, start of the path)
 RULES = [
     ("block", "net", "/"),
@@ -96,10 +98,12 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, max_strength: float = 1000
     """Posterior mean and deviation of the bad rate, for each of ``hosts``.
 
     Labelled pages are added up per host before any shuffle; what follows works
-    on one row per host, domain or suffix.
+    on one row per host, domain or suffix. These and the counts of each level are
+    written once, as the strength of a level is a figure of all its rows.
     """
     per_host = outcomes.groupBy(*LEVELS).agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     nodes = hosts.select(*LEVELS).distinct().join(per_host, LEVELS, "left").fillna(0, ["n", "bad"])
+    nodes = stored(nodes, "reputation-nodes")
     rate = (F.sum("bad") + 1.0) / (F.sum("n") + 2.0)
     root = nodes.agg(F.struct(rate.alias("mean"), (F.coalesce(F.sum("n"), F.lit(0)) + 2.0).alias("weight")).alias("root")).scalar()
     parents, keys = None, []
@@ -110,6 +114,7 @@ def reputation(outcomes: DataFrame, hosts: DataFrame, max_strength: float = 1000
             at = counts.withColumn("prior", F.coalesce(root["mean"], F.lit(0.5))).withColumn("behind", root["weight"])
         else:
             at = counts.join(parents, keys[:-1])
+        at = stored(at, f"reputation-{level}")
         # Var(bad/n) = m(1-m)/n * (1 + (n-1) * rho); rho = 1 / (strength + 1).
         spread = F.col("prior") * (1 - F.col("prior"))
         seen = F.col("n") >= 2
