@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from batchloom.llm.secrets import LETTER_PAIRS
+from batchloom.llm.url_filter import SUFFIXES
 
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'"
 _LOWER = "'abcdefghijklmnopqrstuvwxyz'"
@@ -84,31 +85,34 @@ def _level(name: str, keys: str, parent: str, on: str) -> str:
 {name}s AS (SELECT * EXCLUDE (strength), (bad + strength * prior) / (n + strength) AS mean, n + strength AS weight FROM {name}_s)"""
 
 
+_SUFFIXES = ", ".join(f"'{s}'" for s in SUFFIXES if s[0] not in "!*")
 URL_FILTER = rf"""WITH urls AS (SELECT page_id,
     translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), {_UPPER}, {_LOWER}) AS host,
     coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
-cut AS (SELECT *, CASE WHEN regexp_extract(host, '([^.]+[.][^.]+)$', 1) IN
-    ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'com.br', 'co.nz', 'co.za')
-    THEN regexp_extract(host, '([^.]+[.][^.]+)$', 1) ELSE regexp_extract(host, '([^.]*)$', 1) END AS suffix FROM urls),
-named AS (SELECT *, string_split(host, '.') AS parts, len(string_split(suffix, '.')) + 1 AS k FROM cut),
-parsed AS (SELECT page_id, host, path, suffix,
-    CASE WHEN len(parts) <= k THEN host ELSE array_to_string(parts[len(parts) - k + 1 :], '.') END AS domain FROM named),
+bare AS (SELECT *, regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '') AS site FROM urls),
+split AS (SELECT *, string_split(site, '.') AS parts FROM bare),
+ends AS (SELECT *, parts[-1] AS one, CASE WHEN len(parts) >= 2 THEN parts[-2] || '.' || parts[-1] END AS two FROM split),
+cut AS (SELECT *, CASE WHEN regexp_matches(site, '^([0-9]+[.]){{3}}[0-9]+$|^\[') THEN site WHEN two = 'www.ck' THEN one
+    WHEN two IN ({_SUFFIXES}) OR one = 'ck' AND two IS NOT NULL THEN two ELSE one END AS suffix FROM ends),
+named AS (SELECT *, len(string_split(suffix, '.')) + 1 AS k FROM cut),
+parsed AS (SELECT page_id, host, path, site, suffix,
+    CASE WHEN len(parts) <= k THEN site ELSE array_to_string(parts[len(parts) - k + 1 :], '.') END AS domain FROM named),
 marks AS (SELECT doc_id AS page_id, max(CASE WHEN coalesce(quality = 0, false) OR coalesce(toxic = 1, false) THEN 1 ELSE 0 END) AS bad
   FROM labels GROUP BY doc_id),
-seen AS (SELECT suffix, domain, host, count(*) AS n, sum(bad) AS bad FROM parsed JOIN marks USING (page_id) GROUP BY ALL),
-nodes AS (SELECT h.suffix, h.domain, h.host, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad
-  FROM (SELECT DISTINCT suffix, domain, host FROM parsed) h LEFT JOIN seen USING (suffix, domain, host)),
+seen AS (SELECT suffix, domain, site, count(*) AS n, sum(bad) AS bad FROM parsed JOIN marks USING (page_id) GROUP BY ALL),
+nodes AS (SELECT h.suffix, h.domain, h.site, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad
+  FROM (SELECT DISTINCT suffix, domain, site FROM parsed) h LEFT JOIN seen USING (suffix, domain, site)),
 root AS (SELECT (sum(bad) + 1) / (sum(n) + 2)::DOUBLE AS mean, sum(n) + 2 AS weight FROM nodes),
 {_level("suffix", "suffix", "root", "")},
 {_level("domain", "suffix, domain", "suffixs", "c.suffix = p.suffix")},
-{_level("host", "suffix, domain, host", "domains", "c.suffix = p.suffix AND c.domain = p.domain")},
+{_level("site", "suffix, domain, site", "domains", "c.suffix = p.suffix AND c.domain = p.domain")},
 ruled AS (SELECT u.*, CASE
     WHEN (u.host = 'example.com' OR u.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (u.host = 'example.net' OR u.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (u.host = 'org' OR u.host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (u.host = 'net' OR u.host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule,
     mean - 1.645 * sqrt(mean * (1 - mean) / (weight + 1)) AS lower_bound
-  FROM parsed u JOIN hosts h ON u.host = h.host)
+  FROM parsed u JOIN sites h ON u.site = h.site)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.com/de/', 'net/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
   WHEN lower_bound > 0.25 THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
 

@@ -197,6 +197,33 @@ def test_url_rules(spark):
         assert got[i] == (host, path, rule, action or "allow")
 
 
+def test_levels_of_a_host(spark):
+    want = {
+        "u:p@b.de:8080": ("b.de", "de", "b.de"),
+        "a.gov.uk": ("a.gov.uk", "gov.uk", "a.gov.uk"),
+        "x.y.co.uk:": ("x.y.co.uk", "co.uk", "y.co.uk"),
+        "co.uk": ("co.uk", "co.uk", "co.uk"),
+        "1.2.3.4:80": ("1.2.3.4", "1.2.3.4", "1.2.3.4"),
+        "[2001:db8::1]:443": ("[2001:db8::1]", "[2001:db8::1]", "[2001:db8::1]"),
+        "s.a.b.ck": ("s.a.b.ck", "b.ck", "a.b.ck"),
+        "s.www.ck": ("s.www.ck", "ck", "www.ck"),
+        "localhost": ("localhost", "localhost", "localhost"),
+        "": ("", "", ""),
+    }
+    pages = spark.createDataFrame([(i, f"http://{h}/x") for i, h in enumerate(want)], "page_id long, url string")
+    got = {r.host: (r.site, r.suffix, r.domain) for r in url_filter.parsed(pages).collect()}
+    assert got == want
+    none = url_filter.parsed(pages, suffixes=[]).where("host = 'a.gov.uk'").first()
+    assert (none.suffix, none.domain) == ("uk", "gov.uk")
+
+
+def test_reputation_reads_its_tables_once(spark):
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    plan = url_filter.judged(pages, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") + plan.count("Relation[") <= 10
+
+
 def test_bad_hosts_are_blocked_by_their_bound(spark):
     rows, labels = [], []
     for i in range(400):
