@@ -11,11 +11,12 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from batchloom.llm import alignment, byte_bpe, resampling
+from batchloom.llm import alignment, byte_bpe, resampling, textscan
 from tests.conftest import SMALL
 from tests.llm import brute
 
@@ -355,6 +356,28 @@ def test_resampling(spark, odd, low, high, buckets):
     assert rows_of(got) == want
 
 
+def test_resampling_of_more_text_than_a_task_takes_at_once(spark):
+    rng = random.Random(12)
+    words = ["ünï", "Cödé", "中文", "Plain", "two", "ÉTÉ", "x1"]
+    texts = [" ".join(rng.choices(words[: 2 + i % 6], k=60_000)) for i in range(40)]
+    assert sum(len(t.encode()) for t in texts) > resampling.PIECE
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)  # without a null
+    target = spark.createDataFrame([("plain x1 ünï " * 9,)], "text string")
+    want = plain_resampling([*enumerate(texts)], [r.text for r in target.collect()], 1, 1, 10_000)
+    assert rows_of(resampling.resampled(docs, target)) == want
+
+
+@pytest.mark.parametrize("texts", [["😀 a", "é B", "Z ü", "", "q"], ["😀 a", None, "é B", "Z ü"]])
+def test_features_of_slices(texts):
+    want = [[zlib.crc32(w.encode()) % 997 for w in brute.ALNUM_WORD.findall(brute.lower(t))] for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got = []
+    for part in textscan.slices(batch, 1):
+        found = resampling.Features(part.column("text"), 1, 1, 997)
+        got += [found.bucket[found.owner == i].tolist() for i in range(found.n_texts)]
+    assert got == want
+
+
 def test_repeated_rows_and_ties(spark):
     text = " ".join(f"word{i}" for i in range(25))
     docs = spark.createDataFrame([(i % 7, text) for i in range(70)], "doc_id long, text string")
