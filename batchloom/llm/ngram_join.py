@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 from batchloom.llm import textscan
 from batchloom.llm.common import map_batches, row_key, stored
 from batchloom.llm.components import components
+from batchloom.session import release, written_alone
 
 SHARE = 0.25
 _LIMIT = int(SHARE * 2**64)
@@ -491,22 +492,27 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     texts = docs.select("text").where(F.col("text").isNotNull())
     whole = map_batches(texts, _whole_sets(n, wanted), "node bigint, tokens array<bigint>").dropDuplicates(["node"])
     whole = stored(whole.join(lists.select("node").distinct(), "node"), "whole-sets")
+    release(spark)
     answers = leader_answers(lists, whole, percent)
+    release(spark)
     link = F.col("overlap") >= needed(F.col("size_a"), F.col("size_b"), percent)
     links = stored(answers.where(link).select("a", "rank_a", "b"), "leader-links")
     tried = links.select(F.col("a").alias("node")).limit(0)
     for k in range(SECOND_LEADERS):
         found, leads = second_links(answers, links, tried, whole, percent, 2.0 + k)
         links, tried = links.unionByName(found), tried.unionByName(leads)
+    release(spark)
     first = stored(first_leaders(links), "first-leaders")
     labels = stored(star_labels(first), "star-labels")
     near = pairs_by_delta(labelled_answers(answers, labels), percent).withColumn("linked", F.lit(False))
     far = pairs_by_block(lists, answers.drop("delta"), labels, percent)
     pairs = stored(far.unionByName(near), "derived-pairs")
+    release(spark)
     proved = pairs.where("linked").select("a", "b")
     open_pairs = pairs.where(~F.col("linked")).groupBy("a", "b", "sizes", "label_a", "label_b").agg(F.max("sure").alias("sure"))
     best = stored(linked_pairs(best_pairs(open_pairs), whole, percent), "best-pairs")
     more = linked_pairs(still_open(open_pairs, best), whole, percent)
+    release(spark)
     links = spanning(links, first).unionByName(proved).unionByName(best.select("a", "b")).unionByName(more.select("a", "b"))
     return components(links)
 
@@ -572,7 +578,7 @@ def joined(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sets = stored(sets, "shingle-sets")
     nodes = sets.where(F.col("node").isNotNull()).select("node", "size", "tokens").dropDuplicates(["node"])
     nodes = stored(nodes, "nodes")
-    labels = linked_nodes(nodes, docs, n, percent)
+    labels = written_alone(docs.sparkSession, "components", lambda: linked_nodes(nodes, docs, n, percent))
     placed = sets.select("key", "doc_id", "size", "node").join(labels, "node", "left")
     placed = placed.withColumn("label", F.coalesce("label", "node"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
@@ -597,8 +603,12 @@ def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     The one with the smallest id stays. Equal rows of that id are one document;
     documents without words are never copies of each other.
     """
-    found = joined(docs, n, percent).where((F.col("key") == F.col("first_key")))
-    kept = found.groupBy(F.col("key").alias("__key")).agg(F.max("n_shingles").alias("__size"))
+
+    def first_keys() -> DataFrame:
+        found = joined(docs, n, percent).where(F.col("key") == F.col("first_key"))
+        return found.groupBy(F.col("key").alias("__key")).agg(F.max("n_shingles").alias("__size"))
+
+    kept = written_alone(docs.sparkSession, "first-keys", first_keys)
     rows = docs.withColumn("__key", row_key("doc_id", "text")).join(kept, "__key")
     again = rows.where(F.col("__size") > 0).dropDuplicates(["__key"])
     return again.unionByName(rows.where(F.col("__size") == 0)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchloom.llm import decontaminate, line_rules, ngram_join
+from batchloom.session import scratch
 from tests.conftest import SMALL
 from tests.llm import brute
 
@@ -108,6 +109,16 @@ def test_a_set_meets_few_leaders(spark):
     assert sum(seen) <= 4 * len(rows)
 
 
+def test_deduplicated_leaves_one_table(spark, odd):
+    docs = odd.select("doc_id", "text")
+    with scratch(spark) as folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        out = ngram_join.deduplicated(docs)
+        left = [f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+        assert [name.rpartition("-")[0] for name in left] == ["first-keys"]
+        assert 0 < out.count() < docs.count()
+
+
 def test_deduplicated(spark, odd):
     docs = odd.unionByName(odd).withColumn("node", F.lit(1)).withColumn("key", F.lit(2))
     out = ngram_join.deduplicated(docs)
