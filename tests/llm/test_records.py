@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import zlib
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from batchloom.llm import chat, language_id, queries, warc
-from batchloom.session import run_folder
+from batchloom.session import release, run_folder, trim
 from tests.conftest import SMALL
 from tests.llm import brute
 
@@ -223,3 +224,35 @@ def test_stages_return_the_columns_of_documents(spark):
     none = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, none, SMALL).count() == 0
+
+
+def test_stages_begin_afresh(spark, monkeypatch):
+    """Before a stage looks at anything, the driver lets go of what nothing uses any more."""
+    begun = []
+    monkeypatch.setattr(corpus_pipeline, "release", begun.append)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        with pytest.raises(Exception):
+            stage(spark, None, "/nowhere")
+        assert begun == [spark] * (i + 1)
+
+
+def test_freed_memory_goes_back(spark):
+    """192 MB in small pieces of the JVM's native memory, freed but for the last: the system gets them at once."""
+    if not trim(spark):
+        pytest.skip("this JVM cannot trim")
+    jvm = spark._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status"
+
+    def resident() -> int:
+        with open(status) as lines:
+            return next(int(x.split()[1]) // 1024 for x in lines if x.startswith("VmRSS"))
+
+    pieces = [jvm.java.nio.ByteBuffer.allocateDirect(1 << 16) for _ in range(3072)]
+    full, last = resident(), pieces.pop()
+    del pieces
+    for _ in range(20):
+        release(spark)
+        if full - resident() > 100:
+            break
+        time.sleep(0.5)  # the JVM frees pieces by and by
+    assert full - resident() > 100 and last.capacity() == 1 << 16
