@@ -60,6 +60,7 @@ SHARE = 0.25
 _LIMIT = int(SHARE * 2**64)
 _TABLE = textscan.byte_table(textscan.not_blank, lower=True)
 BLOCK_ROWS = 64  # entries of a block, about
+EARLIER = 8  # listed tokens before an entry's own that it carries
 NEAR_PERCENT = 50  # similarity from which a set's differences to its leader are listed
 SECOND_LEADERS = 2  # more leaders that sets near a leader, but not linked, are compared with
 FILTER_WORDS = 1 << 20  # 64-bit words of the node filter: 8 MB, whatever the corpus
@@ -174,10 +175,11 @@ def sizes_fit(size_a: Column, size_b: Column, percent: int) -> Column:
 
 
 def index_lists(nodes: DataFrame, percent: int) -> DataFrame:
-    """Entries (token, node, size, pos, own) of the sets that may link.
+    """Entries (token, node, size, pos, own, before) of the sets that may link.
 
     ``nodes`` has node, size, tokens. ``pos`` is the place of the token in the
-    set's order, ``own`` the number of listed tokens that no other set has.
+    set's order, ``own`` the number of listed tokens that no other set has, ``before``
+    the up to ``EARLIER`` tokens that the set has listed just before this one.
     Frequencies are combined before the shuffle; joining them back can be split,
     so a token of a third of all sets stays spread out.
     """
@@ -201,8 +203,13 @@ def index_lists(nodes: DataFrame, percent: int) -> DataFrame:
         .withColumn("first", F.slice("ranked", F.lit(1), length.cast("int")))
         .where(F.size("first") > 0)
     )
-    at = listed.select("node", "size", "own", F.posexplode("first").alias("i", "x"))
-    return at.select(F.col("x.token").alias("token"), "node", "size", (F.col("own") + F.col("i")).alias("pos"), "own")
+
+    def entry(x: Column, i: Column) -> Column:
+        before = F.array(*[F.get("first", i - k)["token"] for k in range(1, EARLIER + 1)])
+        return F.struct(x["token"].alias("token"), F.array_compact(before).alias("before"))
+
+    at = listed.select("node", "size", "own", F.posexplode(F.transform("first", entry)).alias("i", "x"))
+    return at.select(F.col("x.token").alias("token"), "node", "size", (F.col("own") + F.col("i")).alias("pos"), "own", F.col("x.before").alias("before"))
 
 
 def _with_sets(pairs: DataFrame, whole: DataFrame) -> DataFrame:
@@ -398,7 +405,7 @@ def list_blocks(entries: DataFrame) -> DataFrame:
         .otherwise(F.pmod(F.xxhash64("home"), F.col("parts"))).alias("part"),
     )
     blocks = placed.groupBy(*classes, "of_home", "part", "lead_size").agg(
-        F.collect_list(F.struct("node", "size", "pos", "label", "home", "overlap")).alias("rows"),
+        F.collect_list(F.struct(*[c for c in entries.columns if c not in ("token", "lead_size")])).alias("rows"),
         F.min("size").alias("low"), F.max("size").alias("high"), F.min("pos").alias("pos"),
         F.min("label").alias("label_low"), F.max("label").alias("label_high"),
         F.min("home").alias("home_low"), F.max("home").alias("home_high"),
@@ -433,7 +440,7 @@ def pairs_by_block(lists: DataFrame, answers: DataFrame, labels: DataFrame, perc
         .withColumn("leader", F.col("lead.node"))
         .join(known, ["leader", "node"], "left")
         .withColumn("overlap", F.when(F.col("node") == F.col("leader"), F.col("size")).otherwise(F.col("overlap")))
-        .select("token", "node", "size", "pos", "label", "home", "overlap", F.col("lead.size").alias("lead_size"))
+        .select("token", "node", "size", "pos", "label", "home", "overlap", "before", F.col("lead.size").alias("lead_size"))
     )
     blocks = stored(list_blocks(entries), "list-blocks")
     # Blocks meet those of their own size class and of the next ones that can link.
@@ -462,9 +469,12 @@ def pairs_by_block(lists: DataFrame, answers: DataFrame, labels: DataFrame, perc
             p["size"] - p["pos"], q["size"] - q["pos"],
             p["overlap"] + q["size"] - q["overlap"], q["overlap"] + p["size"] - p["overlap"],
         )
+        # A block meets itself too: each pair of it once. A pair that links is possible in the first
+        # list that it shares, as all sets list their tokens in one order; it is left out of later ones.
+        once = (F.col("x.id") != F.col("y.id")) | (p["node"] < q["node"])
         return (
-            (p["label"] != q["label"]) & (p["home"] != q["home"]) & sizes_fit(p["size"], q["size"], percent)
-            & (at_most >= needed(p["size"], q["size"], percent))
+            once & (p["label"] != q["label"]) & (p["home"] != q["home"]) & sizes_fit(p["size"], q["size"], percent)
+            & (at_most >= needed(p["size"], q["size"], percent)) & ~F.arrays_overlap(p["before"], q["before"])
         )
 
     def pair(p: Column, q: Column) -> Column:
@@ -510,8 +520,10 @@ def linked_nodes(nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> Dat
     release(spark)
     proved = pairs.where("linked").select("a", "b")
     open_pairs = pairs.where(~F.col("linked")).groupBy("a", "b", "sizes", "label_a", "label_b").agg(F.max("sure").alias("sure"))
-    best = stored(linked_pairs(best_pairs(open_pairs), whole, percent), "best-pairs")
-    more = linked_pairs(still_open(open_pairs, best), whole, percent)
+    judged = stored(compared_pairs(best_pairs(open_pairs), whole, percent), "best-pairs")
+    best = judged.where("linked")
+    rest = still_open(open_pairs, best).join(judged.select("a", "b"), ["a", "b"], "left_anti")
+    more = compared_pairs(rest, whole, percent).where("linked")
     release(spark)
     links = spanning(links, first).unionByName(proved).unionByName(best.select("a", "b")).unionByName(more.select("a", "b"))
     return components(links)
@@ -541,11 +553,11 @@ def second_links(
     return stored(found, "second-links"), stored(lead.select("lead.node").distinct(), "second-leaders")
 
 
-def linked_pairs(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
-    """The pairs that link, by comparing their sets."""
+def compared_pairs(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """The pairs, and by comparing their sets whether they link: a, b, label_a, label_b, linked."""
     least = F.floor((F.lit(percent) * F.col("sizes") + F.lit(100 + percent - 1)) / F.lit(100 + percent)).cast("long")
     found = overlaps(pairs.select("a", "b", "sizes", "label_a", "label_b"), whole)
-    return found.where(F.col("overlap") >= least).select("a", "b", "label_a", "label_b")
+    return found.select("a", "b", "label_a", "label_b", (F.col("overlap") >= least).alias("linked"))
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:

@@ -109,6 +109,44 @@ def test_a_set_meets_few_leaders(spark):
     assert sum(seen) <= 4 * len(rows)
 
 
+def test_a_pair_is_compared_once(spark, monkeypatch):
+    """Sets about as near each other as links need: no two are compared twice, whatever lists they share."""
+    import random
+
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for doc_id in range(200):
+        words = list(base)
+        for _ in range(2):
+            words[rng.randrange(len(words))] = f"n{rng.randrange(40)}"
+        rows.append((doc_id, " ".join(words), "s"))
+    seen = []
+    real = ngram_join.overlaps
+
+    def spy(pairs, whole):
+        if "label_a" in pairs.columns:
+            seen.extend((r.a, r.b) for r in pairs.select("a", "b").collect())
+        return real(pairs, whole)
+
+    monkeypatch.setattr(ngram_join, "overlaps", spy)
+    check_components(spark.createDataFrame(rows, DOC))
+    assert seen and len(set(seen)) == len(seen)
+
+
+def test_entries_carry_the_tokens_listed_before(spark):
+    sets = [(n, 40, [t * 1000 for t in range(40) if (t * 7 + n) % 5]) for n in range(20)]
+    nodes = spark.createDataFrame([(n, len(t), t) for n, _, t in sets], "node long, size long, tokens array<long>")
+    lists: dict[int, list] = {}
+    for r in ngram_join.index_lists(nodes, 20).collect():
+        lists.setdefault(r.node, []).append((r.pos, r.token, r.before))
+    assert len(lists) == 20 and max(map(len, lists.values())) > ngram_join.EARLIER
+    for entries in lists.values():
+        tokens = [t for _, t, _ in sorted(entries)]
+        for i, (_, _, before) in enumerate(sorted(entries)):
+            assert sorted(before) == sorted(tokens[max(0, i - ngram_join.EARLIER) : i])
+
+
 def test_deduplicated_leaves_one_table(spark, odd):
     docs = odd.select("doc_id", "text")
     with scratch(spark) as folder:
