@@ -14,7 +14,7 @@ from batchloom.catalog.registry import query
 from batchloom.catalog.scheduling import _OBJECTS, _ROUTED, _STEPS, _TRIGGER, _routed, _stored
 from batchloom.functions.status import payload_time
 from batchloom.plans import schedule
-from batchloom.session import run_folder
+from batchloom.session import is_folder, run_folder
 from batchloom.sinks import tables
 from batchloom.sinks.tables import read_table
 from batchloom.sources.events import read_stream, task_events
@@ -23,8 +23,11 @@ from batchloom.streaming import counts, job_stream, latest_view, runner, status_
 
 
 def _stream(spark, sf, name):
-    """The parquet file of a table as a file stream."""
-    schema = fx.table(spark, sf, name).schema
+    """A table as a file stream: its parquet file, or all files of its folder."""
+    schema, path = fx.table(spark, sf, name).schema, f"{sf}/{name}.parquet"
+    if is_folder(spark, path):
+        return read_stream(spark, path, schema, "parquet")
+    # A stream reads folders only; the filter looks at the names of files.
     return read_stream(spark, sf, schema, "parquet", pathGlobFilter=f"{name}.parquet")
 
 
